@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, divergence_sql, quality, toxicity
+from . import divergence, divergence_sql, quality, secret_scan, toxicity
 from .common import table
 
 
@@ -22,12 +22,18 @@ def op6_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The owner is the source; a repository is one language part of a source."""
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), repo_cols=("source", "lang")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op3_toxicity,
         op4_quality_classifier,
         op6_distribution_divergence,
+        op10_secret_scan,
     )
 }
 
