@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACES, SPACES
+from .common import NON_SPACES, SPACES, materialise
 
 # Common function words of the reference languages.
 COMMON_WORDS = {
@@ -32,10 +32,12 @@ COMMON_WORDS = {
     "de": ["der", "die", "und", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht", "ein"],
     "es": ["el", "los", "y", "las", "del", "se", "con", "una", "su", "al", "lo", "como", "no", "más", "o", "sus"],
 }
-# Character classes counted by pattern; spaces and the rest (lower-case and other letters) follow from the length.
+# Character classes counted by pattern (what is to be taken out of a text to leave the class); spaces and the rest (lower-case and other letters) follow from the length.
 CLASSES = {"upper": "[^A-Z]+", "digit": "[^0-9]+", "punct": "[^.,;:'\"?!()-]+", "symbol": r"[^#*$%&|<>=+@/\\^_~{}\[\]`]+"}
+#: Lower-case letters, spaces and everything beyond ASCII: none of it is in a class above, and it is nearly all of a text.
+PLAIN = r"[a-z\x20\x09-\x0D\x{80}-\x{10FFFF}]+"
 ALL_WORDS = sorted({w for ws in COMMON_WORDS.values() for w in ws})
-UNCOMMON = f" (?!(?:{'|'.join(ALL_WORDS)}) )[^ ]+ "
+UNCOMMON = rf"(?<!{NON_SPACES})(?!(?:{'|'.join(ALL_WORDS)})(?:{SPACES}|\z)){NON_SPACES}+"
 N_CLASSES = len(CLASSES) + 2
 
 
@@ -48,36 +50,35 @@ class DivergenceRules:
     max_repeat_percent: int = 50
 
 
-def _counted(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """id, lang, text, words and the two count arrays."""
-    text = F.coalesce(F.col("_t"), F.lit(""))
-    split = lambda c: F.array_remove(F.split(c, SPACES + "+"), "")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_t"))
-    rows = rows.select("_id", "_lang", text.alias("_text"))
-    # One string of the common words alone, each between two spaces; a word's count is then what its removal shortens the string by.
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower("_text"), SPACES + "+", "  "), F.lit(" "))
-    rows = rows.select("*", split(F.col("_text")).alias("_words"), F.regexp_replace(spaced, UNCOMMON, "").alias("_common"))
+def count_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """_id, _lang, the base counts and the two count arrays of every document; the texts stay behind."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.select(
         "*",
+        F.array_remove(F.split("_text", SPACES + "+"), "").alias("_words"),
+        F.regexp_replace("_text", PLAIN, "").alias("_marks"),
+        # The common words alone, each between two spaces of its own; a word's count is then what its removal shortens the string by.
+        F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(F.lower("_text"), UNCOMMON, ""), SPACES + "+", "  "), F.lit(" ")).alias("_common"),
+    )
+    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(NON_SPACES))
+    rows = rows.select(
+        "_id", "_lang",
         F.size("_words").cast("long").alias("n_words"),
         F.length("_text").cast("long").alias("_chars"),
-        F.length(F.regexp_replace("_text", SPACES + "+", "")).cast("long").alias("word_chars"),
-        *[F.length(F.regexp_replace("_text", pattern, "")).cast("long").alias(f"_n_{name}") for name, pattern in CLASSES.items()],
-        *[((F.length("_common") - F.length(F.replace("_common", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long").alias(f"_w{k}") for k, w in enumerate(ALL_WORDS)],
-    )
-    seen = [F.col(f"_n_{name}") for name in CLASSES]
-    space = F.col("_chars") - F.col("word_chars")
-    rest = F.col("word_chars") - sum(seen[1:], seen[0])
-    return rows.select(
-        "_id", "_lang", "_text", "_words", "n_words", "_chars", "word_chars",
-        F.array(*seen, space, rest).alias("_classes"),
-        F.array(*[F.col(f"_w{k}") for k in range(len(ALL_WORDS))]).alias("_counts"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("_marks", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.get(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), F.lit(0)).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("_words")).alias("n_repeat_words"),
+        F.array(*[F.length(F.regexp_replace("_marks", pattern, "")).cast("long") for pattern in CLASSES.values()]).alias("_seen"),
+        F.array(*[((F.length("_common") - F.length(F.replace("_common", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in ALL_WORDS]).alias("_counts"),
     )
+    rest = F.col("word_chars") - F.aggregate("_seen", F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.withColumn("_classes", F.concat("_seen", F.array(F.col("_chars") - F.col("word_chars"), rest))).drop("_seen")
 
 
-def language_references(docs: DataFrame, rules: DivergenceRules = DivergenceRules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, dict[str, list[float]]]:
+def language_references(counted: DataFrame, rules: DivergenceRules = DivergenceRules()) -> dict[str, dict[str, list[float]]]:
     """Pooled histograms over all long enough documents of each reference language: at most one row per language reaches the driver."""
-    rows = _counted(docs.filter(F.col(lang_col).isin(list(COMMON_WORDS))), id_col, text_col, lang_col).filter(F.col("n_words") >= rules.min_words)
+    rows = counted.filter(F.col("_lang").isin(list(COMMON_WORDS)) & (F.col("n_words") >= rules.min_words))
     got = rows.groupBy("_lang").agg(
         F.sum("n_words").alias("n"), F.sum("_chars").alias("chars"),
         *[F.sum(F.col("_classes")[k]).alias(f"c{k}") for k in range(N_CLASSES)],
@@ -85,8 +86,8 @@ def language_references(docs: DataFrame, rules: DivergenceRules = DivergenceRule
     ).collect()
     out = {}
     for r in sorted(got, key=lambda r: r["_lang"]):
-        words = [r[f"w{ALL_WORDS.index(w)}"] / r["n"] for w in COMMON_WORDS[r["_lang"]]]
-        out[r["_lang"]] = {"classes": [r[f"c{k}"] / r["chars"] for k in range(N_CLASSES)], "words": [*words, (r["n"] - sum(r[f"w{ALL_WORDS.index(w)}"] for w in COMMON_WORDS[r["_lang"]])) / r["n"]]}
+        own = [r[f"w{ALL_WORDS.index(w)}"] for w in COMMON_WORDS[r["_lang"]]]
+        out[r["_lang"]] = {"classes": [r[f"c{k}"] / r["chars"] for k in range(N_CLASSES)], "words": [x / r["n"] for x in [*own, r["n"] - sum(own)]]}
     return out
 
 
@@ -123,21 +124,18 @@ def repeated_words(words: Column) -> Column:
     return F.get(F.transform(F.array(hashes), count), F.lit(0)).cast("long")
 
 
-def score_documents(docs: DataFrame, references: dict[str, dict[str, list[float]]], rules: DivergenceRules = DivergenceRules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: the base counts, both distances, the nearest language of each and the verdict."""
-    rows = _counted(docs, id_col, text_col, lang_col)
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(NON_SPACES))
+def judge(counted: DataFrame, references: dict[str, dict[str, list[float]]], rules: DivergenceRules = DivergenceRules(), id_col: str = "doc_id") -> DataFrame:
+    """One row per document: the base counts, both distances to the nearest language and the verdict."""
     share = lambda counts, total: F.transform(counts, lambda x: x.cast("double") / total)
-    rows = rows.select(
-        "_id", "n_words", "word_chars", "_chars",
-        F.length(F.regexp_replace("_text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        F.get(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), F.lit(0)).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_words")).alias("n_repeat_words"),
+
+    def word_shares(words: list[str]) -> Column:
+        own = [F.col("_counts")[ALL_WORDS.index(w)] for w in words]
+        return share(F.array(*own, F.col("n_words") - sum(own[1:], own[0])), F.col("n_words"))
+
+    rows = counted.select(
+        "*",
         F.when(F.col("_chars") > 0, share(F.col("_classes"), F.col("_chars"))).alias("_p"),
-        *[
-            F.when(F.col("n_words") > 0, share(F.array(*[F.col("_counts")[ALL_WORDS.index(w)] for w in words], F.col("n_words") - sum((F.col("_counts")[ALL_WORDS.index(w)] for w in words[1:]), F.col("_counts")[ALL_WORDS.index(words[0])])), F.col("n_words"))).alias(f"_p_{lang}")
-            for lang, words in COMMON_WORDS.items() if lang in references
-        ],
+        *[F.when(F.col("n_words") > 0, word_shares(COMMON_WORDS[lang])).alias(f"_p_{lang}") for lang in references],
     )
     least = lambda xs: F.least(*xs) if len(xs) > 1 else xs[0] if xs else F.lit(None).cast("double")
     by_char = least([js_distance(F.col("_p"), r["classes"]) for r in references.values()])
@@ -152,6 +150,7 @@ def score_documents(docs: DataFrame, references: dict[str, dict[str, list[float]
     return rows.withColumn("kept", ~F.col("base_failed") & passed)
 
 
-def divergence_rules(docs: DataFrame, rules: DivergenceRules = DivergenceRules(), **columns: str) -> DataFrame:
-    """References from all documents, then the verdict on each."""
-    return score_documents(docs, language_references(docs, rules, **columns), rules, **columns)
+def divergence_rules(docs: DataFrame, rules: DivergenceRules = DivergenceRules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Every text is read once; its counts are written to the shared folder, pooled into references, then judged."""
+    counted = materialise(count_documents(docs, id_col, text_col, lang_col), "divergence")
+    return judge(counted, language_references(counted, rules), rules, id_col)
