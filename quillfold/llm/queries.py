@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import divergence, divergence_sql, quality, secret_scan, toxicity
+from . import divergence, divergence_sql, packing, quality, secret_scan, topk, toxicity
 from .common import table
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the rows whose id is divisible by 20; candidates are all rows."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows.filter(F.col("vec_id") % 20 == 0), rows)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -22,6 +29,10 @@ def op6_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The owner is the source; a repository is one language part of a source."""
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), repo_cols=("source", "lang")))
@@ -30,13 +41,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_exact_top_k,
         op3_toxicity,
         op4_quality_classifier,
         op6_distribution_divergence,
+        op8_packing,
         op10_secret_scan,
     )
 }
 
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS f FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END), 'sum') = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.f, c.f)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_exact_top_k": TOP_K_SQL,
     "op6_distribution_divergence": divergence_sql.oracle(),
 }
