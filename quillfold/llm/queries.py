@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, divergence_sql, packing, quality, secret_scan, topk, toxicity
+from . import divergence, divergence_sql, mixing, packing, quality, secret_scan, topk, toxicity
 from .common import table
 
 
+def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries are the rows whose id is divisible by 20; candidates are all rows."""
     rows = table(spark, sf_dir, "embeddings")
@@ -41,6 +45,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_temperature_mixing,
         op2_exact_top_k,
         op3_toxicity,
         op4_quality_classifier,
