@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, divergence_sql, mixing, packing, quality, secret_scan, topk, toxicity
+from . import divergence, divergence_sql, jaccard_join, mixing, packing, quality, secret_scan, topk, toxicity
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), jaccard_join.JaccardParams(n=3, percent=90))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The owner is the source; a repository is one language part of a source."""
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), repo_cols=("source", "lang")))
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_quality_classifier,
         op6_distribution_divergence,
         op8_packing,
+        op9_jaccard_join,
         op10_secret_scan,
     )
 }
