@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, divergence_sql, jaccard_join, mixing, packing, quality, secret_scan, topk, toxicity
+from . import divergence, divergence_sql, jaccard_join, mixing, packing, quality, secret_scan, substring, suffix_index, topk, toxicity
 from .common import table
 
 
@@ -29,10 +29,18 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_index.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -53,7 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_exact_top_k,
         op3_toxicity,
         op4_quality_classifier,
+        op5_substring_dedup,
         op6_distribution_divergence,
+        op7_suffix_array_dedup,
         op8_packing,
         op9_jaccard_join,
         op10_secret_scan,
