@@ -273,6 +273,23 @@ def score_documents(docs: DataFrame, model: QualityModel, id_col: str = "doc_id"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {id_type.simpleString()}, score double, good_share double, n_lines long, n_good_lines long")
 
 
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs that the model accepts, all columns unchanged; no text is shuffled.
+
+    A text without words has nothing to judge and goes, as its score is below the threshold.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = K.buffer_of(b.column(at))
+            good = [score(model, *line_features(d, r))[0] >= threshold for _, _, d, r in K.pieces(data, offsets)]
+            if good:
+                yield b.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams(), threshold: float = 0.5, held_out: tuple[int, int] = (3, 1), id_col: str = "doc_id") -> DataFrame:
     """Scores of all documents from a model that never saw the held-out fold."""
     scored = score_documents(docs, fit(docs, labels, params, id_col=id_col, held_out=held_out), id_col)
