@@ -10,18 +10,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from ..functions.text import ADDRESS_ALIASES
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of two texts; not symmetric, so the order of the two matters."""
     one = difflib.SequenceMatcher
     return pd.Series([None if x is None or y is None else one(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_address(text: pd.Series) -> pd.Series:
     """ASCII words of an address, common short forms written out."""
 
@@ -35,7 +36,7 @@ def canonical_address(text: pd.Series) -> pd.Series:
     return text.map(canon)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible_text(text: pd.Series) -> pd.Series:
     """Unicode compatibility form."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
