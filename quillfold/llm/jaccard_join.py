@@ -59,8 +59,8 @@ class JaccardParams:
     percent: int = 80
     lower: bool = True
     long_list: int = 2048
-    tile: int = 4096
-    bucket_rows: int = 2000
+    tile: int = 2048
+    bucket_rows: int = 1000
     max_subsets: int = 20_000
 
 
@@ -79,9 +79,9 @@ def subset_count(percent: int, s: int) -> int:
     return sum(math.comb(s, o) for o in subset_sizes(percent, s))
 
 
-def _bytes(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    data, rows = K.buffer_of(column)
-    return (K.LOWER[data] if lower else data), rows
+def _pieces(column: pa.Array, lower: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    for i, j, d, r in K.pieces(*K.buffer_of(column)):
+        yield i, j, K.LOWER[d] if lower else d, r
 
 
 def shingle_sketch(docs: DataFrame, params: JaccardParams, text_col: str) -> np.ndarray:
@@ -91,7 +91,7 @@ def shingle_sketch(docs: DataFrame, params: JaccardParams, text_col: str) -> np.
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, dtype=np.int64)
         for b in batches:
-            for _, _, d, r in K.pieces(*_bytes(b.column(0), params.lower)):
+            for _, _, d, r in _pieces(b.column(0), params.lower):
                 w = K.words_of(d, r)
                 h = K.gram_hashes(w.hashes(), params.n)
                 inside = K.ranges(w.first[:-1], np.maximum(np.diff(w.first) - params.n + 1, 0))
@@ -118,18 +118,33 @@ def bitmaps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     n, bits = len(first) - 1, 64 * BITMAP_WORDS
     owner = np.repeat(np.arange(n), np.diff(first))
     odd = np.bincount(owner * bits + (values & np.uint64(bits - 1)).astype(np.int64), minlength=n * bits) & 1
-    return np.packbits(odd.reshape(n, bits).astype(np.uint8), axis=1)
+    return np.packbits(odd.reshape(n, bits).astype(np.uint8), axis=1, bitorder="little")
+
+
+def bitmap_levels(size: np.ndarray) -> np.ndarray:
+    """Level of a set's scaled bitmap: it has 512 << level bits, at least two for each element."""
+    return np.maximum(np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64) - 8, 0)
+
+
+def scaled_bitmaps(values: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """A parity bitmap of every set whose length follows its size; halves of a longer one, put together by parity, give a shorter one."""
+    size = np.diff(first)
+    bits = 512 << bitmap_levels(size)
+    start = np.cumsum(bits) - bits
+    at = np.repeat(start, size) + (values & np.repeat(bits.astype(np.uint64) - np.uint64(1), size)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8), bitorder="little")
+    return [packed[a // 8 : (a + b) // 8].tobytes() for a, b in zip(start.tolist(), bits.tolist(), strict=True)]
 
 
 def signatures(docs: DataFrame, sketch: np.ndarray, params: JaccardParams, id_col: str, text_col: str) -> DataFrame:
-    """_id, n, two hashes of the whole set, its rarest shingles (all of a small set), their list cost and the bitmap."""
+    """_id, n, two hashes of the whole set, its rarest shingles (all of a small set), their list cost and two bitmaps."""
     usual = float(sketch.mean())
     excess = docs.sparkSession.sparkContext.broadcast(np.maximum(1, sketch - usual - 3 * math.sqrt(usual + 1)).astype(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extra = excess.value
         for b in batches:
-            for i, j, d, r in K.pieces(*_bytes(b.column(1), params.lower)):
+            for i, j, d, r in _pieces(b.column(1), params.lower):
                 v, first = K.shingle_sets(K.words_of(d, r), params.n)
                 size = np.diff(first)
                 owner = np.repeat(np.arange(j - i), size)
@@ -150,12 +165,13 @@ def signatures(docs: DataFrame, sketch: np.ndarray, params: JaccardParams, id_co
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(ranked[at].view(np.int64))),
                         pa.array((total[first[:-1] + prefix] - total[first[:-1]]).astype(np.int64)),
                         pa.array([x.tobytes() for x in bitmaps(v, first)], pa.binary()),
+                        pa.array(scaled_bitmaps(v, first), pa.binary()),
                     ],
-                    names=["_id", "n", "k1", "k2", "tokens", "cost", "bitmap"],
+                    names=["_id", "n", "k1", "k2", "tokens", "cost", "bitmap", "scaled"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_col)
-    return rows.mapInArrow(run, "_id long, n int, k1 long, k2 long, tokens array<long>, cost long, bitmap binary")
+    return rows.mapInArrow(run, "_id long, n int, k1 long, k2 long, tokens array<long>, cost long, bitmap binary, scaled binary")
 
 
 def choose_boundary(sets: DataFrame, params: JaccardParams) -> int:
@@ -278,6 +294,93 @@ def verify(ids: np.ndarray, sides: np.ndarray, values: np.ndarray, first: np.nda
     return out
 
 
+def _placed(clusters: DataFrame, params: JaccardParams) -> tuple[DataFrame, int]:
+    """(_id, component, number of blocks nb and own block; how many buckets the clusters of one block share)."""
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("k"))
+    members = materialise(clusters.join(sizes, "component"), "jaccard-clusters")
+    placed = members.select(F.col("node").alias("_id"), "component", F.ceil(F.col("k") / params.tile).cast("int").alias("nb"))
+    return placed.withColumn("block", F.pmod(F.xxhash64("_id"), F.col("nb")).cast("int")), buckets_for(members.count(), params.bucket_rows, 8)
+
+
+def _sent(held: DataFrame, buckets: int, *payload: str) -> DataFrame:
+    """Members with where they go (_g, _i, _j): the one bucket of their cluster, or every pair of blocks that their block is in."""
+    target = "struct<g:long,i:int,j:int>"
+    alone = F.array(F.struct(F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j")).cast(target))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.col("component").alias("g"), F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")).cast(target))
+    out = held.select(F.explode(F.when(F.col("nb") == 1, alone).otherwise(tiles)).alias("t"), "_id", "component", "block", *payload)
+    return out.select(F.col("t.g").alias("_g"), F.col("t.i").alias("_i"), F.col("t.j").alias("_j"), "_id", "component", "block", *payload)
+
+
+def possible_pairs(size: np.ndarray, sides: np.ndarray, maps: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions that sizes and scaled bitmaps allow; pairs of one side are left out unless all sides are equal."""
+    level = bitmap_levels(size)
+    single = (sides == sides[0]).all()
+    left, right = [], []
+    for k in np.unique(level).tolist():
+        words = 8 << k
+        own = np.flatnonzero(level == k)
+        near = np.flatnonzero((level >= k) & (level <= k + 2))
+        folded = np.empty((len(near), words), np.uint64)
+        for r, x in enumerate(near.tolist()):
+            m = np.frombuffer(maps[x], np.uint64)
+            while len(m) > words:
+                m = m[: len(m) // 2] ^ m[len(m) // 2 :]
+            folded[r] = m
+        mine = folded[np.searchsorted(near, own)]
+        step = max(1, (1 << 20) // (len(near) * words))
+        for a in range(0, len(own), step):
+            i = own[a : a + step, None]
+            total = size[i] + size[near][None]
+            share = need(percent, size[i], size[near][None])
+            ok = (share <= np.minimum(size[i], size[near][None])) & (i != near[None]) & ((level[near][None] > k) | (i < near[None]))
+            if not single:
+                ok &= sides[i] != sides[near][None]
+            x, y = np.nonzero(ok)
+            apart = np.bitwise_count(mine[a + x] ^ folded[y]).sum(1) if len(x) * words < 1 << 22 else np.concatenate([np.bitwise_count(mine[a + x[c : c + 4096]] ^ folded[y[c : c + 4096]]).sum(1) for c in range(0, len(x), 4096)])
+            good = apart <= total[x, y] - 2 * share[x, y]
+            left.append(own[a + x[good]])
+            right.append(near[y[good]])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Smallest position reachable over the pairs."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def refined(sets: DataFrame, clusters: DataFrame, params: JaccardParams) -> DataFrame:
+    """Edges u, v of a forest over the pairs within clusters that the scaled bitmaps allow."""
+    placed, buckets = _placed(clusters, params)
+    held = sets.select("_id", "n", "scaled").join(placed, "_id")
+
+    def scan(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches)).combine_chunks()
+        ids, component, block, n = (got.column(k).to_numpy() for k in ("_id", "component", "block", "n"))
+        maps = got.column("scaled").to_pylist()
+        order = np.lexsort((ids, component))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(component[order])) + 1, [len(order)]])
+        u, v = [], []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            at = order[a:b]
+            x, y = possible_pairs(n[at].astype(np.int64), block[at] if key[1].as_py() >= 0 and key[1].as_py() != key[2].as_py() else np.zeros(b - a, int), [maps[k] for k in at], params.percent)
+            label = _forest(b - a, x, y)
+            other = np.flatnonzero(label != np.arange(b - a))
+            u.append(ids[at[other]])
+            v.append(ids[at[label[other]]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+
+    return _sent(held, buckets, "n", "scaled").groupBy("_g", "_i", "_j").applyInArrow(scan, "u long, v long")
+
+
 def heavy_links(docs: DataFrame, sets: DataFrame, x: int, params: JaccardParams, id_col: str, text_col: str) -> DataFrame:
     """Edges u, v: a forest of all links in which a set of more than x shingles takes part."""
     reach = sets.filter(F.col("n") > params.percent * x // 100)
@@ -290,26 +393,20 @@ def heavy_links(docs: DataFrame, sets: DataFrame, x: int, params: JaccardParams,
     short = short.withColumn("_bucket", F.pmod(F.xxhash64("_t"), F.lit(buckets_for(rows, 20 * params.bucket_rows, 8))))
     long = lists.filter((F.col("k") > params.long_list) & (F.col("_id") != F.col("m"))).select(F.col("_id").alias("u"), F.col("m").alias("v"))
     clusters = connected_components(list_clusters(short, params).unionByName(long))
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("k"))
-    members = materialise(clusters.join(sizes, "component"), "jaccard-clusters")
-    total = members.count()
-    blocks = F.ceil(F.col("k") / params.tile).cast("int")
-    buckets = buckets_for(total, params.bucket_rows, 8)
-    # Clusters of one block share buckets; larger ones meet block against block.
-    placed = members.select(F.col("node").alias("_id"), "component", blocks.alias("nb")).withColumn("block", F.pmod(F.xxhash64("_id"), F.col("nb")).cast("int"))
+    # Long sets saturate the short bitmaps: clusters are taken apart once more by bitmaps that grow with the set.
+    clusters = connected_components(refined(sets, clusters, params))
+    placed, buckets = _placed(clusters, params)
     # A representative's own row only: other rows of its class hold the same set.
     text = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
 
     def own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, d, r in K.pieces(*_bytes(b.column(4), params.lower)):
+            for i, j, d, r in _pieces(b.column(4), params.lower):
                 v, first = K.shingle_sets(K.words_of(d, r), params.n)
                 yield pa.RecordBatch.from_arrays([*(b.column(k)[i:j] for k in range(4)), pa.array([v[first[k] : first[k + 1]].tobytes() for k in range(j - i)], pa.binary())], names=["_id", "component", "nb", "block", "set"])
 
     held = text.join(placed, "_id").select("_id", "component", "nb", "block", "_text").mapInArrow(own_sets, "_id long, component long, nb int, block int, set binary")
-    one = held.filter("nb = 1").select(F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("_g"), F.lit(-1).alias("_i"), F.lit(-1).alias("_j"), "_id", "component", "block", "set")
-    across = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    many = held.filter("nb > 1").select(F.col("component").alias("_g"), across.alias("_o"), "_id", "component", "block", "set").select("_g", F.least("_o", "block").alias("_i"), F.greatest("_o", "block").alias("_j"), "_id", "component", "block", "set")
+    sent = _sent(held, buckets, "set")
 
     def check(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches)).combine_chunks()
@@ -326,14 +423,14 @@ def heavy_links(docs: DataFrame, sets: DataFrame, x: int, params: JaccardParams,
         pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    return one.unionByName(many).groupBy("_g", "_i", "_j").applyInArrow(check, "u long, v long")
+    return sent.groupBy("_g", "_i", "_j").applyInArrow(check, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id of every row."""
     signed = materialise(signatures(docs, shingle_sketch(docs, params, text_col), params, id_col, text_col), "jaccard-sets")
     some = signed.filter("n > 0 and _id is not null")
-    sets = materialise(some.groupBy("k1", "k2", "n").agg(F.min("_id").alias("_id"), F.first("tokens").alias("tokens"), F.first("cost").alias("cost"), F.first("bitmap").alias("bitmap")), "jaccard-classes")
+    sets = materialise(some.groupBy("k1", "k2", "n").agg(F.min("_id").alias("_id"), F.first("tokens").alias("tokens"), F.first("cost").alias("cost"), F.first("bitmap").alias("bitmap"), F.first("scaled").alias("scaled")), "jaccard-classes")
     x = choose_boundary(sets, params)
     links = light_links(sets, x, params).unionByName(heavy_links(docs, sets, x, params, id_col, text_col))
     # Rows of one id are one node, so an id of several sets ties their classes together.
@@ -350,4 +447,6 @@ def one_of_each(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col
     """docs without the rows whose component has a smaller id; of the rows of one id, all stay or go together."""
     found = jaccard_components(docs, params, id_col, text_col)
     gone = found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    own = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)])
+    left = own.join(gone, F.col(f"_c{docs.columns.index(id_col)}") == F.col("_gone"), "left_anti")
+    return left.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])
