@@ -41,6 +41,7 @@ _LETTERS[65:91] = np.arange(97, 123)
 _LETTERS[128:] = np.arange(128, 256)
 BLOCK = 32
 STEM_BYTES = 5
+RIDGE = 1.0  # keeps the calibration finite where the votes separate the labels
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,7 @@ class ToxicityParams:
     max_example_bytes: int = 1 << 16
     max_terms: int = 600
     min_examples: int = 5
-    neighbours: int = 16
+    neighbours: int = 24
     prior_votes: float = 0.2
     evidence: int = 3
 
@@ -153,8 +154,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     for _ in range(60):
         p = 1 / (1 + np.exp(-(a * x + b)))
         r, s = (y - p) * weight, np.maximum(p * (1 - p), 1e-6) * weight
-        h = np.array([[np.sum(s * x * x) + 1e-2, np.sum(s * x)], [np.sum(s * x), np.sum(s) + 1e-6]])
-        step = np.clip(np.linalg.solve(h, np.array([np.sum(r * x), np.sum(r)])), -1, 1)
+        h = np.array([[np.sum(s * x * x) + RIDGE, np.sum(s * x)], [np.sum(s * x), np.sum(s) + 1e-6]])
+        step = np.clip(np.linalg.solve(h, np.array([np.sum(r * x) - RIDGE * a, np.sum(r)])), -1, 1)
         a, b = a + step[0], b + step[1]
     return float(a), float(b)
 
