@@ -126,6 +126,11 @@ def pieces(data: np.ndarray, rows: np.ndarray, size: int = PIECE_BYTES) -> Itera
         at = to
 
 
+def row_hashes(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Hash of every whole row, a piece at a time."""
+    return np.concatenate([np.empty(0, np.uint64), *(span_hashes(d, r[:-1], r[1:]) for _, _, d, r in pieces(data, rows))])
+
+
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each of counts, concatenated."""
     total = int(counts.sum())

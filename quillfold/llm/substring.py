@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from . import kernels as K
 from . import superkmer as S
@@ -44,10 +44,12 @@ def word_units(gram: int) -> S.Units:
 def mark_words(width: int):
     def mark(b: S.Bucket) -> tuple[np.ndarray, np.ndarray]:
         """(windows of each segment that start in a smaller id than the segment's own smallest, places of larger ids)."""
-        w = K.words_of(b.data, b.rows)
-        h = w.hashes()
-        at = K.ranges(w.first[:-1], b.windows)
-        one, two = K.gram_hashes(h, width)[at], K.gram_hashes(h ^ np.uint64(0x5851F42D4C957F2D), width)[at]
+        prints: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, j, d, r in K.pieces(b.data, b.rows):
+            w = K.words_of(d, r)
+            h, at = w.hashes(), K.ranges(w.first[:-1], b.windows[i:j])
+            prints.append((K.gram_hashes(h, width)[at], K.gram_hashes(h ^ np.uint64(0x5851F42D4C957F2D), width)[at]))
+        one, two = (np.concatenate(x) for x in zip(*prints, strict=True))
         least = b.places["id"][b.first[:-1]]
         owner = np.repeat(least, b.windows)
         order = np.lexsort((owner, two, one))
@@ -61,14 +63,14 @@ def mark_words(width: int):
     return mark
 
 
-def repeated_word_spans(docs: DataFrame, params: SubstringParams = SubstringParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, _h, start, end: word spans that also start in a smaller id, by row (id and hash of the text)."""
+def repeated_word_spans(docs: DataFrame, params: SubstringParams = SubstringParams(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Column]:
+    """(_id, _h, start, end: word spans that also start in a smaller id, by row; the expression behind _h)."""
     return S.repeated_spans(docs, word_units(params.gram), params.width, params.gram, mark_words(params.width), id_col, text_col)
 
 
 def remove_repeats(docs: DataFrame, params: SubstringParams = SubstringParams(), id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """id, n_words, n_removed and kept_sha256 of every row, and the kept words themselves if asked for."""
-    rows = S.with_spans(docs, repeated_word_spans(docs, params, id_col, text_col), id_col, text_col)
+    rows = S.with_spans(docs, *repeated_word_spans(docs, params, id_col, text_col), id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,25 +20,48 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import buckets_for
 
 FLUSH_BYTES = 8 << 20
-BUCKET_BYTES = 12 << 20  # of text, before windows overlap
-PACK = "bucket int, places binary, segments binary, bytes binary"
+BUCKET_BYTES = 8 << 20  # of text, before windows overlap
+PACK = "bucket int, facts binary, bytes binary"
 SPANS = "_id long, _h long, start long, end long"
 #: (data, row offsets) -> (start and end byte of every unit, first unit of every row, gram hash at every unit)
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
-_PLACE = np.dtype([("id", "<i8"), ("h", "<i8"), ("start", "<i8"), ("segment", "<i4")])
-_SEGMENT = np.dtype([("minimiser", "<u8"), ("hash", "<u8"), ("bytes", "<i4"), ("windows", "<i4"), ("several", "?")])
+_PLACE = np.dtype([("id", "<i8"), ("h", "<i8"), ("start", "<i8"), ("segment", "<i8")])
 #: A gram's place takes the low bits of its key: the least key is the leftmost least gram, and its high bits are the minimiser.
 _PLACE_BITS = np.uint64(24)
 
 
+def tight(*columns: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest type each column needs, byte planes apart."""
+    out = []
+    for c in columns:
+        low = int(c.min(initial=0))
+        c = (c - low).astype(np.uint64)
+        width = max(1, -(-int(c.max(initial=0)).bit_length() // 8))
+        planes = np.ascontiguousarray(c).view(np.uint8).reshape(len(c), 8)[:, :width]
+        out += [np.array([low, width, len(c)], np.int64).tobytes(), planes.T.tobytes()]
+    return b"".join(out)
+
+
+def loose(data: bytes) -> list[np.ndarray]:
+    """The columns that tight() wrote."""
+    out, at = [], 0
+    while at < len(data):
+        low, width, n = np.frombuffer(data, np.int64, 3, at).tolist()
+        planes = np.zeros((n, 8), np.uint8)
+        planes[:, :width] = np.frombuffer(data, np.uint8, width * n, at + 24).reshape(width, n).T
+        out.append(planes.view(np.int64).reshape(n) + low)
+        at += 24 + width * n
+    return out
+
+
 def sliding_least(g: np.ndarray, span: int) -> np.ndarray:
     """Least of every span consecutive entries."""
     if len(g) < span:
@@ -72,49 +95,46 @@ def segments_of(first: np.ndarray, grams: np.ndarray, width: int, gram: int) ->
     return np.searchsorted(first, at[begin], side="right") - 1, at[begin], windows, least[begin], several
 
 
-def packs(docs: DataFrame, units: Units, width: int, gram: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
+def packs(docs: DataFrame, units: Units, width: int, gram: int, buckets: int, row_hash: Column, id_col: str, text_col: str) -> DataFrame:
     """All segments of all texts, in compressed packs by bucket; rows without an id send none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        held: list[list[np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            places, segments, starts = (np.concatenate([h[k] for h in held]) for k in range(3))
-            data = np.concatenate([h[3] for h in held])
-            bucket = (K.mix(segments["minimiser"]) % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((segments["bytes"], segments["hash"], segments["minimiser"], bucket))
-            s, b = segments[order], bucket[order]
-            new = np.ones(len(s), bool)
-            new[1:] = s[1:] != s[:-1]
-            number = np.cumsum(new) - 1
-            kept = order[new]
-            cuts = np.searchsorted(b[new], np.arange(buckets + 1))
-            rows = np.searchsorted(b, np.arange(buckets + 1))
+            least, hashes, lengths, windows, several, ids, rows, starts, from_, data = (np.concatenate(c) for c in zip(*held, strict=True))
+            bucket = (K.mix(least) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((lengths, hashes, least, bucket))
+            new = np.ones(len(order), bool)
+            for c in (least, hashes, lengths):
+                new[1:] &= c[order][1:] == c[order][:-1]
+            new[1:] = ~new[1:]
+            leader = np.empty(len(order), np.int64)
+            leader[order] = order[new][np.cumsum(new) - 1]
+            by = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
             out = []
-            for k in np.flatnonzero(np.diff(cuts)):
-                chosen = kept[cuts[k] : cuts[k + 1]]
-                place = places[order[rows[k] : rows[k + 1]]]
-                place["segment"] = number[rows[k] : rows[k + 1]] - cuts[k]
-                text = data[K.ranges(starts[chosen], segments["bytes"][chosen].astype(np.int64))]
-                out.append((int(k), squeeze(place.tobytes()), squeeze(segments[chosen].tobytes()), squeeze(text.tobytes())))
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                at = by[cuts[k] : cuts[k + 1]]  # in input order, so ids and segments run in order too
+                chosen, segment = np.unique(leader[at], return_inverse=True)
+                delta = lambda x: np.diff(x, prepend=0)
+                facts = tight(delta(ids[at]), rows[at], starts[at], segment, (least[chosen] & np.uint64(0xFFFFFFFF)).astype(np.int64), lengths[chosen], windows[chosen], several[chosen].astype(np.int64))
+                out.append((k, squeeze(facts), squeeze(data[K.ranges(from_[chosen], lengths[chosen])].tobytes())))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "places", "segments", "bytes"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "facts", "bytes"])
 
         for b in batches:
             data, offsets = K.buffer_of(b.column(2))
             ids, hashes = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            for i, _, d, r in K.pieces(data, offsets):
+            for i, _, d, r in K.pieces(data, offsets, K.PIECE_BYTES // 4):
                 starts, ends, first, grams = units(d, r)
                 row, at, windows, least, several = segments_of(first, grams, width, gram)
                 if not len(row):
                     continue
                 from_, to = starts[at], ends[at + windows + width - 2]
-                segments, places = np.zeros(len(row), _SEGMENT), np.zeros(len(row), _PLACE)
-                segments["minimiser"], segments["hash"], segments["bytes"], segments["windows"], segments["several"] = least, K.span_hashes(d, from_, to), to - from_, windows, several
-                places["id"], places["h"], places["start"] = ids[i + row], hashes[i + row], at - first[row]
-                held.append((places, segments, from_ + size, d))
+                held.append([least, K.span_hashes(d, from_, to), to - from_, windows, several, ids[i + row], hashes[i + row], at - first[row], from_ + size, d])
                 size += len(d)
                 if size >= FLUSH_BYTES:
                     yield flush()
@@ -122,7 +142,7 @@ def packs(docs: DataFrame, units: Units, width: int, gram: int, buckets: int, id
         if held:
             yield flush()
 
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text"))
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), row_hash.alias("_h"), F.col(text_col).alias("_text"))
     return rows.mapInArrow(run, PACK)
 
 
@@ -140,53 +160,53 @@ class Bucket:
 def opened(batches: Iterator[pa.RecordBatch]) -> Bucket | None:
     """The bucket's packs as one; None if nothing in it can repeat."""
     open_ = zstandard.ZstdDecompressor().decompress
-    places, segments, texts = [], [], []
+    columns: list[list[np.ndarray]] = []
+    texts: list[bytes] = []
     total = 0
     for b in batches:
-        for p, s, t in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-            s = np.frombuffer(open_(s), _SEGMENT)
-            p = np.frombuffer(open_(p), _PLACE).copy()
-            p["segment"] += total
-            total += len(s)
-            places.append(p)
-            segments.append(s)
-            texts.append(t)
-    place, segment = np.concatenate(places), np.concatenate(segments)
-    _, kind = np.unique(segment["minimiser"], return_inverse=True)
-    repeated = (np.bincount(kind[place["segment"]])[kind] > 1) | segment["several"]
+        for facts, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            c = loose(open_(facts))
+            c[0] = np.cumsum(c[0])
+            c[3] = c[3] + total
+            total += len(c[4])
+            columns.append(c)
+            texts.append(text)
+    ids, rows, starts, segment, least, lengths, windows, several = (np.concatenate(c) for c in zip(*columns, strict=True))
+    _, kind = np.unique(least, return_inverse=True)
+    repeated = (np.bincount(kind[segment])[kind] > 1) | (several > 0)
     if not repeated.any():
         return None
-    data, lengths, at = [], [], 0
-    for s, t in zip(segments, texts, strict=True):
-        keep = np.flatnonzero(repeated[at : at + len(s)])
-        at += len(s)
+    parts, at = [], 0
+    for c, t in zip(columns, texts, strict=True):
+        keep = np.flatnonzero(repeated[at : at + len(c[5])])
+        at += len(c[5])
         if len(keep):
-            n = s["bytes"].astype(np.int64)
-            data.append(np.frombuffer(open_(t), np.uint8)[K.ranges((np.cumsum(n) - n)[keep], n[keep])])
-            lengths.append(n[keep])
-    data, lengths = np.concatenate(data), np.concatenate(lengths)
+            parts.append(np.frombuffer(open_(t), np.uint8)[K.ranges((np.cumsum(c[5]) - c[5])[keep], c[5][keep])])
     left = np.flatnonzero(repeated)
-    number = np.full(len(segment), -1)
+    data, lengths, windows, least = np.concatenate(parts), lengths[left], windows[left], least[left]
+    begin = np.cumsum(lengths) - lengths
+    number = np.full(total, -1)
     number[left] = np.arange(len(left))
-    place = place[repeated[place["segment"]]]
+    held = repeated[segment]
+    place = np.empty(int(held.sum()), _PLACE)
+    place["id"], place["h"], place["start"], place["segment"] = ids[held], rows[held], starts[held], number[segment[held]]
     # Equal segments of different packs become one.
-    s = segment[left]
-    order = np.lexsort((s["bytes"], s["hash"], s["minimiser"]))
-    new = np.ones(len(s), bool)
-    new[1:] = s[order][1:] != s[order][:-1]
-    group = np.empty(len(s), np.int64)
+    hashes = K.row_hashes(data, np.append(begin, len(data)))
+    order = np.lexsort((lengths, hashes, least))
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (lengths[order][1:] != lengths[order][:-1]) | (least[order][1:] != least[order][:-1])
+    group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(new) - 1
     leader = order[new]
-    of = group[number[place["segment"]]]
+    of = group[place["segment"]]
     by = np.lexsort((place["start"], place["id"], of))
     place, of = place[by], of[by]
     head = np.searchsorted(of, np.arange(len(leader)))
     rank = np.lexsort((place["start"][head], place["id"][head]))
     count = np.diff(np.append(head, len(place)))
     place = place[K.ranges(head[rank], count[rank])]
-    begin = (np.cumsum(lengths) - lengths)[leader[rank]]
-    size = lengths[leader[rank]]
-    return Bucket(place, np.concatenate([[0], np.cumsum(count[rank])]), s["windows"][leader[rank]].astype(np.int64), data[K.ranges(begin, size)], np.concatenate([[0], np.cumsum(size)]))
+    leader = leader[rank]
+    return Bucket(place, np.concatenate([[0], np.cumsum(count[rank])]), windows[leader], data[K.ranges(begin[leader], lengths[leader])], np.concatenate([[0], np.cumsum(lengths[leader])]))
 
 
 def spans(b: Bucket, marked: np.ndarray, whole: np.ndarray, width: int) -> pa.RecordBatch:
@@ -212,21 +232,28 @@ def spans(b: Bucket, marked: np.ndarray, whole: np.ndarray, width: int) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p["id"])), pa.array(np.ascontiguousarray(p["h"])), pa.array(start), pa.array(stop)], names=["_id", "_h", "start", "end"])
 
 
-def repeated_spans(docs: DataFrame, units: Units, width: int, gram: int, mark: Callable[[Bucket], tuple[np.ndarray, np.ndarray]], id_col: str, text_col: str) -> DataFrame:
-    """_id, _h, start, end of all unit spans that mark() finds in its buckets."""
+def row_hash(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells rows of one id apart: the hash of the text where ids repeat at all, else nothing."""
+    repeated = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").limit(1).count()
+    return F.xxhash64(text_col) if repeated else F.lit(0).cast("long")
+
+
+def repeated_spans(docs: DataFrame, units: Units, width: int, gram: int, mark: Callable[[Bucket], tuple[np.ndarray, np.ndarray]], id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    """(_id, _h, start, end of all unit spans that mark() finds in its buckets; the expression behind _h)."""
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     buckets = buckets_for(size, BUCKET_BYTES, 8)
+    h = row_hash(docs, id_col, text_col)
 
     def judge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = opened(batches)
         if b is not None:
             yield spans(b, *mark(b), width)
 
-    return packs(docs, units, width, gram, buckets, id_col, text_col).groupBy("bucket").applyInArrow(judge, SPANS)
+    return packs(docs, units, width, gram, buckets, h, id_col, text_col).groupBy("bucket").applyInArrow(judge, SPANS), h
 
 
-def with_spans(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def with_spans(docs: DataFrame, found: DataFrame, h: Column, id_col: str, text_col: str) -> DataFrame:
     """id, text (binary) and the sorted spans of every row of docs; spans is null where there are none."""
     per_row = found.groupBy("_id", "_h").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"), F.col(id_col).cast("long").alias("_key"), F.xxhash64(text_col).alias("_k"))
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"), F.col(id_col).cast("long").alias("_key"), h.alias("_k"))
     return rows.join(per_row, (F.col("_key") == F.col("_id")) & (F.col("_k") == F.col("_h")), "left").select(id_col, "_text", "spans")
