@@ -8,9 +8,9 @@ on the input.
 The suffixes of all documents are sharded by minimiser (a string and its
 repeats have the same), and every shard keeps its own family of indexes. New
 batches come in order of id and start. A batch gets a suffix array over its
-positions that have a full window; suffixes are ordered by their first eight
-bytes and then by a 128-bit fingerprint of the window, which brings equal
-windows together. The batch is scanned against itself and, by merging, against
+positions that have a full window; suffixes are ordered by their first two
+bytes and then by a fingerprint of the window (112 bits in all), which brings
+equal windows together. The batch is scanned against itself and, by merging, against
 every existing level: a window found there starts earlier and is a match. The
 batch then becomes a level, and levels of equal size merge, so that n batches
 leave about log2 n levels, and each suffix is merged as often.
@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from . import kernels as K
 from . import superkmer as S
@@ -52,20 +52,29 @@ def byte_units(gram: int) -> S.Units:
 
 
 def suffix_keys(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Columns (first eight bytes, fingerprint, second fingerprint) of the windows that start at the given positions."""
-    lead = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        lead = (lead << np.uint64(8)) | data[at + k].astype(np.uint64)
-    return np.stack([lead, K.span_hashes(data, at, at + width), K.span_hashes(data[::-1], len(data) - at - width, len(data) - at)])
+    """Rows (order key, check) of the windows that start at the given positions.
+
+    The order key holds the first two bytes and 48 bits of one fingerprint of
+    the window, the check all 64 bits of another; windows are taken as equal
+    when both are.
+    """
+    lead = (data[at].astype(np.uint64) << np.uint64(8)) | data[at + 1].astype(np.uint64)
+    key = (lead << np.uint64(48)) | (K.span_hashes(data, at, at + width) >> np.uint64(16))
+    return np.stack([key, K.span_hashes(data[::-1], len(data) - at - width, len(data) - at)])
 
 
 def _ordered(keys: np.ndarray) -> np.ndarray:
-    return np.lexsort((keys[2], keys[1], keys[0]))
+    """Stable order by both rows; sorted runs are merged in linear time."""
+    order = np.argsort(keys[0], kind="stable")
+    k, c = keys[0][order], keys[1][order]
+    if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():
+        order = np.lexsort((keys[1], keys[0]))
+    return order
 
 
 def _same_as_before(keys: np.ndarray) -> np.ndarray:
     out = np.zeros(keys.shape[1], bool)
-    out[1:] = (keys[:, 1:] == keys[:, :-1]).all(0)
+    out[1:] = (keys[0, 1:] == keys[0, :-1]) & (keys[1, 1:] == keys[1, :-1])
     return out
 
 
@@ -77,7 +86,7 @@ class IndexFamily:
 
     def add(self, keys: np.ndarray) -> np.ndarray:
         """Which suffixes of the new batch have an equal one before them, in the batch's own order or in a level."""
-        order = _ordered(keys)  # stable: equal suffixes stay in batch order
+        order = _ordered(keys)  # equal suffixes stay in batch order
         array = keys[:, order]
         again = _same_as_before(array)
         found = np.zeros(len(order), bool)
@@ -95,13 +104,18 @@ class IndexFamily:
 
     @staticmethod
     def _in_level(level: np.ndarray, array: np.ndarray) -> np.ndarray:
-        """Merge-scan of two suffix arrays: which of the second are in the first."""
-        both = np.concatenate([level, array], axis=1)
-        order = _ordered(both)
-        hit = _same_as_before(both[:, order])
-        out = np.zeros(both.shape[1], bool)
-        out[order] = hit
-        return out[level.shape[1] :]
+        """Scan of two suffix arrays in step: which of the second are in the first."""
+        at = np.searchsorted(level[0], array[0])
+        out = np.zeros(array.shape[1], bool)
+        open_ = np.arange(array.shape[1])
+        while len(open_):
+            open_ = open_[at[open_] < level.shape[1]]
+            open_ = open_[level[0][at[open_]] == array[0][open_]]
+            hit = level[1][at[open_]] == array[1][open_]
+            out[open_[hit]] = True
+            open_ = open_[~hit]
+            at[open_] += 1
+        return out
 
     @staticmethod
     def _merge(level: np.ndarray, array: np.ndarray) -> np.ndarray:
@@ -137,14 +151,14 @@ def mark_bytes(params: SuffixParams):
     return mark
 
 
-def repeated_byte_spans(docs: DataFrame, params: SuffixParams = SuffixParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, _h, start, end: byte spans that also start earlier, by row (id and hash of the text)."""
+def repeated_byte_spans(docs: DataFrame, params: SuffixParams = SuffixParams(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Column]:
+    """(_id, _h, start, end: byte spans that also start earlier, by row; the expression behind _h)."""
     return S.repeated_spans(docs, byte_units(params.gram), params.width, params.gram, mark_bytes(params), id_col, text_col)
 
 
 def remove_repeats(docs: DataFrame, params: SuffixParams = SuffixParams(), id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept_sha256 of every row, and the kept bytes themselves if asked for."""
-    rows = S.with_spans(docs, repeated_byte_spans(docs, params, id_col, text_col), id_col, text_col)
+    rows = S.with_spans(docs, *repeated_byte_spans(docs, params, id_col, text_col), id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

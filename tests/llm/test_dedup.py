@@ -78,10 +78,18 @@ def test_levels_grow_geometrically():
     family = suffix_index.IndexFamily()
     rng = np.random.default_rng(0)
     for k in range(1, 20):
-        family.add(rng.integers(0, 1 << 60, (3, 10), dtype=np.uint64))
+        family.add(rng.integers(0, 1 << 60, (2, 10), dtype=np.uint64))
         assert [s for s, _ in family.levels] == [1 << b for b in range(10, -1, -1) if k >> b & 1]
 
 
+def test_equal_order_keys_are_told_apart():
+    family = suffix_index.IndexFamily()
+    first = np.array([[5, 5, 5, 9], [1, 2, 1, 7]], dtype=np.uint64)
+    assert family.add(first).tolist() == [False, False, True, False]
+    assert family.add(np.array([[5, 5, 9, 4], [2, 3, 7, 1]], dtype=np.uint64)).tolist() == [True, False, True, False]
+    assert family.add(np.array([[5, 4], [3, 1]], dtype=np.uint64)).tolist() == [True, True]
+
+
 def test_kept_text(nasty):
     got = {r["doc_id"]: r["kept_text"] for r in substring.remove_repeats(nasty, with_text=True).collect()}
     assert got[4] == "" and got[6] == "one two"
