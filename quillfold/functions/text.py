@@ -40,8 +40,7 @@ def collapse(c: Column) -> Column:
 
 def null_if_empty_like(c: Column) -> Column:
     """Collapsed text, or null where it says nothing."""
-    x = collapse(c.cast("string"))
-    return F.when(~F.lower(x).isin(EMPTY_LIKE), x)
+    return let(collapse(c.cast("string")), lambda x: F.when(~F.lower(x).isin(EMPTY_LIKE), x))
 
 
 def is_empty_like(c: Column) -> Column:
@@ -56,10 +55,12 @@ def result(value: Column, status: Column, code: Column) -> Column:
 
 def yes_no(c: Column) -> Column:
     """struct(value boolean, status, code): UNKNOWN_BOOLEAN for other answers."""
-    x = F.lower(null_if_empty_like(c))
-    value = F.when(x.isin(YES), True).when(x.isin(NO), False)
-    bad = x.isNotNull() & value.isNull()
-    return result(value, F.when(x.isNull(), "empty").when(bad, "invalid").otherwise("valid"), F.when(bad, "UNKNOWN_BOOLEAN"))
+
+    def judged(x: Column) -> Column:
+        bad = x.isNotNull() & ~x.isin(YES + NO)
+        return result(F.when(x.isin(YES), True).when(x.isin(NO), False), F.when(x.isNull(), "empty").when(bad, "invalid").otherwise("valid"), F.when(bad, "UNKNOWN_BOOLEAN"))
+
+    return let(F.lower(null_if_empty_like(c)), judged)
 
 
 def multiselect(c: Column) -> Column:
@@ -70,13 +71,13 @@ def multiselect(c: Column) -> Column:
 
 def email(c: Column) -> Column:
     """struct(value, status, code): the address itself, else the first one inside the text, else INVALID_EMAIL."""
-    x = F.lower(F.regexp_replace(null_if_empty_like(c), "[​﻿]", ""))
-    inside = F.get(F.regexp_extract_all(x, F.lit(EMAIL_INSIDE), 0), F.lit(0))
-    inside = F.regexp_replace(inside, "[.,;:]+$", "")
-    good = x.rlike(EMAIL)
-    value = F.when(good, x).otherwise(F.coalesce(inside, x))
-    bad = x.isNotNull() & ~good & inside.isNull()
-    return result(value, F.when(x.isNull(), "empty").when(bad, "invalid").otherwise("valid"), F.when(bad, "INVALID_EMAIL"))
+
+    def judged(x: Column) -> Column:
+        inside = F.regexp_replace(F.get(F.regexp_extract_all(x, F.lit(EMAIL_INSIDE), 0), F.lit(0)), "[.,;:]+$", "")
+        value = F.when(x.rlike(EMAIL), x).otherwise(inside)
+        return let(value, lambda v: result(F.coalesce(v, x), F.when(x.isNull(), "empty").when(v.isNull(), "invalid").otherwise("valid"), F.when(x.isNotNull() & v.isNull(), "INVALID_EMAIL")))
+
+    return let(F.lower(F.regexp_replace(null_if_empty_like(c), "[\u200b\ufeff]", "")), judged)
 
 
 def emails_inside(c: Column) -> Column:
@@ -86,32 +87,35 @@ def emails_inside(c: Column) -> Column:
 
 def uk_phone(c: Column) -> Column:
     """struct(value, status, code): national format, or the typed text with INVALID_PHONE."""
-    x = null_if_empty_like(c)
-    digits = F.regexp_replace(x, "[^0-9]", "")
-    home = F.when(digits.rlike("^44[0-9]{10}$"), F.concat(F.lit("0"), F.substring(digits, 3, 10))).otherwise(digits)
-    value = (
-        F.when(home.rlike("^020[0-9]{8}$"), F.regexp_replace(home, "^(020)([0-9]{4})([0-9]{4})$", "$1 $2 $3"))
-        .when(home.rlike("^0[0-9]{10}$"), F.regexp_replace(home, "^([0-9]{5})([0-9]{6})$", "$1 $2"))
-        .otherwise(x)
-    )
-    good = digits.rlike("^(0[0-9]{9,10}|44[0-9]{10})$")
-    bad = x.isNotNull() & ~good
-    return result(value, F.when(x.isNull(), "empty").when(bad, "invalid").otherwise("valid"), F.when(bad, "INVALID_PHONE"))
+
+    def judged(p: Column) -> Column:
+        x, digits = p["x"], p["digits"]
+        home = F.regexp_replace(digits, "^44([0-9]{10})$", "0$1")
+        shown = F.regexp_replace(F.regexp_replace(home, "^(020)([0-9]{4})([0-9]{4})$", "$1 $2 $3"), "^(0[0-9]{4})([0-9]{6})$", "$1 $2")
+        bad = x.isNotNull() & ~digits.rlike("^(0[0-9]{9,10}|44[0-9]{10})$")
+        return result(F.when(digits.rlike("^(0[0-9]{10}|44[0-9]{10})$"), shown).otherwise(x), F.when(x.isNull(), "empty").when(bad, "invalid").otherwise("valid"), F.when(bad, "INVALID_PHONE"))
+
+    return let(let(null_if_empty_like(c), lambda x: F.struct(x.alias("x"), F.regexp_replace(x, "[^0-9]", "").alias("digits"))), judged)
 
 
 def uk_postcode(c: Column) -> Column:
     """struct(value, status, code): outward and inward part; a letter O in a digit's place is repaired and reported."""
-    text = null_if_empty_like(c)
-    x = F.upper(F.regexp_replace(text, SPACE, ""))
-    spaced = lambda v: F.concat(F.substr(v, F.lit(1), F.length(v) - 3), F.lit(" "), F.right(v, F.lit(3)))
-    # The inward part starts with a digit; the outward part has its first digit after one or two letters.
-    inward = F.regexp_replace(x, "^(.*)O([A-Z]{2})$", "$1\\0$2")
-    tries = [inward, F.regexp_replace(inward, "^([A-Z])O", "$1\\0"), F.regexp_replace(inward, "^([A-Z]{2})O", "$1\\0"), F.regexp_replace(x, "^([A-Z])O", "$1\\0"), F.regexp_replace(x, "^([A-Z]{2})O", "$1\\0")]
-    repaired = F.coalesce(*[F.when((t != x) & t.rlike(POSTCODE), t) for t in tries])
-    good = x.rlike(POSTCODE)
-    value = F.when(good, spaced(x)).when(repaired.isNotNull(), spaced(repaired)).otherwise(F.upper(text))
-    code = F.when(x.isNull() | good, None).when(repaired.isNotNull(), "POSTCODE_TYPO_REPAIRED").otherwise("INVALID_POSTCODE")
-    return result(value, F.when(x.isNull(), "empty").when(good | repaired.isNotNull(), "valid").otherwise("invalid"), code)
+
+    def repaired(p: Column) -> Column:
+        # The inward part starts with a digit; the outward part has its first digit after one or two letters.
+        x = p["x"]
+        inward = F.regexp_replace(x, "^(.*)O([A-Z]{2})$", "$1\\0$2")
+        tries = F.array(inward, F.regexp_replace(inward, "^([A-Z])O", "$1\\0"), F.regexp_replace(inward, "^([A-Z]{2})O", "$1\\0"), F.regexp_replace(x, "^([A-Z])O", "$1\\0"), F.regexp_replace(x, "^([A-Z]{2})O", "$1\\0"))
+        return F.struct(p["text"].alias("text"), x.alias("x"), F.when(x.rlike(POSTCODE), x).alias("good"), F.get(F.filter(tries, lambda t: (t != x) & t.rlike(POSTCODE)), F.lit(0)).alias("repaired"))
+
+    def judged(p: Column) -> Column:
+        some = F.coalesce(p["good"], p["repaired"])
+        value = F.coalesce(F.regexp_replace(some, "^(.*)(.{3})$", "$1 $2"), F.upper(p["text"]))
+        code = F.when(p["x"].isNull() | p["good"].isNotNull(), None).when(p["repaired"].isNotNull(), "POSTCODE_TYPO_REPAIRED").otherwise("INVALID_POSTCODE")
+        return result(value, F.when(p["x"].isNull(), "empty").when(some.isNotNull(), "valid").otherwise("invalid"), code)
+
+    text = let(null_if_empty_like(c), lambda t: F.struct(t.alias("text"), F.upper(F.regexp_replace(t, SPACE, "")).alias("x")))
+    return let(let(text, repaired), judged)
 
 
 def slug(c: Column) -> Column:

@@ -125,15 +125,18 @@ def build_records(sheet: DataFrame) -> DataFrame:
 
     def moved(k: int) -> dict[str, Column]:
         """An e-mail typed as a phone goes where it belongs if that cell is empty, and the other way round."""
-        phone, email = F.col(f"contact_{k}_phone"), F.col(f"contact_{k}_email")
-        as_email, as_phone = T.email(F.col(f"raw_contact_{k}_phone")), T.uk_phone(F.col(f"raw_contact_{k}_email"))
-        to_email = (email["status"] == "empty") & (phone["code"] == "INVALID_PHONE") & (as_email["status"] == "valid")
-        to_phone = (phone["status"] == "empty") & (email["code"] == "INVALID_EMAIL") & (as_phone["status"] == "valid")
-        return {
-            "description": _field("contact", "description", k), "explanation": _field("contact", "explanation", k),
-            "phone": F.when(to_email, None).when(to_phone, as_phone["value"]).otherwise(phone["value"]),
-            "email": F.when(to_phone, None).when(to_email, as_email["value"]).otherwise(email["value"]),
-        }
+        def chosen(p: Column) -> Column:
+            to_email = (p["email"]["status"] == "empty") & (p["phone"]["code"] == "INVALID_PHONE") & (p["as_email"]["status"] == "valid")
+            to_phone = (p["phone"]["status"] == "empty") & (p["email"]["code"] == "INVALID_EMAIL") & (p["as_phone"]["status"] == "valid")
+            to_email, to_phone = F.coalesce(to_email, F.lit(False)), F.coalesce(to_phone, F.lit(False))
+            return F.struct(
+                F.when(to_phone, p["as_phone"]["value"]).when(~to_email, p["phone"]["value"]).alias("phone"),
+                F.when(to_email, p["as_email"]["value"]).when(~to_phone, p["email"]["value"]).alias("email"),
+            )
+
+        both = F.struct(F.col(f"contact_{k}_phone").alias("phone"), F.col(f"contact_{k}_email").alias("email"), T.email(F.col(f"raw_contact_{k}_phone")).alias("as_email"), T.uk_phone(F.col(f"raw_contact_{k}_email")).alias("as_phone"))
+        pair = T.let(both, chosen)
+        return {"description": _field("contact", "description", k), "explanation": _field("contact", "explanation", k), "phone": pair["phone"], "email": pair["email"]}
 
     contacts = [moved(k) for k in range(1, L.CONTACT_GROUPS + 1)]
     hours = [{"type": _field("opening_hours", "type", k), "same_monday_to_friday": _field("opening_hours", "same_monday_to_friday", k), **{d: x for d, x in zip(["monday_to_friday", *L.DAYS], _times("opening_hours", k), strict=True)}} for k in range(1, L.HOURS_GROUPS + 1)]

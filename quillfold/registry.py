@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import issues as I
 from .operators import matching, merge, relations, selection, shaping, summaries, vocabulary
+from .plans import layout, records
+from .sources import archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -488,3 +490,45 @@ def next_in_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '12') OR c_custkey::VARCHAR = '12'""")
 def record_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", "c_name").filter(F.lower("c_name").contains("12") | (F.col("c_custkey").cast("string") == "12"))
+
+
+# --- forms and plans over a sheet made of customers ---------------------------
+
+
+def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One wide row per customer: key, one yes/no answer, an address, a contact and opening hours, some of them unreadable."""
+    key = F.col("c_custkey")
+    answers = {
+        ("metadata", "completion_time", 0): F.lit("2024-01-01T00:00:00"),
+        ("scalar", "court_slug_raw", 0): F.concat(F.lit("https://x.org/courts/"), F.replace("c_name", F.lit("#"), F.lit("-"))),
+        ("scalar", "wifi_available", 0): F.when(key % 3 == 0, "Yes").when(key % 3 == 1, "no").otherwise("perhaps"),
+        ("address", "address_type", 1): F.lit("visit us"), ("address", "line_1", 1): F.lit("1 Road"), ("address", "town_or_city", 1): F.lit("Town"),
+        ("address", "postcode", 1): F.when(key % 4 == 0, "bad").otherwise("bs1 1aa"),
+        ("contact", "description", 1): F.lit("Enquiries"), ("contact", "phone", 1): F.when(key % 5 == 0, "12").otherwise("01632960001"),
+        ("opening_hours", "type", 1): F.lit("Court open"), ("opening_hours", "monday_opening_hour", 1): F.lit("9:00"), ("opening_hours", "monday_closing_hour", 1): F.lit("17:00"),
+    }
+    at = {layout.column_of(s, n, k): v for (s, n, k), v in answers.items()}
+    cells = F.array(*[at.get(f.column, F.lit(None).cast("string")) for f in layout.LAYOUT])
+    return read(spark, sf_dir, "customer").select((key + 1).cast("int").alias("row"), cells.alias("cells"))
+
+
+@query("""SELECT c_custkey + 1 AS source_row_number, lower(replace(c_name, '#', '-')) AS court_slug,
+CASE WHEN c_custkey % 4 = 0 THEN 'needs_human_review' ELSE 'processed_with_warnings' END AS status,
+(1 + (c_custkey % 3 = 2)::INT + (c_custkey % 4 = 0)::INT + (c_custkey % 5 = 0)::INT)::INTEGER AS issues FROM customer WHERE c_custkey > 0""")
+def form_records_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = records.build_records(_sheet(spark, sf_dir))
+    return got.select(F.col("source_row_number").cast("long").alias("source_row_number"), "court_slug", "status", F.size("issues").alias("issues"))
+
+
+@query("""SELECT field, code, count(*) AS n FROM (SELECT 'court_slug_raw' AS field, 'COURT_SLUG_NORMALISED' AS code FROM customer WHERE c_custkey > 0
+UNION ALL SELECT 'wifi_available', 'UNKNOWN_BOOLEAN' FROM customer WHERE c_custkey > 0 AND c_custkey % 3 = 2 UNION ALL SELECT 'addresses[1].postcode', 'INVALID_POSTCODE' FROM customer WHERE c_custkey > 0 AND c_custkey % 4 = 0
+UNION ALL SELECT 'contacts[1].phone', 'INVALID_PHONE' FROM customer WHERE c_custkey > 0 AND c_custkey % 5 = 0) GROUP BY ALL""")
+def form_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.report(records.build_records(_sheet(spark, sf_dir))).groupBy("field", "code").agg(F.count("*").alias("n"))
+
+
+@query()
+def archive_manifest_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name, bytes and hash of every file of the small tables; files have no SQL form."""
+    files = archive.manifest(spark, f"{sf_dir}/{{region,nation}}.parquet")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "sha256")
