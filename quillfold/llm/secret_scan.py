@@ -39,6 +39,8 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_OWNED = 6, 20, 24, 20
 OWNED = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 #: A text that this doesn't match holds no candidate; a linear-time engine runs it over whole batches.
 MAY_HOLD = r"(?i:passw|secret|token|api_?key)|[A-Za-z0-9+/_-]{20}"
+#: A text that this doesn't match holds nothing live: live values are assigned, or long runs with a digit.
+MAY_BE_LIVE = r"(?i:passw|secret|token|api_?key)|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{20})[A-Za-z+/_-]*[0-9]"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 CANDIDATE = "array<struct<hash:binary,start:int,kind:int,end:int,random:boolean>>"
 
@@ -157,7 +159,10 @@ def redact(docs: DataFrame, params: SecretParams = SecretParams(), mark: str = "
     live = found.groupBy(F.col(id_col).alias("_id"), "_hash").agg(F.first("live_spans").alias("_live"))
     own = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)])
     at = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
-    rows = own.join(live, F.col(at[id_col]).eqNullSafe(F.col("_id")) & (F.xxhash64(at[text_col]) == F.col("_hash")), "left")
+    # Only rows that can hold something live meet the join; the rest keep their text where it lies.
+    may = F.coalesce(F.col(at[text_col]).rlike(MAY_BE_LIVE), F.lit(False))
+    untouched = own.filter(~may).select(*[F.col(at[c]).alias(c) for c in docs.columns])
+    rows = own.filter(may).join(live, F.col(at[id_col]).eqNullSafe(F.col("_id")) & (F.xxhash64(at[text_col]) == F.col("_hash")), "left")
 
     def joined(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -176,4 +181,4 @@ def redact(docs: DataFrame, params: SecretParams = SecretParams(), mark: str = "
     out = {c: F.col(at[c]) for c in docs.columns} | {text_col: F.col("_text")}
     if length_col in docs.columns:
         out[length_col] = F.when(marked, F.length("_text").cast(docs.schema[length_col].dataType)).otherwise(F.col(at[length_col]))
-    return rows.select(*[x.alias(c) for c, x in out.items()])
+    return rows.select(*[x.alias(c) for c, x in out.items()]).unionByName(untouched)
