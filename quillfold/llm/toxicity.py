@@ -24,6 +24,7 @@ both kinds every score is the prior rate. Repeated rows are scored alike.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,6 +42,7 @@ _LETTERS[65:91] = np.arange(97, 123)
 _LETTERS[128:] = np.arange(128, 256)
 BLOCK = 32
 STEM_BYTES = 5
+NEAR_COPY = 0.8  # of the word pairs of two examples
 RIDGE = 1.0  # keeps the calibration finite where the votes separate the labels
 
 
@@ -93,20 +95,31 @@ def _unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def _spread_out(hashes: list[np.ndarray]) -> list[int]:
-    """Rows left when later near copies go: two texts are near copies if a minimum over their word pairs is the same."""
-    seen: set[tuple[int, int]] = set()
+    """Rows left when later near copies go: those whose word pairs have a Jaccard similarity of at least NEAR_COPY with a row that stays.
+
+    Sets that similar share one of their rarest pairs (as many as may differ, and one), so only such rows are compared.
+    """
+    sets = [np.unique(K.gram_hashes(h[::2], min(2, max(1, len(h) // 2)))) for h in hashes]
+    every, held = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+    seen: dict[int, list[int]] = {}
     out = []
-    for i, h in enumerate(hashes):
-        pairs = K.gram_hashes(h, min(2, max(1, len(h))))
-        if not len(pairs):
+    for i, s in enumerate(sets):
+        if not len(s):
+            continue
+        rare = s[np.lexsort((s, held[np.searchsorted(every, s)]))][: len(s) - math.ceil(NEAR_COPY * len(s)) + 1].tolist()
+        if any(_jaccard(s, sets[j]) >= NEAR_COPY for j in sorted({j for x in rare for j in seen.get(x, ())}) if min(len(s), len(sets[j])) >= NEAR_COPY * max(len(s), len(sets[j]))):
             continue
-        keys = {(k, int(x.min())) for k, x in enumerate((pairs, ~pairs, pairs * np.uint64(0x9E3779B97F4A7C15)))}
-        if not keys & seen:
-            out.append(i)
-        seen |= keys
+        out.append(i)
+        for x in rare:
+            seen.setdefault(x, []).append(i)
     return out
 
 
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
 def choose_terms(hashes: list[np.ndarray], label: np.ndarray, params: ToxicityParams) -> np.ndarray:
     """Terms whose presence tells the labels apart best."""
     distinct = [np.unique(h) for h in hashes]

@@ -59,6 +59,17 @@ def test_toxicity(documents, labels, nasty, empty):
     assert {r["score"] for r in toxicity.classify(nasty, labels.limit(0)).collect()} == {0.1}
 
 
+def test_only_near_copies_leave_the_sample():
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(400)]
+    texts = [" ".join(rng.choice(words, 120)) for _ in range(400)]
+    near, half = texts[7].split(), texts[8].split()
+    near[60], half[60:] = "other", texts[9].split()[60:]
+    texts += [texts[3], " ".join(near), " ".join(half), ""]
+    h, first = toxicity.term_hashes(*kernels.buffer_of(pa.array(texts)))
+    assert toxicity._spread_out([h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]) == [*range(400), 402]
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(1)
     a = rng.random((150, 40)).astype(np.float32) * (rng.random((150, 40)) < 0.2)
