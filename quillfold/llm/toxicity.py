@@ -1,21 +1,23 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Examples are a bounded sample of labelled documents, near copies left out.
-Their terms (runs of letters in ASCII lower case, and the first bytes of each) are ranked by the likelihood
-ratio between the labels; the ``max_terms`` strongest form the vocabulary.
-Inverse document frequencies are counted over all documents. Example vectors
-(1 + ln tf) * idf, of unit length, are kept in blocks of similar examples; for
-each term and block the index holds the largest weight. A document's bound on
-a block is the product with those maxima, so blocks are scored from the best
-bound down until no bound reaches the k-th best score: the k nearest examples
-are exact. They vote with their squared similarity against a prior vote, and a
+All their terms (runs of letters in ASCII lower case, and the first bytes of each) form the vocabulary.
+Inverse document frequencies are counted over all documents. Vectors
+(1 + ln tf) * idf have unit length over all terms of a text; a term that no
+example holds weighs as if one document held it. The ``HEAD`` terms of most
+examples are columns, with the largest weight of each block of similar
+examples; all other terms have postings, whose products are summed exactly. A
+document's bound on a block is the product with the maxima and the block's
+largest sum, so blocks whose bound is below the k-th best score are left out:
+the k nearest examples are exact. They vote with their squared similarity against a prior vote, and a
 logistic curve fitted on leave-one-out votes, weighted to the labels' own
 rates, makes that a probability. The nearest examples are the evidence.
 
 At most ``max_toxic`` and ``max_clean`` labelled documents of at most
 ``max_example_bytes`` bytes are read as candidates (smallest hash of the id
-first). The index is broadcast: its size is bounded by
-(max_toxic + max_clean) * max_terms weights. Every whole text is scored. A
+first). The index is broadcast: it has (max_toxic + max_clean) * HEAD weights
+and one posting for each other term of an example, so its size is bounded by
+the sample's bytes. Every whole text is scored. A
 text without known terms (null, empty, other) gets the score of the prior
 vote. Ties go to the example with the smaller position. Null labels are
 ignored, an id labelled twice takes the larger label, and without examples of
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,9 @@ _LETTERS[97:123] = np.arange(97, 123)
 _LETTERS[65:91] = np.arange(97, 123)
 _LETTERS[128:] = np.arange(128, 256)
 BLOCK = 32
+HEAD = 1024
+ROWS = 64  # texts scored at once
+POSTINGS = 1 << 20  # products summed at once
 STEM_BYTES = 5
 NEAR_COPY = 0.8  # of the word pairs of two examples
 RIDGE = 1.0  # keeps the calibration finite where the votes separate the labels
@@ -51,8 +56,6 @@ class ToxicityParams:
     max_toxic: int = 3000
     max_clean: int = 3500
     max_example_bytes: int = 1 << 16
-    max_terms: int = 600
-    min_examples: int = 5
     neighbours: int = 24
     prior_votes: float = 0.2
     evidence: int = 3
@@ -62,14 +65,28 @@ class ToxicityParams:
 class Index:
     terms: np.ndarray  # sorted term hashes
     idf: np.ndarray
-    weights: np.ndarray  # examples x terms, unit rows, in block order
-    maxima: np.ndarray  # terms x blocks
+    weights: np.ndarray  # examples x head terms, parts of unit rows, in block order
+    maxima: np.ndarray  # head terms x blocks
     label: np.ndarray
     ids: list[str] = field(default_factory=list)
     prior: float = 0.1
     slope: float = 1.0
     shift: float = 0.0
     params: ToxicityParams = ToxicityParams()
+    unseen: float = 0.0  # idf of a term that no example holds
+    column: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))  # of a head term, else -1
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # postings of term t: first[t] to first[t + 1]
+    example: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
+    posted: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))
+
+
+@dataclass(frozen=True)
+class Vectors:
+    """Unit vectors of a run of texts: row r has the entries first[r] to first[r + 1]; term -1 is in no example."""
+
+    first: np.ndarray
+    term: np.ndarray
+    weight: np.ndarray
 
 
 def term_hashes(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,19 +96,23 @@ def term_hashes(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.stack([w.hashes(), stems], axis=1).ravel(), 2 * w.first
 
 
-def _count_matrix(h: np.ndarray, first: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    n, v = len(first) - 1, len(terms)
-    if not v:
-        return np.zeros((n, 0), np.float32)
-    at = np.minimum(np.searchsorted(terms, h), v - 1)
-    ok = terms[at] == h
-    owner = np.repeat(np.arange(n), np.diff(first))
-    return np.bincount(owner[ok] * v + at[ok], minlength=n * v).reshape(n, v).astype(np.float32)
+def _term_counts(h: np.ndarray, first: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in terms or -1, count) of every distinct term of every row, by row."""
+    every, at = np.unique(h, return_inverse=True)
+    if not len(every):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    key, count = np.unique(np.repeat(np.arange(len(first) - 1), np.diff(first)) * len(every) + at, return_counts=True)
+    place = np.minimum(np.searchsorted(terms, every), max(0, len(terms) - 1))
+    place = np.where(terms[place] == every, place, -1) if len(terms) else np.full(len(every), -1)
+    return key // len(every), place[key % len(every)].astype(np.int32), count
 
 
-def _unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    w = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
-    return (w / np.maximum(np.sqrt((w * w).sum(1, keepdims=True)), 1e-12)).astype(np.float32)
+def _vectors(h: np.ndarray, first: np.ndarray, terms: np.ndarray, idf: np.ndarray, unseen: float) -> Vectors:
+    owner, term, count = _term_counts(h, first, terms)
+    w = (1 + np.log(count)) * np.append(idf, unseen)[term]
+    n = len(first) - 1
+    w /= np.maximum(np.sqrt(np.bincount(owner, w * w, minlength=n)), 1e-12)[owner]
+    return Vectors(np.searchsorted(owner, np.arange(n + 1)), term, w.astype(np.float32))
 
 
 def _spread_out(hashes: list[np.ndarray]) -> list[int]:
@@ -106,7 +127,9 @@ def _spread_out(hashes: list[np.ndarray]) -> list[int]:
     for i, s in enumerate(sets):
         if not len(s):
             continue
-        rare = s[np.lexsort((s, held[np.searchsorted(every, s)]))][: len(s) - math.ceil(NEAR_COPY * len(s)) + 1].tolist()
+        n = held[np.searchsorted(every, s)]
+        rare = np.lexsort((s, n))[: len(s) - math.ceil(NEAR_COPY * len(s)) + 1]
+        rare = s[rare[n[rare] > 1]].tolist()
         if any(_jaccard(s, sets[j]) >= NEAR_COPY for j in sorted({j for x in rare for j in seen.get(x, ())}) if min(len(s), len(sets[j])) >= NEAR_COPY * max(len(s), len(sets[j]))):
             continue
         out.append(i)
@@ -120,42 +143,40 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def choose_terms(hashes: list[np.ndarray], label: np.ndarray, params: ToxicityParams) -> np.ndarray:
-    """Terms whose presence tells the labels apart best."""
-    distinct = [np.unique(h) for h in hashes]
-    every, inverse = np.unique(np.concatenate(distinct), return_inverse=True)
-    y = np.repeat(label, [len(d) for d in distinct])
-    pos = np.bincount(inverse, weights=y, minlength=len(every))
-    both = np.bincount(inverse, minlength=len(every)).astype(float)
-    expected = both * label.mean()
-    part = lambda seen, due: np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(due, 1e-9)), 0)
-    ratio = part(pos, expected) + part(both - pos, both - expected)
-    ratio[both < params.min_examples] = -1
-    best = np.lexsort((every, -ratio))[: params.max_terms]
-    return np.sort(every[best[ratio[best] > 0]])
-
-
 def build_index(hashes: list[np.ndarray], ids: list[str], label: np.ndarray, terms: np.ndarray, df: np.ndarray, n_docs: int, prior: float, params: ToxicityParams = ToxicityParams()) -> Index:
-    idf = np.log((1 + n_docs) / (1 + df))
-    first = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int64)
-    w = _unit(_count_matrix(np.concatenate(hashes) if hashes else np.empty(0, np.uint64), first, terms), idf)
-    some = w.any(1)
-    w, label, ids = w[some], label[some], [x for x, ok in zip(ids, some, strict=True) if ok]
-    order = np.lexsort((w.argmax(1), label)) if len(w) else np.empty(0, int)
-    w, label, ids = w[order], label[order], [ids[i] for i in order]
-    starts = np.arange(0, len(w), BLOCK)
-    maxima = np.maximum.reduceat(w, starts, axis=0).T if len(w) else np.zeros((len(terms), 0), np.float32)
-    index = Index(terms, idf, w, np.ascontiguousarray(maxima), label, ids, prior, params=params)
+    idf, unseen = np.log((1 + n_docs) / (1 + df)), float(np.log((1 + n_docs) / 2)) if n_docs else 0.0
+    parts = [_vectors(h, np.array([0, len(h)]), terms, idf, unseen) for h in hashes]
+    some = [k for k, v in enumerate(parts) if v.weight.any()]
+    order = sorted(some, key=lambda k: (label[k], parts[k].term[parts[k].weight.argmax()], k))
+    parts, label, ids = [parts[k] for k in order], label[order], [ids[k] for k in order]
+    sizes = [len(v.term) for v in parts]
+    own = Vectors(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.concatenate([np.empty(0, np.int32), *[v.term for v in parts]]), np.concatenate([np.empty(0, np.float32), *[v.weight for v in parts]]))
+    del parts
+    example = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+    held = np.bincount(own.term, minlength=len(terms))
+    head = np.sort(np.argsort(-held, kind="stable")[:HEAD])
+    column = np.full(len(terms), -1, np.int32)
+    column[head] = np.arange(len(head))
+    w = np.zeros((len(ids), len(head)), np.float32)
+    for k in range(len(ids)):
+        at = slice(own.first[k], own.first[k + 1])
+        some = column[own.term[at]] >= 0
+        w[k, column[own.term[at]][some]] = own.weight[at][some]
+    tail = np.flatnonzero(column[own.term] < 0).astype(np.int32)
+    tail = tail[np.argsort(own.term[tail], kind="stable")]
+    maxima = np.maximum.reduceat(w, np.arange(0, len(w), BLOCK), axis=0).T if len(w) else np.zeros((len(head), 0), np.float32)
+    index = Index(terms, idf, w, np.ascontiguousarray(maxima), label, ids, prior, params=params, unseen=unseen, column=column, first=np.searchsorted(own.term[tail], np.arange(len(terms) + 1)), example=example[tail], posted=own.weight[tail])
     if len(set(label.tolist())) < 2:
         return index
-    own = w @ w.T
-    np.fill_diagonal(own, -1)
+    # The nearest of each example but itself.
     k = min(params.neighbours, len(w) - 1)
-    top = np.argpartition(-own, k - 1, axis=1)[:, :k]
-    votes = _vote(np.maximum(np.take_along_axis(own, top, 1), 0), label[top], index)
+    top, place = nearest_to(index, own, k + 1)
+    order = np.argsort(place == np.arange(len(w))[:, None], axis=1, kind="stable")[:, :k]
+    top, place = np.take_along_axis(top, order, 1), np.take_along_axis(place, order, 1)
+    votes = _vote(top, np.where(place >= 0, label[place], 0), index)
     weight = np.where(label > 0, prior / label.mean(), (1 - prior) / (1 - label.mean()))
     slope, shift = _logistic(_logit(votes), label.astype(float), weight)
-    return Index(terms, idf, w, index.maxima, label, ids, prior, slope, shift, params)
+    return replace(index, slope=slope, shift=shift)
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -178,39 +199,86 @@ def _vote(similarity: np.ndarray, label: np.ndarray, index: Index) -> np.ndarray
     return ((s * label).sum(1) + index.params.prior_votes * index.prior) / (s.sum(1) + index.params.prior_votes)
 
 
-def nearest(index: Index, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(similarities, example positions) of the k nearest examples of each unit row of q, best first; -1 where there are fewer."""
-    n, blocks = len(q), index.maxima.shape[1]
-    best, place = np.full((n, k), -1, np.float32), np.full((n, k), -1, np.int64)
-    if not blocks:
+def _tail_sums(index: Index, v: Vectors, i: int, j: int) -> np.ndarray:
+    """Products of rows i to j of v with every example over the terms that have postings."""
+    at, n = slice(v.first[i], v.first[j]), len(index.label)
+    owner, term, w = np.repeat(np.arange(j - i), np.diff(v.first[i : j + 1])), v.term[at], v.weight[at]
+    counts = np.where(term >= 0, index.first[term + 1] - index.first[term], 0)
+    some = np.flatnonzero(counts)
+    owner, term, w, counts = owner[some], term[some], w[some], counts[some]
+    total, out = np.cumsum(counts), np.zeros((j - i) * n)
+    cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, POSTINGS)))
+    for a, b in zip(cuts, [*cuts[1:], len(total)], strict=True):
+        p = K.ranges(index.first[term[a:b]], counts[a:b])
+        low = owner[a] * n
+        got = np.bincount(np.repeat(owner[a:b] * n - low, counts[a:b]) + index.example[p], np.repeat(w[a:b], counts[a:b]) * index.posted[p])
+        out[low : low + len(got)] += got
+    return out.reshape(j - i, n).astype(np.float32)
+
+
+def nearest_to(index: Index, v: Vectors, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(similarities, example positions) of the k nearest examples of each row of v."""
+    n = len(v.first) - 1
+    best, place = np.zeros((n, k), np.float32), np.full((n, k), -1, np.int64)
+    if not len(index.label):
+        return best, place
+    for i in range(0, n, ROWS):
+        j = min(i + ROWS, n)
+        at = slice(v.first[i], v.first[j])
+        column = np.where(v.term[at] >= 0, index.column[v.term[at]], -1)
+        q = np.zeros((j - i, index.weights.shape[1]), np.float32)
+        q[np.repeat(np.arange(j - i), np.diff(v.first[i : j + 1]))[column >= 0], column[column >= 0]] = v.weight[at][column >= 0]
+        best[i:j], place[i:j] = nearest(index, q, k, _tail_sums(index, v, i, j))
+    return best, place
+
+
+def nearest(index: Index, q: np.ndarray, k: int, tail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(similarities, example positions) of the k nearest examples of each row of q (head terms) and its sums over all other terms, best first; -1 where there are fewer."""
+    n, m = len(q), len(index.weights)
+    best, place = np.zeros((n, k), np.float32), np.full((n, k), -1, np.int64)
+    if not n or not m:
         return best, place
-    # The margin covers rounding: a block is skipped only if its bound is below the k-th score for certain.
+    starts = np.arange(0, m, BLOCK)
+    # The margin covers rounding: a block is left out only if its bound is below the k-th score for certain.
     bounds = q @ index.maxima + 1e-5
-    order = np.argsort(-bounds, axis=1, kind="stable")
-    active = np.flatnonzero(q.any(1))
-    for turn in range(blocks):
-        active = active[bounds[active, order[active, turn]] >= np.maximum(best[active, -1], 2e-5)]
-        if not len(active):
-            break
-        block = order[active, turn]
-        by = np.argsort(block, kind="stable")
-        cuts = np.flatnonzero(np.diff(block[by])) + 1
-        for rows in np.split(active[by], cuts):
-            at = int(order[rows[0], turn]) * BLOCK
-            s = q[rows] @ index.weights[at : at + BLOCK].T
-            s = np.concatenate([best[rows], np.round(s, 6)], axis=1)
-            p = np.concatenate([place[rows], np.broadcast_to(np.arange(at, at + s.shape[1] - k), (len(rows), s.shape[1] - k))], axis=1)
-            keep = np.lexsort((p, -s), axis=1)[:, :k]
-            best[rows], place[rows] = np.take_along_axis(s, keep, 1), np.take_along_axis(p, keep, 1)
-    none = best <= 0
-    best[none], place[none] = 0, -1
+    if tail is not None:
+        bounds += np.maximum.reduceat(tail, starts, axis=1)
+    # The blocks of the best bounds hold more than k examples: their k-th score is a floor for all.
+    few = min(len(starts), k // BLOCK + 2)
+    lead = np.argpartition(-bounds, few - 1, axis=1)[:, :few]
+    scores = np.full((n, len(starts) * BLOCK), -1, np.float32)
+    done = np.zeros(bounds.shape, bool)
+
+    def score(todo: np.ndarray) -> None:
+        for b in np.flatnonzero(todo.any(0)):
+            rows, at = np.flatnonzero(todo[:, b]), slice(b * BLOCK, min(m, (b + 1) * BLOCK))
+            scores[rows, at] = q[rows] @ index.weights[at].T + (0 if tail is None else tail[rows, at])
+        done[todo] = True
+
+    first = np.zeros(bounds.shape, bool)
+    np.put_along_axis(first, lead, True, axis=1)
+    score(first)
+    k = min(k, scores.shape[1])
+    floor = np.maximum(-np.partition(-scores, k - 1, axis=1)[:, k - 1], 2e-5)
+    left = ~done & (bounds >= floor[:, None])
+    if left.mean() > 0.25:
+        # Most blocks are needed: one product of all is faster than one of each.
+        scores[:, :m] = q @ index.weights.T + (0 if tail is None else tail)
+    else:
+        score(left)
+    # Whole numbers order by score and then by smaller position.
+    key = np.rint(scores.astype(float) * 1e6).astype(np.int64) * scores.shape[1] + np.arange(scores.shape[1] - 1, -1, -1)
+    at = np.argpartition(-key, k - 1, axis=1)[:, :k]
+    at = np.take_along_axis(at, np.argsort(-np.take_along_axis(key, at, 1), axis=1), 1)
+    s = np.round(np.take_along_axis(scores, at, 1), 6)
+    best[:, :k], place[:, :k] = np.maximum(s, 0), np.where(s > 0, at, -1)
     return best, place
 
 
 def score_texts(index: Index, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(scores, similarities, example positions) of whole texts."""
     h, first = term_hashes(data, rows)
-    sim, place = nearest(index, _unit(_count_matrix(h, first, index.terms), index.idf), index.params.neighbours)
+    sim, place = nearest_to(index, _vectors(h, first, index.terms, index.idf, index.unseen), index.params.neighbours)
     votes = _vote(sim, np.where(place >= 0, index.label[place] if len(index.label) else 0, 0), index)
     if len(set(index.label.tolist())) < 2:
         return np.full(len(rows) - 1, index.prior), sim, place
@@ -219,18 +287,23 @@ def score_texts(index: Index, data: np.ndarray, rows: np.ndarray) -> tuple[np.nd
 
 def document_frequencies(docs: DataFrame, terms: np.ndarray, text_col: str = "text") -> tuple[np.ndarray, int]:
     """How many documents hold each term, over all documents; at most one row per term reaches the driver."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(terms), np.int64), 0
+        df, n = np.zeros(len(shared.value), np.int64), 0
         for b in batches:
             data, offsets = K.buffer_of(b.column(0))
             n += b.num_rows
             for _, _, d, r in K.pieces(data, offsets):
-                df += (_count_matrix(*term_hashes(d, r), terms) > 0).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms))), pa.array(np.concatenate([[n], df]))], names=["term", "n"])
+                at = _term_counts(*term_hashes(d, r), shared.value)[1]
+                df += np.bincount(at[at >= 0], minlength=len(df))
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], names=["term", "n"])
 
-    got = {r["term"]: r["n"] for r in docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return np.array([got.get(k, 0) for k in range(len(terms))], dtype=np.int64), got.get(-1, 0)
+    got = docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(terms) + 1, dtype=np.int64)
+    df[got.column("term").to_numpy()] = got.column("n").to_numpy()
+    return df[:-1], int(df[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: tuple[int, int] | None = (4, 2)) -> Index:
@@ -254,8 +327,9 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     hashes = [np.frombuffer(r["h"], dtype=np.uint64) for r in got]
     keep = _spread_out(hashes)
     hashes, label, ids = [hashes[i] for i in keep], np.array([got[i]["y"] for i in keep], dtype=int), [got[i]["id"] for i in keep]
+    del got
     prior = min(max(float(rate or 0.1), 1e-3), 1 - 1e-3)
-    terms = choose_terms(hashes, label, params) if len(set(label.tolist())) == 2 else np.empty(0, np.uint64)
+    terms = np.unique(np.concatenate([np.unique(h) for h in hashes])) if len(set(label.tolist())) == 2 else np.empty(0, np.uint64)
     df, n = document_frequencies(docs, terms, text_col) if len(terms) else (np.empty(0, np.int64), 0)
     return build_index(hashes, ids, label, terms, df, n, prior, params)
 
@@ -270,7 +344,7 @@ def score_documents(docs: DataFrame, index: Index, id_col: str = "doc_id", text_
         n = index.params.evidence
         for b in batches:
             data, offsets = K.buffer_of(b.column(1))
-            for i, j, d, r in K.pieces(data, offsets, 4 * K.PIECE_BYTES):
+            for i, j, d, r in K.pieces(data, offsets):
                 s, sim, place = score_texts(index, d, r)
                 text = [";".join(f"{index.ids[p]}:{index.label[p]}:{x:.6f}" for p, x in zip(ps[:n], xs[:n], strict=True) if p >= 0) for ps, xs in zip(place.tolist(), sim.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(s), pa.array(text, pa.string())], names=[id_col, "score", "evidence"])

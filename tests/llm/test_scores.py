@@ -86,6 +86,35 @@ def test_nearest_examples_are_exact():
     assert np.allclose(sim, np.maximum(best, 0), atol=2e-6) and ((place == order) | (best <= 0) | np.isclose(sim, best, atol=2e-6)).all()
 
 
+def test_every_term_of_the_examples_counts():
+    """Against the definition: cosine over all terms of whole texts, more of them than there are head columns."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(1500)]
+    power = 1 / np.arange(1, 1501)
+    texts = [" ".join(rng.choice(words, rng.integers(5, 90), p=power / power.sum())) for _ in range(420)]
+    counts = [Counter(x for w in t.split() for x in (w, "~" + w[:5])) for t in texts]
+    examples, asked = range(300), [*range(300, 420)]
+    hashes = [toxicity.term_hashes(*kernels.buffer_of(pa.array([t])))[0] for t in texts]
+    terms = np.unique(np.concatenate(hashes[:300]))
+    names = {x for k in examples for x in counts[k]}
+    df = np.array([sum(x in h for h in map(set, hashes)) for x in terms])
+    assert len(terms) == len(names) > toxicity.HEAD
+    index = toxicity.build_index(hashes[:300], [str(k) for k in examples], np.arange(300) % 2, terms, df, 420, 0.1)
+
+    def vector(c):
+        of = lambda x: sum(x in o for o in counts) if x in names else 1
+        v = {x: (1 + math.log(n)) * math.log(421 / (1 + of(x))) for x, n in c.items()}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        return {x: w / norm for x, w in v.items()}
+
+    vectors = [vector(c) for c in counts]
+    _, sim, place = toxicity.score_texts(index, *kernels.buffer_of(pa.array([texts[k] for k in asked])))
+    for k, s, p in zip(asked, sim, place, strict=True):
+        cosine = {e: sum(w * vectors[e].get(x, 0) for x, w in vectors[k].items()) for e in examples}
+        assert s == pytest.approx(sorted(cosine.values(), reverse=True)[: len(s)], abs=3e-6)
+        assert s == pytest.approx([cosine[int(index.ids[e])] for e in p], abs=3e-6)
+
+
 def test_quality(documents, labels, nasty, empty, spark):
     truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
     rows = quality.classify(documents, labels).collect()
