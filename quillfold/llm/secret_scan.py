@@ -4,7 +4,9 @@ Every whole text is matched against three base patterns (assigned values,
 access keys, long hexadecimal runs) and one wider pattern (long mixed tokens).
 The hash of every candidate value is counted over the corpus by distinct
 repositories and distinct owners. A value that several owners hold is a widely
-copied example; a value of few owners that looks random is taken as live. Base
+copied example: ``example_owners`` of them, or ``shared_owners`` over
+``example_repositories``. One owner's copies are never an example, however many
+repositories hold them. A value of few owners that looks random is taken as live. Base
 spans always stay in the result; mixed tokens are added as kind ``owned`` only
 when they are live. Values are never output, only spans and counts.
 
@@ -49,6 +51,7 @@ CANDIDATE = "array<struct<hash:binary,start:int,kind:int,end:int,random:boolean>
 class SecretParams:
     example_owners: int = 3
     example_repositories: int = 4
+    shared_owners: int = 2  # that the repositories of an example must have at least
     min_entropy: float = 3.0
 
 
@@ -119,7 +122,7 @@ def _text_of(spans: Column) -> Column:
 def scan(docs: DataFrame, params: SecretParams = SecretParams(), id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source",)) -> DataFrame:
     """One row per document: id, _row, base spans, all spans, live spans, and counts of live values and copied examples."""
     found = materialise(candidates(docs, params, id_col, text_col, owner_col, repo_cols), "secrets")
-    wide = ownership(found).filter((F.col("owners") >= params.example_owners) | (F.col("repositories") >= params.example_repositories)).select("hash", F.lit(True).alias("_wide"))
+    wide = ownership(found).filter((F.col("owners") >= params.example_owners) | ((F.col("owners") >= params.shared_owners) & (F.col("repositories") >= params.example_repositories))).select("hash", F.lit(True).alias("_wide"))
     each = found.select("_row", F.explode("_found").alias("c")).select("_row", F.col("c.hash").alias("hash"), "c")
     span = F.struct(F.col("c.start"), F.col("c.kind"), F.col("c.end"))
     # A hot value is one key of this join; only the small side is unique, so an adaptive plan can split it.

@@ -176,6 +176,17 @@ def test_copied_examples_are_not_live(spark):
     assert red[0]["text"] == f"see {copied} here and [SECRET]" and red[0]["n_chars"] == len(red[0]["text"]) and red[1]["text"] == rows[1][1]
 
 
+def test_one_owner_makes_no_example(spark):
+    own, shared = "Zq9xT4mB7vK2pL8wR5nD", "Ab3dEf6hIj9kLm2nOp5q"
+    langs = ("en", "fr", "de", "es")
+    rows = [(k, f"see {own} here", "one", x) for k, x in enumerate(langs)] + [(9 + k, f"see {shared} here", f"s{k % 2}", x) for k, x in enumerate(langs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    repo = ("source", "lang")
+    got = {r["doc_id"]: (r["n_live"], r["n_examples"], r["spans"]) for r in secret_scan.digest(secret_scan.scan(df, repo_cols=repo)).collect()}
+    assert {got[k] for k in range(4)} == {(1, 0, "owned:4:24")} and {got[9 + k] for k in range(4)} == {(0, 1, "")}
+    assert {r["doc_id"] for r in secret_scan.redact(df, repo_cols=repo).collect() if r["text"] == "see [SECRET] here"} == set(range(4))
+
+
 def test_redaction_keeps_rows(nasty):
     out = secret_scan.redact(nasty)
     assert out.columns == nasty.columns and out.count() == nasty.count()
