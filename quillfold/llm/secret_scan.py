@@ -6,7 +6,9 @@ The hash of every candidate value is counted over the corpus by distinct
 repositories and distinct owners. A value that several owners hold is a widely
 copied example: ``example_owners`` of them, or ``shared_owners`` over
 ``example_repositories``. One owner's copies are never an example, however many
-repositories hold them. A value of few owners that looks random is taken as live. Base
+repositories hold them. A value of few owners that looks random is taken as live;
+an assigned value of few owners is live however short or plain, unless it is a
+known placeholder or one repeated character. Base
 spans always stay in the result; mixed tokens are added as kind ``owned`` only
 when they are live. Values are never output, only spans and counts.
 
@@ -38,6 +40,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_OWNED = 6, 20, 24, 20
+#: Assigned values that stand for one to be filled in; cases and separators don't count.
+PLACEHOLDERS = frozenset("changeme changethis changeit placeholder example yourpassword yoursecret yourtoken yourapikey yourkey yourpasswordhere yoursecrethere yourtokenhere yourapikeyhere yourkeyhere insertpasswordhere insertsecrethere inserttokenhere insertapikeyhere redacted undefined".split())
 OWNED = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 #: A text that this doesn't match holds no candidate; a linear-time engine runs it over whole batches.
 MAY_HOLD = r"(?i:passw|secret|token|api_?key)|[A-Za-z0-9+/_-]{20}"
@@ -61,7 +65,9 @@ def entropy(value: str) -> float:
 
 
 def looks_random(value: str, kind: int, least: float) -> bool:
-    """Digits beside letters, and no fewer bits per character than least; long mixed tokens also need both cases."""
+    """Digits beside letters, and no fewer bits per character than least; long mixed tokens also need both cases. Of assigned values all but placeholders: entropy is at most log2(length), so short passwords can't show it."""
+    if kind == 0:
+        return len(set(value)) > 1 and re.sub("[^a-z0-9]", "", value.lower()) not in PLACEHOLDERS
     digit, lower, upper = (any(a <= ch <= b for ch in value) for a, b in (("0", "9"), ("a", "z"), ("A", "Z")))
     mixed = digit and lower and upper if kind == 3 else digit and (lower or upper)
     return mixed and entropy(value) >= least + (0.5 if kind == 3 else 0)

@@ -187,6 +187,14 @@ def test_one_owner_makes_no_example(spark):
     assert {r["doc_id"] for r in secret_scan.redact(df, repo_cols=repo).collect() if r["text"] == "see [SECRET] here"} == set(range(4))
 
 
+def test_short_and_plain_passwords_are_live(spark):
+    live, not_live = ["abc123", "qwerty", "hunter7", "hunter22", "aabbccdd", "correcthorsebattery", "20240611"], ["changeme", "your_api-key_here", "xxxxxxxx", "short"]
+    rows = [(k, f"x password: {v} y", f"s{k}", 0) for k, v in enumerate(live + not_live)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    assert got == {k: "x [SECRET] y" if k < len(live) else t for k, t, _, _ in rows}
+
+
 def test_redaction_keeps_rows(nasty):
     out = secret_scan.redact(nasty)
     assert out.columns == nasty.columns and out.count() == nasty.count()
