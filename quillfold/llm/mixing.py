@@ -99,7 +99,7 @@ def plan_blocks(rows: DataFrame, params: MixingParams = MixingParams()) -> tuple
     totals = materialise(rows.groupBy("_s").agg(F.sum("_n").alias("tokens"), F.count("*").alias("documents")), "mixing-sources")
     exponent, z, n, budget = choose_exponent(totals, params)
     weight = F.pow(F.col("tokens") / F.lit(n or 1.0), F.lit(exponent)) / F.lit(z)
-    sources = totals.select("_s", "tokens", "documents", weight.alias("weight"), (weight * budget).alias("quota"))
+    sources = totals.select("_s", "tokens", "documents", weight.alias("weight"), quota_of(weight * budget, F.col("tokens"), params).alias("quota"))
     sources = sources.withColumn("blocks", F.least(F.ceil(F.col("tokens") / params.block_tokens), F.lit(params.max_blocks)).cast("long")).withColumn("epochs", F.floor(F.col("quota") / F.col("tokens") + 1e-9).cast("int"))
     dealt = rows.join(sources.select("_s", "blocks"), "_s").withColumn("_block", block_of(F.col("_h"), F.col("blocks")))
     sizes = materialise(dealt.groupBy("_s", "_block").agg(F.sum("_n").alias("size")), "mixing-blocks")
@@ -118,6 +118,11 @@ def plan_blocks(rows: DataFrame, params: MixingParams = MixingParams()) -> tuple
     return sources, blocks.select("_s", "_block", "epoch", "block_rank", (F.col("_from") / F.col("quota")).alias("position"), F.when(ends, F.col("cut")).alias("cut"))
 
 
+def quota_of(due: Column, tokens: Column, params: MixingParams) -> Column:
+    """The tokens due to a source; with keep_all never fewer than it has, however the powers are rounded."""
+    return F.greatest(due, tokens.cast("double")) if params.keep_all else due
+
+
 def block_of(h: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(h), blocks)
 

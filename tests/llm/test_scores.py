@@ -247,6 +247,20 @@ def test_mixing_meets_its_quotas(spark, nasty, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
 
 
+def test_keep_all_keeps_large_sources_whole(spark):
+    """The quota of the largest source is a product of powers, which may fall below its tokens by more than the tolerance."""
+    from pyspark.sql import functions as F
+
+    p, rng = mixing.MixingParams(keep_all=True, max_repeats=2.0), np.random.default_rng(0)
+    for _ in range(4):
+        big = [(f"s{k}", k * 10 + j, int(x)) for k in range(3) for j, x in enumerate(rng.integers(1 << 33, 1 << 36, 2))]
+        sources, blocks = mixing.plan_blocks(spark.createDataFrame(big, "_s string, _h long, _n long").coalesce(1), p)
+        assert all(r["quota"] >= r["tokens"] for r in sources.collect())
+        dealt = spark.createDataFrame(big, "_s string, _h long, _n long").join(sources.select("_s", "blocks"), "_s")
+        taken = dealt.withColumn("_block", mixing.block_of(F.col("_h"), F.col("blocks"))).join(blocks.filter("epoch = 0"), ["_s", "_block"]).filter("cut is null or _h <= cut")
+        assert taken.count() == len(big)
+
+
 def test_exponent_meets_the_entropy(spark):
     totals = spark.createDataFrame([("a", 1000), ("b", 100), ("c", 10)], "_s string, tokens long")
     a, z, n, _ = mixing.choose_exponent(totals, mixing.MixingParams(target_entropy=0.9, max_repeats=1e9))
