@@ -11,13 +11,14 @@ share of good text, and a logistic curve fitted on the same sample turns that
 share into a score.
 
 Training reads at most ``max_train_docs`` labelled documents of at most
-``max_train_bytes`` bytes each, those with the smallest hash of their id.
+``max_train_bytes`` bytes each, up to half of them for each label, those with
+the smallest hash of their id; the curve is weighted to the labels' own rates.
 Scoring covers every line of every text; documents do not affect each other,
 so ties, repeated rows and hot sources need no care. A text without words
 (null, empty, blank) has no lines and gets score ``empty_score``. Labels that
 are null are ignored; an id labelled twice takes the larger label; without
-labels of both kinds, everything scores ``empty_score``. Other columns are
-ignored.
+labels of both kinds, everything scores ``empty_score`` and every document with
+words is kept. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import fold_of
+from .common import fold_of, materialise
 
 # Frequent short words of the languages served.
 FUNCTION_WORDS = "the of and to in a is that for it was with by this are on as be at or from le la les de des et en un une du que est dans pour sur der die das und den von zu mit sich auf ist im dem nicht ein eine el los las y del se con una su al lo como no".split()
@@ -47,6 +48,7 @@ class QualityModel:
     slope: float
     shift: float
     empty_score: float = 0.05
+    trained: bool = True  # False where the sample has no two labels
 
 
 @dataclass(frozen=True)
@@ -178,22 +180,22 @@ def _fit_chain(d: np.ndarray, y: np.ndarray, weight: np.ndarray, first: np.ndarr
     return theta[:-4], theta[-4:].reshape(2, 2)
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-(a * x + b)))
-        r, s = y - p, np.maximum(p * (1 - p), 1e-6)
+        r, s = (y - p) * weight, np.maximum(p * (1 - p), 1e-6) * weight
         h = np.array([[np.sum(s * x * x) + 1e-2, np.sum(s * x)], [np.sum(s * x), np.sum(s) + 1e-6]])
         step = np.linalg.solve(h, np.array([np.sum(r * x) - 1e-2 * a, np.sum(r)]))
         a, b = a + float(np.clip(step[0], -2, 2)), b + float(np.clip(step[1], -2, 2))
     return a, b
 
 
-def train(x: np.ndarray, length: np.ndarray, first: np.ndarray, label: np.ndarray, params: QualityParams = QualityParams()) -> QualityModel:
-    """The model from the lines of labelled documents (label: 1 good, 0 bad)."""
+def train(x: np.ndarray, length: np.ndarray, first: np.ndarray, label: np.ndarray, params: QualityParams = QualityParams(), rate: float | None = None) -> QualityModel:
+    """The model from the lines of labelled documents (label: 1 good, 0 bad); rate: share of good ones among all, if not that of the sample."""
     size = 3 * len(FEATURES) + 3
     if len(set(label.tolist())) < 2 or not len(x):
-        return QualityModel(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(size), np.zeros((2, 2)), 0.0, _logit(params.empty_score), params.empty_score)
+        return QualityModel(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(size), np.zeros((2, 2)), 0.0, _logit(params.empty_score), params.empty_score, False)
     mean, scale = x.mean(0), x.std(0) + 1e-6
     d = _design(x, first, mean, scale)
     of_line = np.repeat(label, np.diff(first)).astype(float)
@@ -209,7 +211,9 @@ def train(x: np.ndarray, length: np.ndarray, first: np.ndarray, label: np.ndarra
         y = np.where((of_line > 0) | ((p > 0.5) & ~worst), 1.0, 0.0)
     good = _weighted(p, length, first)
     some = ~np.isnan(good)
-    a, b = _fit_logistic(_squash(good[some]), label[some].astype(float))
+    rate = label.mean() if rate is None else rate
+    weight = np.where(label > 0, rate / label.mean(), (1 - rate) / (1 - label.mean()))
+    a, b = _fit_logistic(_squash(good[some]), label[some].astype(float), weight[some])
     return QualityModel(mean, scale, w, t, a, b, params.empty_score)
 
 
@@ -234,8 +238,13 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).filter("_id is not null and _y is not null")
     if held_out:
         known = known.filter(fold_of(F.col("_id"), held_out[0]) != held_out[1])
-    sample = known.groupBy("_id").agg(F.max("_y").cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(params.max_train_docs)
+    known = known.groupBy("_id").agg(F.max("_y").cast("int").alias("_y"))
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(F.octet_length("_t") <= params.max_train_bytes)
+    # Only ids with a text to train on are sampled, each label on its own.
+    known = materialise(known.join(text.select("_id").distinct(), "_id", "left_semi"), "quality-labels")
+    rate = known.agg(F.avg((F.col("_y") > 0).cast("int")).alias("r")).first()["r"]
+    order = (F.xxhash64("_id"), "_id")
+    sample = known.filter("_y > 0").orderBy(*order).limit(params.max_train_docs // 2).union(known.filter("_y <= 0").orderBy(*order).limit(params.max_train_docs // 2))
     # The sample is bounded by max_train_docs, whatever the input.
     rows = text.join(F.broadcast(sample), "_id").select("_id", "_y", "_t")
 
@@ -251,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
     x = np.frombuffer(b"".join(r["x"] for r in got), dtype=np.float32).reshape(-1, len(FEATURES)).astype(float)
     length = np.frombuffer(b"".join(r["length"] for r in got), dtype=np.float32).astype(float)
     first = np.concatenate([[0], np.cumsum([len(r["length"]) // 4 for r in got])]).astype(np.int64)
-    return train(x, length, first, np.array([r["y"] for r in got], dtype=int), params)
+    return train(x, length, first, np.array([r["y"] for r in got], dtype=int), params, rate)
 
 
 def score_documents(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,14 +285,15 @@ def score_documents(docs: DataFrame, model: QualityModel, id_col: str = "doc_id"
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs that the model accepts, all columns unchanged; no text is shuffled.
 
-    A text without words has nothing to judge and goes, as its score is below the threshold.
+    A text without words has nothing to judge and goes, as its score is below the threshold. Without a trained model all others stay.
     """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = K.buffer_of(b.column(at))
-            good = [score(model, *line_features(d, r))[0] >= threshold for _, _, d, r in K.pieces(data, offsets)]
+            scored = [score(model, *line_features(d, r)) for _, _, d, r in K.pieces(data, offsets)]
+            good = [s >= threshold if model.trained else ~np.isnan(share) for s, _, share in scored]
             if good:
                 yield b.filter(pa.array(np.concatenate(good)))
 

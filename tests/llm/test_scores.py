@@ -129,6 +129,16 @@ def test_quality(documents, labels, nasty, empty, spark):
     assert quality.classify(nasty, labels.limit(0)).count() == nasty.count()
 
 
+def test_rare_and_missing_labels(spark):
+    """A rare label is in the sample, labels without texts aren't, and one label alone drops nothing with words."""
+    docs = spark.createDataFrame([(k, "$$$ ### BUY | !!!" if k % 40 == 0 else "The cat sat on the mat and it was warm.") for k in range(400)] + [(999, " ")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 40 > 0)) for k in range(400)] + [(k, 1) for k in range(1000, 3000)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, quality.QualityParams(max_train_docs=12), held_out=None)
+    assert model.trained and {r["doc_id"] % 40 == 0 for r in quality.keep_good(docs, model).collect()} == {False}
+    for one in (labels.filter("quality = 1"), labels.filter("quality = 0"), labels.limit(0)):
+        assert quality.keep_good(docs, quality.fit(docs, one, held_out=None)).count() == 400
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(3)
     score, t, first = rng.normal(size=7), rng.normal(size=(2, 2)), np.array([0, 4, 4, 7])
