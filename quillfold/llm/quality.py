@@ -246,7 +246,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
     order = (F.xxhash64("_id"), "_id")
     sample = known.filter("_y > 0").orderBy(*order).limit(params.max_train_docs // 2).union(known.filter("_y <= 0").orderBy(*order).limit(params.max_train_docs // 2))
     # The sample is bounded by max_train_docs, whatever the input.
-    rows = text.join(F.broadcast(sample), "_id").select("_id", "_y", "_t")
+    # One text for each id, that of the smallest hash.
+    rows = text.join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("_t").alias("h"), F.col("_t"))).alias("_s")).select("_id", "_y", F.col("_s._t").alias("_t"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -256,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
                 cut = lambda a: [a[first[k] : first[k + 1]].astype(np.float32).tobytes() for k in range(j - i)]  # noqa: E731,B023
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j].cast(pa.string()), b.column(1)[i:j], pa.array(cut(x), pa.binary()), pa.array(cut(length), pa.binary())], names=["id", "y", "x", "length"])
 
-    got = sorted(rows.mapInArrow(features, "id string, y int, x binary, length binary").collect(), key=lambda r: (r["id"], r["x"]))[: params.max_train_docs]
+    got = sorted(rows.mapInArrow(features, "id string, y int, x binary, length binary").collect(), key=lambda r: (r["id"], r["x"]))
     x = np.frombuffer(b"".join(r["x"] for r in got), dtype=np.float32).reshape(-1, len(FEATURES)).astype(float)
     length = np.frombuffer(b"".join(r["length"] for r in got), dtype=np.float32).astype(float)
     first = np.concatenate([[0], np.cumsum([len(r["length"]) // 4 for r in got])]).astype(np.int64)

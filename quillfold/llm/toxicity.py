@@ -208,7 +208,7 @@ def _tail_sums(index: Index, v: Vectors, i: int, j: int) -> np.ndarray:
     owner, term, w, counts = owner[some], term[some], w[some], counts[some]
     total, out = np.cumsum(counts), np.zeros((j - i) * n)
     cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, POSTINGS)))
-    for a, b in zip(cuts, [*cuts[1:], len(total)], strict=True):
+    for a, b in zip(cuts, [*cuts[1:], len(total)][: len(cuts)], strict=True):
         p = K.ranges(index.first[term[a:b]], counts[a:b])
         low = owner[a] * n
         got = np.bincount(np.repeat(owner[a:b] * n - low, counts[a:b]) + index.example[p], np.repeat(w[a:b], counts[a:b]) * index.posted[p])
@@ -316,14 +316,15 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     sample = known.filter("_y = 1").orderBy(*order).limit(params.max_toxic).union(known.filter("_y = 0").orderBy(*order).limit(params.max_clean))
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(F.octet_length("_t") <= params.max_example_bytes)
     # The sample is bounded by max_toxic + max_clean, whatever the input.
-    rows = text.join(F.broadcast(sample), "_id").select("_id", "_y", "_t")
+    # One text for each id, that of the smallest hash.
+    rows = text.join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("_t").alias("h"), F.col("_t"))).alias("_s")).select("_id", "_y", F.col("_s._t").alias("_t"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, first = term_hashes(*K.buffer_of(b.column(2)))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array([h[first[k] : first[k + 1]].tobytes() for k in range(b.num_rows)], pa.binary())], names=["id", "y", "h"])
 
-    got = sorted(rows.mapInArrow(hashed, "id string, y int, h binary").collect(), key=lambda r: (len(r["id"]), r["id"], r["h"]))[: params.max_toxic + params.max_clean]
+    got = sorted(rows.mapInArrow(hashed, "id string, y int, h binary").collect(), key=lambda r: (len(r["id"]), r["id"], r["h"]))
     hashes = [np.frombuffer(r["h"], dtype=np.uint64) for r in got]
     keep = _spread_out(hashes)
     hashes, label, ids = [hashes[i] for i in keep], np.array([got[i]["y"] for i in keep], dtype=int), [got[i]["id"] for i in keep]

@@ -139,6 +139,15 @@ def test_rare_and_missing_labels(spark):
         assert quality.keep_good(docs, quality.fit(docs, one, held_out=None)).count() == 400
 
 
+def test_a_repeated_id_gives_one_example(spark):
+    rows = [(1, f"again {'abcdefgh'[k % 8]} {'ijklmnop'[k // 8]} word") for k in range(40)] + [(k, f"fine {'abcdefgh'[k - 2]} text") for k in range(2, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k == 1), int(k > 1)) for k in range(1, 8)], "doc_id long, toxic int, quality int")
+    index = toxicity.fit(docs, labels, toxicity.ToxicityParams(max_toxic=8, max_clean=8), held_out=None)
+    assert sorted(index.ids) == [str(k) for k in range(1, 8)]
+    assert quality.fit(docs, labels, quality.QualityParams(max_train_docs=12), held_out=None).trained
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(3)
     score, t, first = rng.normal(size=7), rng.normal(size=(2, 2)), np.array([0, 4, 4, 7])
