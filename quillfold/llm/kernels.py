@@ -5,13 +5,17 @@ into pieces of about one megabyte so that the working set stays small whatever
 the batch size; one very long text forms a piece of its own. A null text has
 no words, no bytes and no lines.
 
-Word identity is a 64-bit polynomial hash followed by an avalanche step.
-Operators that promise exact results compare sequences of such hashes (13 or
-more of them), or the bytes themselves, never one hash alone.
+Words are named by ``span_hashes``: every eight bytes pass through a bijective
+avalanche step, so no structure of a word makes it collide; words beyond
+``LONG_SPAN`` bytes take a cryptographic digest. ``rolling_hashes`` is a cheap
+polynomial for spans at every byte: equal spans have equal values, and nothing
+may rest on the converse. Operators that promise exact results compare the
+bytes themselves after sorting by a hash (``equal_spans``).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +30,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 PIECE_BYTES = 1 << 20
+LONG_SPAN = 64
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -55,8 +61,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for every pair."""
+def rolling_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit values of data[start:end] by a polynomial modulo 2^64: equal spans have equal ones, unlike spans may too."""
     up, down = _power_tables(len(data) + 1)
     prefix = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=prefix[1:])
@@ -64,6 +70,44 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as one little-endian number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of data[start:end] for every pair; another seed gives independent ones."""
+    n = ends - starts
+    h = mix(n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1))
+    at = words_at(data)
+    live = np.flatnonzero((n > 0) & (n <= LONG_SPAN))
+    for k in range(0, LONG_SPAN, 8):
+        if not len(live):
+            break
+        h[live] = mix(h[live] ^ (at[starts[live] + k] & _LOW_BYTES[np.minimum(n[live] - k, 8)]))
+        live = live[n[live] > k + 8]
+    for k in np.flatnonzero(n > LONG_SPAN).tolist():
+        h[k] ^= np.uint64(int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little"))
+    return h
+
+
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether data[a:a + length] and data[b:b + length] hold the same bytes, for every pair."""
+    out = np.ones(len(a), bool)
+    ends = np.cumsum(lengths)
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (PIECE_BYTES << 2), side="right")))
+        some = np.flatnonzero(lengths[i:j] > 0)
+        if len(some):
+            n = lengths[i:j][some]
+            same = data[ranges(a[i:j][some], n)] == data[ranges(b[i:j][some], n)]
+            out[i + some] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+        i = j
+    return out
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of every n consecutive entries of h, in order."""
     if len(h) < n:
@@ -126,11 +170,6 @@ def pieces(data: np.ndarray, rows: np.ndarray, size: int = PIECE_BYTES) -> Itera
         at = to
 
 
-def row_hashes(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Hash of every whole row, a piece at a time."""
-    return np.concatenate([np.empty(0, np.uint64), *(span_hashes(d, r[:-1], r[1:]) for _, _, d, r in pieces(data, rows))])
-
-
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each of counts, concatenated."""
     total = int(counts.sum())

@@ -7,29 +7,35 @@ on the input.
 
 The suffixes of all documents are sharded by minimiser (a string and its
 repeats have the same), and every shard keeps its own family of indexes. New
-batches come in order of id and start. A batch gets a suffix array over its
-positions that have a full window; suffixes are ordered by their first two
-bytes and then by a fingerprint of the window (112 bits in all), which brings
-equal windows together. The batch is scanned against itself and, by merging, against
-every existing level: a window found there starts earlier and is a match. The
-batch then becomes a level, and levels of equal size merge, so that n batches
-leave about log2 n levels, and each suffix is merged as often.
+batches come in order of place (id, then start), ``batches`` of them to a
+shard. A batch gets a suffix array over its positions with at least ``width``
+bytes left, in the order of those bytes, and the lengths of the prefixes that
+neighbours share, both by sorting eight bytes at a time wherever suffixes are
+still tied. The batch is merge-scanned against every existing level: both
+arrays are merged by their leading bytes, ties are refined in the same way, and
+a batch suffix that shares ``width`` bytes with a neighbour of the level starts
+later than it: a long match. The batch then becomes a level, and levels of
+equal size merge geometrically, so that n batches leave about log2 n levels and
+each suffix is merged as often. Of equal suffixes a level keeps the earliest.
+Longer common prefixes than ``width`` say nothing more, as the next suffix
+covers the next byte; so order and prefix lengths stop there.
 
 Null and empty texts have no bytes. Rows that share an id count as one document
 each; of two such rows the one with the smaller start removes the other's, and
 exact repeats of a row lose the same bytes. A row without an id removes nothing
-and loses nothing. Ids are integers. Other columns are ignored.
+and loses nothing. An empty table gives no rows. Very long texts are read whole,
+in overlapping pieces. Ids are integers. Other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 
 from . import kernels as K
 from . import superkmer as S
@@ -39,149 +45,185 @@ from . import superkmer as S
 class SuffixParams:
     width: int = 100
     gram: int = 20
-    batch_windows: int = 1 << 19
+    batches: int = 7  # that a shard's suffixes come in: three levels at the end
+    least_batch: int = 1 << 10  # suffixes, so that tiny shards aren't cut to pieces
 
 
 def byte_units(gram: int) -> S.Units:
     def units(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         at = np.arange(len(data), dtype=np.int64)
         n = max(0, len(data) - gram + 1)
-        return at, at + 1, rows, K.span_hashes(data, at[:n], at[:n] + gram)
+        return at, at + 1, rows, K.rolling_hashes(data, at[:n], at[:n] + gram)
 
     return units
 
 
-def suffix_keys(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Rows (order key, check) of the windows that start at the given positions.
+class Text:
+    """Bytes whose eight from any position on can be read as one number that sorts like them."""
 
-    The order key holds the first two bytes and 48 bits of one fingerprint of
-    the window, the check all 64 bits of another; windows are taken as equal
-    when both are.
-    """
-    lead = (data[at].astype(np.uint64) << np.uint64(8)) | data[at + 1].astype(np.uint64)
-    key = (lead << np.uint64(48)) | (K.span_hashes(data, at, at + width) >> np.uint64(16))
-    return np.stack([key, K.span_hashes(data[::-1], len(data) - at - width, len(data) - at)])
+    def __init__(self, data: np.ndarray) -> None:
+        self.at = K.words_at(data)
 
+    def lead(self, positions: np.ndarray, depth: int = 0) -> np.ndarray:
+        return self.at[positions + depth].byteswap()
 
-def _ordered(keys: np.ndarray) -> np.ndarray:
-    """Stable order by both rows; sorted runs are merged in linear time."""
-    order = np.argsort(keys[0], kind="stable")
-    k, c = keys[0][order], keys[1][order]
-    if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():
-        order = np.lexsort((keys[1], keys[0]))
-    return order
 
+def _shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Leading bytes that two numbers of eight bytes share."""
+    x = a ^ b
+    return np.select([x >> np.uint64(8 * (7 - k)) > 0 for k in range(8)], list(range(8)), 8)
 
-def _same_as_before(keys: np.ndarray) -> np.ndarray:
-    out = np.zeros(keys.shape[1], bool)
-    out[1:] = (keys[0, 1:] == keys[0, :-1]) & (keys[1, 1:] == keys[1, :-1])
-    return out
+
+@dataclass
+class SuffixArray:
+    """Positions in the order of their first width bytes, their first eight bytes, their places in time, and the bytes shared with the one before (at most width)."""
+
+    at: np.ndarray
+    lead: np.ndarray
+    rank: np.ndarray
+    shared: np.ndarray
+
+
+def refined(text: Text, order: SuffixArray, width: int) -> SuffixArray:
+    """Sorts by all width bytes what is sorted by its first eight, and fills in the shared prefixes."""
+    n = len(order.at)
+    group, shared = np.arange(n), np.zeros(n, np.int32)
+    same = np.zeros(n, bool)
+    same[1:] = order.lead[1:] == order.lead[:-1]
+    first = np.flatnonzero(~same)
+    shared[first[1:]] = _shared_bytes(order.lead[first[1:]], order.lead[first[1:] - 1])
+    group = first[np.cumsum(~same) - 1]
+    open_ = same.copy()
+    open_[:-1] |= same[1:]
+    slots = np.flatnonzero(open_)
+    at, lead, rank = order.at.copy(), order.lead, order.rank.copy()
+    for depth in [*range(8, width - 7, 8), *([width - 8] if width % 8 else [])]:
+        if not len(slots):
+            break
+        key, g = text.lead(at[slots], depth), group[slots]
+        moved = np.lexsort((key, g))
+        key, at[slots], rank[slots] = key[moved], at[slots][moved], rank[slots][moved]
+        tied = np.zeros(len(slots), bool)
+        tied[1:] = g[1:] == g[:-1]
+        apart = np.flatnonzero(tied & np.concatenate([[False], key[1:] != key[:-1]]))
+        shared[slots[apart]] = depth + _shared_bytes(key[apart], key[apart - 1])
+        tied[apart] = False
+        head = np.flatnonzero(~tied)
+        group[slots] = slots[head][np.cumsum(~tied) - 1]
+        still = tied.copy()
+        still[:-1] |= tied[1:]
+        slots = slots[still]
+    left = np.zeros(n, bool)
+    left[slots] = True
+    left[1:] &= group[1:] == group[:-1]
+    left[0] = False
+    shared[left] = width
+    return SuffixArray(at, lead, rank, shared)
 
 
 @dataclass
-class IndexFamily:
-    """Levels of sorted, distinct suffix keys; sizes are powers of two in batches."""
-
-    levels: list[tuple[int, np.ndarray]] = field(default_factory=list)
-
-    def add(self, keys: np.ndarray) -> np.ndarray:
-        """Which suffixes of the new batch have an equal one before them, in the batch's own order or in a level."""
-        order = _ordered(keys)  # equal suffixes stay in batch order
-        array = keys[:, order]
-        again = _same_as_before(array)
-        found = np.zeros(len(order), bool)
-        found[order] = again
-        array, place = array[:, ~again], order[~again]
-        for _, level in self.levels:
-            found[place[self._in_level(level, array)]] = True
-        size = 1
-        while self.levels and self.levels[-1][0] == size:
-            _, level = self.levels.pop()
-            array = self._merge(level, array)
-            size *= 2
-        self.levels.append((size, array))
-        return found
-
-    @staticmethod
-    def _in_level(level: np.ndarray, array: np.ndarray) -> np.ndarray:
-        """Scan of two suffix arrays in step: which of the second are in the first."""
-        at = np.searchsorted(level[0], array[0])
-        out = np.zeros(array.shape[1], bool)
-        open_ = np.arange(array.shape[1])
-        while len(open_):
-            open_ = open_[at[open_] < level.shape[1]]
-            open_ = open_[level[0][at[open_]] == array[0][open_]]
-            hit = level[1][at[open_]] == array[1][open_]
-            out[open_[hit]] = True
-            open_ = open_[~hit]
-            at[open_] += 1
-        return out
-
-    @staticmethod
-    def _merge(level: np.ndarray, array: np.ndarray) -> np.ndarray:
-        both = np.concatenate([level, array], axis=1)
-        both = both[:, _ordered(both)]
-        return both[:, ~_same_as_before(both)]
-
-
-def mark_bytes(params: SuffixParams):
-    def mark(b: S.Bucket) -> tuple[np.ndarray, np.ndarray]:
-        """(windows of each segment's first place that start earlier elsewhere, places after the first of their segment)."""
-        family = IndexFamily()
-        ends = np.cumsum(b.windows)
-        marked = np.zeros(int(ends[-1]), bool)
-        at = 0
-        while at < len(b.windows):
-            before = int(ends[at] - b.windows[at])
-            to = max(at + 1, int(np.searchsorted(ends, before + params.batch_windows, side="right")))
-            data = b.data[b.rows[at] : b.rows[to]]
-            starts = K.ranges(b.rows[at:to] - b.rows[at], b.windows[at:to])
-            marked[before : int(ends[to - 1])] = family.add(suffix_keys(data, starts, params.width))
-            at = to
-        later = np.ones(len(b.places), bool)
-        later[b.first[:-1]] = False
-        # Exact repeats of a row share its places.
-        same = np.zeros(len(b.places), bool)
-        same[1:] = (b.places["id"][1:] == b.places["id"][:-1]) & (b.places["h"][1:] == b.places["h"][:-1]) & (b.places["start"][1:] == b.places["start"][:-1])
-        same[b.first[:-1]] = False
-        for k in np.flatnonzero(same).tolist():
-            later[k] = later[k - 1]
-        return marked, later
+class Level:
+    size: int  # in batches
+    array: SuffixArray  # distinct suffixes
 
-    return mark
 
+@dataclass
+class IndexFamily:
+    """Suffix arrays over one text whose sizes, in batches, are falling powers of two."""
+
+    text: Text
+    width: int
+    levels: list[Level] = field(default_factory=list)
+
+    def sorted_batch(self, at: np.ndarray, rank: np.ndarray) -> SuffixArray:
+        lead = self.text.lead(at)
+        order = np.argsort(lead, kind="stable")
+        return refined(self.text, SuffixArray(at[order], lead[order], rank[order], np.zeros(len(at), np.int32)), self.width)
+
+    def _merged(self, a: SuffixArray, b: SuffixArray) -> SuffixArray:
+        lead = np.concatenate([a.lead, b.lead])
+        order = np.argsort(lead, kind="stable")  # two sorted runs: one merge
+        return refined(self.text, SuffixArray(np.concatenate([a.at, b.at])[order], lead[order], np.concatenate([a.rank, b.rank])[order], np.zeros(len(lead), np.int32)), self.width)
+
+    def _judged(self, array: SuffixArray, new: int) -> tuple[SuffixArray, np.ndarray]:
+        """(distinct suffixes, the earliest of each; positions of those from rank ``new`` on that an earlier one equals)."""
+        head = np.flatnonzero(array.shared < self.width)
+        least = np.minimum.reduceat(array.rank, head)
+        of = np.cumsum(array.shared < self.width) - 1
+        again = (least[of] < array.rank) & (array.rank >= new)
+        # The earliest of equal suffixes stands for them; they are the same bytes, so order and prefixes hold.
+        earliest = np.flatnonzero(array.rank == least[of])
+        _, pick = np.unique(of[earliest], return_index=True)
+        kept = earliest[pick]
+        return SuffixArray(array.at[kept], array.lead[kept], array.rank[kept], array.shared[head]), array.at[again]
+
+    def add(self, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Positions of the new batch whose window starts earlier elsewhere, in the batch or in a level; ranks are places in time, none below those before."""
+        new = int(rank.min(initial=0))
+        batch, found = self._judged(self.sorted_batch(at, rank), new)
+        hits, carry, size = [found], batch, 1
+        for level in reversed(self.levels):
+            merging = level is self.levels[-1] and level.size == size
+            array, found = self._judged(self._merged(level.array, carry if merging else batch), new)
+            hits.append(found)
+            if merging:
+                carry, size = array, 2 * size
+                self.levels.pop()
+        self.levels.append(Level(size, carry))
+        return np.concatenate(hits)
+
+
+def mark_bytes(params: SuffixParams, watch: list[list[int]] | None = None):
+    """watch, if given, takes the sizes of each shard's levels at the end."""
+
+    def mark(b: S.Bucket) -> np.ndarray:
+        """Which windows of each segment's smallest place start earlier elsewhere."""
+        at = K.ranges(b.rows[:-1], b.windows)
+        before = np.cumsum(b.windows) - b.windows
+        step = np.arange(len(at)) - np.repeat(before, b.windows)
+        id_, start = np.repeat(b.id, b.windows), np.repeat(b.start, b.windows) + step
+        # Segments come by place, so only rows of one id can be out of order.
+        order = np.arange(len(at)) if (np.diff(b.id) > 0).all() else np.lexsort((start, id_))
+        new = np.ones(len(order), bool)
+        new[1:] = (id_[order][1:] != id_[order][:-1]) | (start[order][1:] != start[order][:-1])
+        rank = np.cumsum(new) - 1
+        family = IndexFamily(Text(b.data), params.width)
+        marked = np.zeros(len(b.data), bool)
+        n = int(rank[-1]) + 1
+        size = max(params.least_batch, -(-n // params.batches))
+        for k in range(0, n, size):
+            low, high = np.searchsorted(rank, [k, k + size])
+            marked[family.add(at[order[low:high]], rank[low:high])] = True
+        if watch is not None:
+            watch.append([level.size for level in family.levels])
+        return marked[at]
 
-def repeated_byte_spans(docs: DataFrame, params: SuffixParams = SuffixParams(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Column]:
-    """(_id, _h, start, end: byte spans that also start earlier, by row; the expression behind _h)."""
-    return S.repeated_spans(docs, byte_units(params.gram), params.width, params.gram, mark_bytes(params), id_col, text_col)
+    return mark
 
 
 def remove_repeats(docs: DataFrame, params: SuffixParams = SuffixParams(), id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept_sha256 of every row, and the kept bytes themselves if asked for."""
-    rows = S.with_spans(docs, *repeated_byte_spans(docs, params, id_col, text_col), id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            total, removed, runs, digest, kept_bytes = [], [], [], [], []
-            for text, spans in zip(b.column(1), b.column(2), strict=True):
-                data = text.as_py() or b""
-                kept, n = data, 0
-                if spans.is_valid:
-                    parts, at = [], -1
-                    for s in spans.as_py():
-                        if s["start"] > at:
-                            parts.append(data[max(at, 0) : s["start"]])
-                            n += 1
-                        at = max(at, s["end"])
-                    kept = b"".join([*parts, data[at:]])
-                total.append(len(data))
-                removed.append(len(data) - len(kept))
-                runs.append(n)
-                digest.append(hashlib.sha256(kept).hexdigest())
-                kept_bytes.append(kept if with_text else None)
-            out = [b.column(0), *(pa.array(x, pa.int64()) for x in (total, removed, runs)), pa.array(digest, pa.string()), pa.array(kept_bytes, pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
-
-    out = rows.mapInArrow(run, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
+
+    def finish(ids: pa.Array, data: np.ndarray, rows: np.ndarray, spans: list[np.ndarray | None]) -> list[pa.Array]:
+        total, removed, runs, digest, kept_bytes = [], [], [], [], []
+        for k, cut in enumerate(spans):
+            text = data[rows[k] : rows[k + 1]].tobytes()
+            kept, n = text, 0
+            if cut is not None:
+                parts, at = [], -1
+                for start, end in cut.tolist():
+                    if start > at:
+                        parts.append(text[max(at, 0) : start])
+                        n += 1
+                    at = max(at, end)
+                kept = b"".join([*parts, text[at:]])
+            total.append(len(text))
+            removed.append(len(text) - len(kept))
+            runs.append(n)
+            digest.append(hashlib.sha256(kept).hexdigest())
+            kept_bytes.append(kept if with_text else None)
+        return [ids, *(pa.array(x, pa.int64()) for x in (total, removed, runs)), pa.array(digest, pa.string()), pa.array(kept_bytes, pa.binary())]
+
+    windows = S.Windows(byte_units(params.gram), params.width, params.gram, bytewise=True, by_start=True)
+    out = S.without_repeats(docs, windows, mark_bytes(params), finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary", id_col, text_col)
     return out if with_text else out.drop("kept_bytes")

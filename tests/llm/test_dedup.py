@@ -70,24 +70,90 @@ def test_suffix_index(which, request):
 
 
 def test_suffix_index_in_small_batches(documents):
-    small = suffix_index.SuffixParams(batch_windows=50)
+    small = suffix_index.SuffixParams(batches=40, least_batch=1)
     assert Counter(tuple(r) for r in suffix_index.remove_repeats(documents, small).collect()) == expected_bytes(pairs(documents))
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.fixture(scope="module")
+def long_words(spark):
+    """Words that polynomial hashes modulo a power of two take for one, and a word of a megabyte."""
+    x, y = thue_morse(1024)
+    tail = " ".join(f"w{k}" for k in range(12))
+    big = "".join(f"{k:x}" for k in range(200_000))
+    texts = [f"{x} {tail}", f"{y} {tail}", f"{x} {tail} more", big, f"{big} z", f"q {big[1:]}", " ".join([y, x] * 20), big[:500_000] + "!" + big[500_001:]]
+    return spark.createDataFrame([(k + 1, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+
+
+def test_structured_and_very_long_words(long_words):
+    assert Counter(tuple(r) for r in substring.remove_repeats(long_words).collect()) == expected_words(pairs(long_words))
+    assert Counter(tuple(r) for r in suffix_index.remove_repeats(long_words).collect()) == expected_bytes(pairs(long_words))
+    for n, percent in ((3, 90), (5, 80)):
+        got = Counter(tuple(r) for r in J.jaccard_components(long_words, J.JaccardParams(n=n, percent=percent)).collect())
+        assert got == expected_components(pairs(long_words), n, percent)
+
+
+def test_rows_of_one_id_with_other_texts(spark):
+    """Places are compared by id and start, across the rows of an id too."""
+    r = np.random.default_rng(3)
+    a, b, c = ("".join(map(chr, r.integers(97, 123, 260))) for _ in range(3))
+    df = spark.createDataFrame([(1, a + b), (1, b + c), (1, a + b), (2, c + a), (0, b[:150]), (2, b)], "doc_id long, text string")
+    assert Counter(tuple(x) for x in suffix_index.remove_repeats(df).collect()) == expected_bytes(pairs(df))
+
+
+def test_a_changed_pack_is_an_error(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(40).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.lit(f"w{k}") for k in range(20)], F.rand().cast("string"), *[F.lit(f"v{k}") for k in range(20)]).alias("text"))
+    shaky = df.withColumn("text", F.concat("text", F.udf(lambda: str(__import__("time").time_ns()), "string").asNondeterministic()()))
+    with pytest.raises(Exception, match="changed between two readings"):
+        substring.remove_repeats(shaky).collect()
+
+
 def test_levels_grow_geometrically():
-    family = suffix_index.IndexFamily()
     rng = np.random.default_rng(0)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    family = suffix_index.IndexFamily(suffix_index.Text(data), 20)
     for k in range(1, 20):
-        family.add(rng.integers(0, 1 << 60, (2, 10), dtype=np.uint64))
-        assert [s for s, _ in family.levels] == [1 << b for b in range(10, -1, -1) if k >> b & 1]
-
-
-def test_equal_order_keys_are_told_apart():
-    family = suffix_index.IndexFamily()
-    first = np.array([[5, 5, 5, 9], [1, 2, 1, 7]], dtype=np.uint64)
-    assert family.add(first).tolist() == [False, False, True, False]
-    assert family.add(np.array([[5, 5, 9, 4], [2, 3, 7, 1]], dtype=np.uint64)).tolist() == [True, False, True, False]
-    assert family.add(np.array([[5, 4], [3, 1]], dtype=np.uint64)).tolist() == [True, True]
+        at = np.arange((k - 1) * 200, k * 200)
+        family.add(at, at)
+        assert [level.size for level in family.levels] == [1 << b for b in range(10, -1, -1) if k >> b & 1]
+        for level in family.levels:
+            texts = [data[p : p + 20].tobytes() for p in level.array.at]
+            assert texts == sorted(set(texts))
+            assert level.array.shared.tolist() == [0] + [next((i for i in range(20) if x[i] != y[i]), 20) for x, y in zip(texts, texts[1:], strict=False)]
+
+
+def test_the_query_leaves_three_levels(documents):
+    """The shards of the registered query's own parameters, put together as its tasks do."""
+    import pyarrow as pa
+
+    p = suffix_index.SuffixParams()
+    w = superkmer.Windows(suffix_index.byte_units(p.gram), p.width, p.gram, bytewise=True, by_start=True)
+    seen = []
+    got = superkmer.packs(documents, w, 8, "doc_id", "text").toArrow()
+    for k in range(8):
+        part = got.filter(pa.compute.equal(got.column("bucket"), k))
+        b = superkmer.opened(iter(part.to_batches()))
+        if b is not None:
+            suffix_index.mark_bytes(p, seen)(b)
+    assert max(map(len, seen)) >= 3 and [4, 2, 1] in seen
+
+
+def test_windows_with_one_fingerprint_are_told_apart(monkeypatch):
+    words = np.array([1, 2, 3, 1, 2, 3, 9, 1, 2, 3])
+    at = np.arange(8)
+    want = substring.sorted_windows(words, at, 3)[1].sum()
+    monkeypatch.setattr(substring.K, "gram_hashes", lambda h, n: np.zeros(len(h) - n + 1, np.uint64))
+    order, new = substring.sorted_windows(words, at, 3)
+    groups = np.split(order, np.flatnonzero(new)[1:])
+    assert new.sum() == want and sorted(map(tuple, map(sorted, groups)))[0] == (0, 3, 7)
 
 
 def test_kept_text(nasty):
