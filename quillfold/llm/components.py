@@ -35,5 +35,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if (now["n"], now["h"]) == state:
             break
         state = (now["n"], now["h"])
+    else:
+        raise RuntimeError(f"edges still change after {most_rounds} rounds")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -20,11 +20,16 @@ Lists beyond ``long_list`` are linked unscanned; clusters beyond ``tile``
 members are cut into blocks and verified block against block, so no task grows
 with a hot group, and no link is lost.
 
-The boundary x minimises the sum of enumerated subsets and scanned list
-entries, estimated per size from a count sketch of fixed size over all
-shingles. The same sketch orders shingles by rarity.
-
-A text with fewer than n words has its whole sequence as one shingle; a null or
+The boundary x minimises the cost of enumerated subsets, each shuffled once,
+and of list entries, each shuffled ``entry_cost`` times (to count its list, to
+meet its bitmap, to be scanned) and scanned against its list. List lengths come
+from a count sketch of fixed size over all shingles, less what a slot holds by
+chance. The same sketch orders shingles by rarity. Shingles are told apart by
+64 bits of a hash without structure: within a pair of sets of a thousand
+shingles, unlike ones meet with a probability below 1e-13.
+
+An empty table gives no rows; very long texts and words are read whole. A text
+with fewer than n words has its whole sequence as one shingle; a null or
 wordless text has none and links with nothing. Ids are integers; rows that
 share an id are one document of the graph, and a row without an id keeps its
 count and has no component. Other columns are ignored.
@@ -62,6 +67,7 @@ class JaccardParams:
     tile: int = 2048
     bucket_rows: int = 1000
     max_subsets: int = 20_000
+    entry_cost: int = 3
 
 
 def need(percent: int, a: np.ndarray | int, b: np.ndarray | int):
@@ -139,7 +145,7 @@ def scaled_bitmaps(values: np.ndarray, first: np.ndarray) -> list[bytes]:
 def signatures(docs: DataFrame, sketch: np.ndarray, params: JaccardParams, id_col: str, text_col: str) -> DataFrame:
     """_id, n, two hashes of the whole set, its rarest shingles (all of a small set), their list cost and two bitmaps."""
     usual = float(sketch.mean())
-    excess = docs.sparkSession.sparkContext.broadcast(np.maximum(1, sketch - usual - 3 * math.sqrt(usual + 1)).astype(np.int64))
+    excess = docs.sparkSession.sparkContext.broadcast(params.entry_cost + np.maximum(0, sketch - usual - 3 * math.sqrt(usual + 1)).astype(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extra = excess.value

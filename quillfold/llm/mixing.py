@@ -3,9 +3,11 @@
 A source's weight is its share of the tokens raised to an exponent, normalised.
 Exponent 1 keeps the natural shares, 0 makes all sources equal. The exponent
 is bisected between 0 and 1 (in sections of a grid, each round one aggregate
-over the source totals) until the weights' entropy meets the target, a share of
-the logarithm of the number of sources; if some source would then be repeated
-more often than ``max_repeats``, the exponent rises to where the limit holds.
+over the source totals) until the weights' entropy meets the target: the
+natural shares' entropy plus ``entropy_gain`` of what it lacks of the greatest,
+the logarithm of the number of sources (or ``target_entropy`` of the greatest,
+if given). If some source would then be repeated more often than
+``max_repeats``, the exponent rises to where the limit holds.
 
 The token budget times its weight is a source's quota. Each source is dealt
 into blocks by a hash of the document id; every epoch permutes the blocks
@@ -37,7 +39,8 @@ from .common import SPACES, materialise
 
 @dataclass(frozen=True)
 class MixingParams:
-    target_entropy: float = 0.98
+    entropy_gain: float = 0.5
+    target_entropy: float | None = None  # a share of the greatest entropy, in place of a gain
     max_repeats: float = 4.0
     budget_tokens: int | None = None  # the tokens there are, if None
     keep_all: bool = False  # take as the budget what holds every document at least once
@@ -74,7 +77,9 @@ def choose_exponent(totals: DataFrame, params: MixingParams = MixingParams()) ->
     n, k = float(whole["n"] or 0), whole["k"]
     if not k:
         return 1.0, 1.0, 0.0, 0.0
-    target = params.target_entropy * math.log(k)
+    most = math.log(k)
+    natural = _at_exponents(totals, n, [1.0], params)[0][0]
+    target = natural + params.entropy_gain * max(0.0, most - natural) if params.target_entropy is None else params.target_entropy * most
     low, high = 0.0, 1.0
 
     # Entropy falls and the limit loosens as the exponent rises: the answer is the largest exponent that meets the target, or the smallest within the limit if that is larger.

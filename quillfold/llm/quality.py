@@ -18,7 +18,8 @@ so ties, repeated rows and hot sources need no care. A text without words
 (null, empty, blank) has no lines and gets score ``empty_score``. Labels that
 are null are ignored; an id labelled twice takes the larger label; without
 labels of both kinds, everything scores ``empty_score`` and every document with
-words is kept. Other columns are ignored.
+words is kept. An empty table gives no rows; a text of any length or number of
+lines is scored whole, its chain by doubling. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from .common import fold_of, materialise
 
 # Frequent short words of the languages served.
 FUNCTION_WORDS = "the of and to in a is that for it was with by this are on as be at or from le la les de des et en un une du que est dans pour sur der die das und den von zu mit sich auf ist im dem nicht ein eine el los las y del se con una su al lo como no".split()
+LONG_CHAIN = 512  # lines
 FEATURES = ("log_bytes", "letters", "upper", "digits", "punctuation", "symbols", "exclamation", "word_length", "same_as_previous_word", "one_byte_words", "few_words", "function_words", "repeated_line", "bars", "capital_run")
 
 
@@ -126,14 +128,46 @@ def _design(x: np.ndarray, first: np.ndarray, mean: np.ndarray, scale: np.ndarra
     return np.concatenate([z, before, after, head[:, None], tail[:, None], np.ones((n, 1))], axis=1)
 
 
+def _prefixes(m: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Products of all 2 x 2 matrices from a chain's begin to each place, up to a factor, by doubling; begin: first place of every entry's chain."""
+    out, at, step = m.copy(), np.arange(len(m)), 1
+    while True:
+        i = np.flatnonzero(at - step >= begin)
+        if not len(i):
+            return out
+        joined = out[i - step] @ out[i]
+        out[i] = joined / joined.max((1, 2), keepdims=True)
+        step *= 2
+
+
+def _long_chains(emit: np.ndarray, t: np.ndarray, first: np.ndarray, rows: np.ndarray, forward: np.ndarray, backward: np.ndarray) -> None:
+    """Fills in the given rows in a number of steps that grows with the logarithm of their lines."""
+    for r in rows.tolist():
+        at = slice(first[r], first[r + 1])
+        m = t[None] * emit[at][:, None, :]
+        m[0] = emit[at][0]
+        begin = np.zeros(len(m), np.int64)
+        f = _prefixes(m, begin)[:, 0]
+        # From the end: the transposed matrices in reverse order, beginning with the last line.
+        b = np.ones((len(m), 2))
+        if len(m) > 1:
+            back = np.ascontiguousarray(m[:0:-1].transpose(0, 2, 1))
+            b[-2::-1] = np.ones(2) @ _prefixes(back, begin[1:])
+        forward[at], backward[at] = f / f.sum(1, keepdims=True), b / b.sum(1, keepdims=True)
+
+
 def marginals(score: np.ndarray, transition: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(probability of good per line, pair marginals summed over neighbours) by forward-backward; score: log odds of good."""
     n, t = len(score), np.exp(transition - transition.max())
     emit = np.stack([np.exp(-np.logaddexp(0, score)), np.exp(-np.logaddexp(0, -score))], axis=1)
     counts = np.diff(first)
     order = np.argsort(-counts, kind="stable")
-    start, left = first[:-1][order], counts[order]
     forward, backward = np.empty((n, 2)), np.ones((n, 2))
+    # Chains of usual length go side by side, a line a step; longer ones by doubling.
+    long = order[counts[order] > LONG_CHAIN]
+    _long_chains(emit, t, first, long, forward, backward)
+    order = order[len(long) :]
+    start, left = first[:-1][order], counts[order]
     longest = int(left[0]) if len(left) else 0
     active = np.searchsorted(-left, -np.arange(longest), side="left")  # rows with more than k lines
     for k in range(longest):

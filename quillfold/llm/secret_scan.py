@@ -8,8 +8,8 @@ copied example: ``example_owners`` of them, or ``shared_owners`` over
 ``example_repositories``. One owner's copies are never an example, however many
 repositories hold them. A value of few owners that looks random is taken as live;
 an assigned value of few owners is live however short or plain, unless it is a
-known placeholder or one repeated character. Base
-spans always stay in the result; mixed tokens are added as kind ``owned`` only
+known placeholder or one repeated character. An empty table gives no rows; very
+long texts are scanned whole. Base spans always stay in the result; mixed tokens are added as kind ``owned`` only
 when they are live. Values are never output, only spans and counts.
 
 Spans count code points, end exclusive. Null and empty texts have no spans.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -86,9 +87,18 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
                 base.append((m.start(), kind, m.end()))
                 found.append((m.start(), kind, m.end(), m.start(), m[0]))
     base.sort()
-    covered = sorted((s, e) for s, _, e in base)
+    # Base spans as sorted stretches that don't meet: one search tells whether a token overlaps any.
+    ends: list[int] = []
+    starts: list[int] = []
+    for s, _, e in base:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for m in OWNED.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, e in covered):
+        at = bisect_right(ends, m.start())
+        if at == len(ends) or starts[at] >= m.end():
             found.append((m.start(), 3, m.end(), m.start(), m[0]))
     return base, found
 

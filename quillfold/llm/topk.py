@@ -6,10 +6,12 @@ shard) pair is one tile: one matrix product, from which each query keeps its
 k best. These lists are merged as a tree, ``fan`` shards at a time, and only
 lists of k entries travel. Scores are integer inner products of floored,
 scaled vectors; products run in double precision where every partial sum stays
-below 2^53, and in 64-bit integers otherwise. Ties go to the smaller id.
+below 2^53, in 64-bit integers where it stays below 2^63, and in integers of any
+length otherwise. A score that no long can hold is an error, never a wrong
+number. Ties go to the smaller id.
 
-Vectors that are null, hold null or non-finite components, or whose scaled
-components leave the 64-bit range take no part, nor do rows without an id.
+Vectors that are null or hold null or non-finite components take no part, nor
+do rows without an id.
 Vectors of another length than the query meet none of its candidates: each
 length is searched for itself. Of queries with the same id the smallest vector
 counts; repeated candidates each count as a row. A query has all its
@@ -40,11 +42,11 @@ class TopKParams:
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """_id, _v (array of long) of the rows that take part."""
+    """_id, _v (scaled components, floored in the tiles: no long need hold them) of the rows that take part."""
     v = F.col("_x")
-    fit = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < F.lit(9.2e18)))
+    fit = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     kept = rows.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_x")).filter(F.col("_id").isNotNull() & v.isNotNull() & fit)
-    return kept.select(F.col("_id").cast("long").alias("_id"), F.transform("_x", lambda x: F.floor(x.cast("double") * scale)).alias("_v"))
+    return kept.select(F.col("_id").cast("long").alias("_id"), F.transform("_x", lambda x: x.cast("double") * scale).alias("_v"))
 
 
 def select_best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,13 +62,19 @@ def select_best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def tile_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of the rows of q and c."""
+    """Exact integer inner products of the rows of q and c, both whole numbers as doubles or integers."""
     bound = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * q.shape[1]
     if bound < 2.0**24:
         return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
     if bound < 2.0**53:
         return (q.astype(float) @ c.astype(float).T).astype(np.int64)
-    return q @ c.T
+    if bound < 2.0**62:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    whole = lambda a: np.array([[int(x) for x in row] for row in a.tolist()], dtype=object).reshape(a.shape)
+    out = whole(q) @ whole(c).T
+    if (abs(out) >= 1 << 63).any():
+        raise ValueError("a score leaves the range of long: scale the vectors down")
+    return out.astype(np.int64)
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, params: TopKParams = TopKParams(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -92,7 +100,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, params: TopKParams = TopKPa
                 for side in (True, False):
                     at = np.flatnonzero((width == w) & (is_query == side))
                     if len(at):
-                        sides.setdefault((w, side), []).append((ids[at], flat[offsets[at][:, None] + np.arange(w)].astype(np.int64).reshape(len(at), w)))
+                        sides.setdefault((w, side), []).append((ids[at], np.floor(flat[offsets[at][:, None] + np.arange(w)]).reshape(len(at), w)))
         for w in {w for w, side in sides if side}:
             if (w, False) not in sides:
                 continue

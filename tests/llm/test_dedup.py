@@ -215,6 +215,14 @@ def test_subsets_find_small_sets(spark):
     assert len(connected_components(J.light_links(sets, 20, p)).select("component").distinct().collect()) == 1 and links
 
 
+def test_both_sides_have_sets(documents):
+    """The boundary by cost leaves sets of the documents on the light side and on the heavy one."""
+    p = J.JaccardParams(n=3, percent=90)
+    sets = J.signatures(documents, J.shingle_sketch(documents, p, "text"), p, "doc_id", "text").filter("n > 0")
+    x = J.choose_boundary(sets, p)
+    assert x > 0 and sets.filter(f"n <= {x}").count() > 0 and sets.filter(f"n > {x}").count() > 0
+
+
 def test_one_of_each(nasty):
     kept = J.one_of_each(nasty)
     assert kept.columns == nasty.columns

@@ -169,6 +169,23 @@ def test_marginals_are_exact():
     assert np.allclose(p, want) and np.allclose(pairs, both)
 
 
+def test_long_chains_agree_with_short_steps(monkeypatch):
+    rng = np.random.default_rng(9)
+    lengths = [700, 3, 1, 0, 1025, 513]
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    score, t = rng.normal(size=first[-1]) * 3, rng.normal(size=(2, 2))
+    fast = quality.marginals(score, t, first)
+    monkeypatch.setattr(quality, "LONG_CHAIN", 1 << 40)
+    slow = quality.marginals(score, t, first)
+    assert np.allclose(fast[0], slow[0]) and np.allclose(fast[1], slow[1])
+
+
+def test_a_text_of_very_many_lines(spark, documents, labels):
+    model = quality.fit(documents, labels)
+    df = spark.createDataFrame([(1, "a line of words\n" * 400_000), (2, "x" * 3_000_000)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_lines"] for r in quality.score_documents(df, model).collect()} == {1: 400_000, 2: 1}
+
+
 def brute_spans(t):
     t = t or ""
     a = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -214,6 +231,28 @@ def test_short_and_plain_passwords_are_live(spark):
     assert got == {k: "x [SECRET] y" if k < len(live) else t for k, t, _, _ in rows}
 
 
+def test_a_long_dump_of_tokens():
+    """Against comparing every token with every base span; and in a time that grows with the text."""
+    r = np.random.default_rng(4)
+    text = " ".join("".join(r.choice(list("0123456789abcdefXYZ"), r.integers(18, 40))) if k % 3 else "token=" + "".join(r.choice(list("abcdef0123456789"), 30)) for k in range(3000))
+    base, found = secret_scan.find(text)
+    want = [(m.start(), m.end()) for m in secret_scan.OWNED.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base)]
+    assert [(s, e) for s, k, e, _, _ in found if k == 3] == want and want and len(base) > 1000
+
+
+def test_owned_spans_of_a_table(spark, documents):
+    """Beside the table's own spans, a key of one source is added, and an example of many sources is not."""
+    from pyspark.sql import functions as F
+
+    own, copied = "Zq9xT4mB7vK2pL8wR5nD", "Ab3dEf6hIj9kLm2nOp5q"
+    first = documents.agg(F.min("source").alias("s")).first()["s"]
+    df = documents.withColumn("text", F.concat_ws(" ", F.coalesce("text", F.lit("")), F.lit(copied), F.when(F.col("source") == first, own)))
+    rows = secret_scan.digest(secret_scan.scan(df, repo_cols=("source", "lang"))).join(df.select("doc_id", "source", "text"), "doc_id").collect()
+    for r in rows:
+        spans = [r["text"][int(a) : int(b)] for k, a, b in (x.split(":") for x in r["spans"].split(",") if x) if k == "owned"]
+        assert copied not in spans and (own in spans) == (r["source"] == first) and r["n_examples"] >= 1
+
+
 def test_redaction_keeps_rows(nasty):
     out = secret_scan.redact(nasty)
     assert out.columns == nasty.columns and out.count() == nasty.count()
@@ -235,6 +274,15 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df).count() == 0
 
 
+def test_huge_components_take_part(spark):
+    rows = [(0, [0.0, 1.0]), (20, [3e17, 0.5]), (2, [0.0, 1e15]), (3, [3e38, -1.0]), (4, [float("inf"), 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in topk.top_k(df.filter("vec_id = 0"), df).collect()]
+    assert sorted(got) == [(0, 1, 2, int(np.float32(1e15)) * 64 * 64), (0, 2, 20, 32 * 64), (0, 3, 3, -64 * 64)]
+    with pytest.raises(Exception, match="leaves the range"):
+        topk.top_k(df.filter("vec_id = 20"), df.union(spark.createDataFrame([(9, [3e17, 0.0])], df.schema))).collect()
+
+
 def test_products_stay_exact():
     q = np.array([[2**40, 3]], dtype=np.int64)
     assert topk.tile_scores(q, np.array([[2**20, 1]], dtype=np.int64))[0, 0] == 2**60 + 3
@@ -280,6 +328,14 @@ def test_keep_all_keeps_large_sources_whole(spark):
         assert taken.count() == len(big)
 
 
+def test_exponent_changes_the_shares_of_the_documents(documents):
+    rows = documents.select(mixing.source_key(documents["source"]).alias("_s"), mixing.token_count(documents["text"]).alias("tokens")).groupBy("_s").sum("tokens").withColumnRenamed("sum(tokens)", "tokens")
+    a, z, n, _ = mixing.choose_exponent(rows)
+    p = np.array([r["tokens"] for r in rows.collect()]) / n
+    h = lambda w: -(w * np.log(w)).sum()
+    assert 0 < a < 1 and h(p**a / z) == pytest.approx((h(p) + math.log(len(p))) / 2, abs=1e-4)
+
+
 def test_exponent_meets_the_entropy(spark):
     totals = spark.createDataFrame([("a", 1000), ("b", 100), ("c", 10)], "_s string, tokens long")
     a, z, n, _ = mixing.choose_exponent(totals, mixing.MixingParams(target_entropy=0.9, max_repeats=1e9))
@@ -334,6 +390,11 @@ def test_both_encoders_agree():
         assert fast(t).tolist() == exact.encode(t, add_special_tokens=False).ids
 
     same()
+    r = np.random.default_rng(2)
+    mixed = "".join(chr(int(c)) for c in r.choice([*range(32, 127), *range(0x3B1, 0x3C9), *range(0x4E00, 0x4E40), *range(0x430, 0x44F), 0x1F600, 10, 0xA0, 0x200D], 40_000))
+    word = "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 30_000))
+    for t in ("a" * 20_000, " " * 20_000, "\n" * 9_000, "1" * 9_999, "é" * 5_000, "中" * 5_000, "!?" * 5_000, mixed, word, word.upper() + " " + word):
+        assert fast(t).tolist() == exact.encode(t, add_special_tokens=False).ids
     for t in ("a <|endoftext|> b", "  \n\n  x", "　  ", "é́é", "'S're 123abc"):
         assert fast(t).tolist() == exact.encode(t, add_special_tokens=False).ids
 
