@@ -59,6 +59,15 @@ def test_toxicity(documents, labels, nasty, empty):
     assert {r["score"] for r in toxicity.classify(nasty, labels.limit(0)).collect()} == {0.1}
 
 
+def test_toxic_texts_of_the_held_out_fold_are_caught(spark):
+    at = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    rows = [r for r in toxicity.classify(spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")).collect() if r["held_out"] and truth.get(r["doc_id"]) is not None]
+    caught = [r["predicted"] for r in rows if truth[r["doc_id"]] == 1]
+    alone = [r["predicted"] for r in rows if truth[r["doc_id"]] == 0]
+    assert len(caught) > 100 and np.mean(caught) >= 0.9 and np.mean(alone) <= 0.02
+
+
 def test_only_near_copies_leave_the_sample():
     rng = np.random.default_rng(6)
     words = ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(400)]
@@ -101,9 +110,19 @@ def test_every_term_of_the_examples_counts():
     assert len(terms) == len(names) > toxicity.HEAD
     index = toxicity.build_index(hashes[:300], [str(k) for k in examples], np.arange(300) % 2, terms, df, 420, 0.1)
 
+    def factor(x):
+        k1, k0 = (sum(x in counts[k] for k in examples if k % 2 == y) for y in (1, 0))
+        table, cells = [(k1, 150), (k0, 150)], 0.0
+        for k, n in table:
+            for seen, share in ((k, (k1 + k0) / 300), (n - k, 1 - (k1 + k0) / 300)):
+                cells += 2 * seen * math.log(seen / (n * share)) if seen else 0
+        return 0.2 + 0.8 * (min(1, cells / 10.83) if k1 > k0 else 0)
+
+    factors = {x: factor(x) for x in names}
+
     def vector(c):
         of = lambda x: sum(x in o for o in counts) if x in names else 1
-        v = {x: (1 + math.log(n)) * math.log(421 / (1 + of(x))) for x, n in c.items()}
+        v = {x: (1 + math.log(n)) * math.log(421 / (1 + of(x))) * factors.get(x, 0.2) for x, n in c.items()}
         norm = math.sqrt(sum(w * w for w in v.values()))
         return {x: w / norm for x, w in v.items()}
 
