@@ -71,7 +71,10 @@ class Text:
 def _shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Leading bytes that two numbers of eight bytes share."""
     x = a ^ b
-    return np.select([x >> np.uint64(8 * (7 - k)) > 0 for k in range(8)], list(range(8)), 8)
+    out = np.zeros(len(x), np.int32)
+    for k in range(8):
+        out += x < np.uint64(1 << 8 * (7 - k))
+    return out
 
 
 @dataclass
@@ -101,13 +104,20 @@ def refined(text: Text, order: SuffixArray, width: int) -> SuffixArray:
         if not len(slots):
             break
         key, g = text.lead(at[slots], depth), group[slots]
-        moved = np.lexsort((key, g))
-        key, at[slots], rank[slots] = key[moved], at[slots][moved], rank[slots][moved]
         tied = np.zeros(len(slots), bool)
         tied[1:] = g[1:] == g[:-1]
-        apart = np.flatnonzero(tied & np.concatenate([[False], key[1:] != key[:-1]]))
-        shared[slots[apart]] = depth + _shared_bytes(key[apart], key[apart - 1])
-        tied[apart] = False
+        # Only ties that this depth breaks need sorting; long repeats stay as they are.
+        heads = np.flatnonzero(~tied)
+        size = np.diff(np.append(heads, len(slots)))
+        broken = np.logical_or.reduceat(key != np.repeat(key[heads], size), heads)
+        some = np.flatnonzero(np.repeat(broken, size))
+        if len(some):
+            moved = some[np.lexsort((key[some], g[some]))]
+            key[some], at[slots[some]], rank[slots[some]] = key[moved], at[slots[moved]], rank[slots[moved]]
+            apart = some[tied[some]]
+            apart = apart[key[apart] != key[apart - 1]]
+            shared[slots[apart]] = depth + _shared_bytes(key[apart], key[apart - 1])
+            tied[apart] = False
         head = np.flatnonzero(~tied)
         group[slots] = slots[head][np.cumsum(~tied) - 1]
         still = tied.copy()
