@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import buckets_for, n_shuffle
+from .common import buckets_for
 
 FLUSH_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20  # of text, before windows overlap
-TASK_BUCKETS = 4
+MOST_TASKS = 20_000  # beyond these, tasks take several buckets one after another
 PACK = "bucket int, pack long, print long, facts binary, bytes binary"
 VERDICT = "pack long, print long, verdict binary"
 TEXTS = "pack long, ids array<long>, lengths binary, bytes binary"
@@ -345,10 +345,9 @@ def without_repeats(docs: DataFrame, w: Windows, mark: Callable[[Bucket], np.nda
 
     mark() says of every window of a bucket's segments, at the segment's smallest place, whether it starts earlier elsewhere.
     """
-    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     buckets = buckets_for(size, BUCKET_BYTES, 8)
-    tasks = min(buckets, max(n_shuffle(spark), buckets_for(buckets, TASK_BUCKETS)))
+    tasks = min(buckets, MOST_TASKS)
     id_type = docs.schema[id_col].dataType
 
     def judge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
