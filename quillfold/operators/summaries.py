@@ -16,6 +16,16 @@ def column_profile(df: DataFrame, empty: callable, columns: list[str] | None = N
     return row.select(each.alias("p")).select("p.*")
 
 
+def column_samples(df: DataFrame, empty: callable, row: str, columns: list[str] | None = None, n: int = 10) -> DataFrame:
+    """column and its first n values that aren't empty, in row order; ranks are limited before the shuffle, so no column is gathered."""
+    from pyspark.sql import Window as W
+
+    names = columns or [c for c in df.columns if c != row]
+    each = df.select(F.col(row).alias("_row"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in names])).alias("v")).select("_row", "v.*").filter(~empty(F.col("value")))
+    first = each.withColumn("_k", F.row_number().over(W.partitionBy("column").orderBy("_row"))).filter(F.col("_k") <= n)
+    return first.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "value"))), lambda x: x["value"]).alias("samples"))
+
+
 def readiness(total: Column, ready: Column) -> Column:
     """ready, partially_ready, pending or not_applicable from counts."""
     return F.when(total == 0, "not_applicable").when(ready == total, "ready").when(ready > 0, "partially_ready").otherwise("pending")
