@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, divergence_sql, jaccard_join, mixing, packing, quality, secret_scan, substring, suffix_index, topk, toxicity
+from . import dedup_sql, divergence, divergence_sql, jaccard_join, mixing, packing, quality, secret_scan, substring, suffix_index, topk, toxicity
 from .common import table
 
 
@@ -80,5 +80,8 @@ SELECT * FROM ranked WHERE rank <= 20
 
 ORACLES: dict[str, str] = {
     "op2_exact_top_k": TOP_K_SQL,
+    "op5_substring_dedup": dedup_sql.substring(),
     "op6_distribution_divergence": divergence_sql.oracle(),
+    "op7_suffix_array_dedup": dedup_sql.suffix(),
+    "op9_jaccard_join": dedup_sql.jaccard(),
 }
