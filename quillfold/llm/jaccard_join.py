@@ -16,9 +16,11 @@ hold one of. Lists are scanned for pairs that sizes and parity bitmaps (a
 lower bound on the symmetric difference) allow; sets joined by such pairs form
 clusters, which contain every component of true links. Each member's whole set
 then goes once to its cluster, where pairs not yet connected are verified.
-Lists beyond ``long_list`` are linked unscanned; clusters beyond ``tile``
-members are cut into blocks and verified block against block, so no task grows
-with a hot group, and no link is lost.
+Lists beyond ``long_list`` are linked unscanned. In clusters beyond ``tile``
+members each member first meets one hub, row by row in a join that may be split;
+those linked to it are connected. Only the others are dealt into blocks that
+meet the blocks of all members, so a hot group of near copies costs one
+comparison a member, no task grows with it, and no link is lost.
 
 The boundary x minimises the cost of enumerated subsets, each shuffled once,
 and of list entries, each shuffled ``entry_cost`` times (to count its list, to
@@ -39,7 +41,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -64,7 +66,7 @@ class JaccardParams:
     percent: int = 80
     lower: bool = True
     long_list: int = 2048
-    tile: int = 2048
+    tile: int = 512
     bucket_rows: int = 1000
     max_subsets: int = 20_000
     entry_cost: int = 3
@@ -282,6 +284,7 @@ def verify(ids: np.ndarray, sides: np.ndarray, values: np.ndarray, first: np.nda
     for p in range(k):
         other = label != label[p]
         other[: p + 1] = False
+        other &= ids != ids[p]
         if not single:
             other &= sides != sides[p]
         other &= need(percent, size, size[p]) <= np.minimum(size, size[p])
@@ -308,13 +311,44 @@ def _placed(clusters: DataFrame, params: JaccardParams) -> tuple[DataFrame, int]
     return placed.withColumn("block", F.pmod(F.xxhash64("_id"), F.col("nb")).cast("int")), buckets_for(members.count(), params.bucket_rows, 8)
 
 
-def _sent(held: DataFrame, buckets: int, *payload: str) -> DataFrame:
-    """Members with where they go (_g, _i, _j): the one bucket of their cluster, or every pair of blocks that their block is in."""
-    target = "struct<g:long,i:int,j:int>"
-    alone = F.array(F.struct(F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j")).cast(target))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.col("component").alias("g"), F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")).cast(target))
-    out = held.select(F.explode(F.when(F.col("nb") == 1, alone).otherwise(tiles)).alias("t"), "_id", "component", "block", *payload)
-    return out.select(F.col("t.g").alias("_g"), F.col("t.i").alias("_i"), F.col("t.j").alias("_j"), "_id", "component", "block", *payload)
+def _alone(whole: DataFrame, buckets: int, *payload: str) -> DataFrame:
+    """Members of clusters of one block, with the bucket that their whole cluster goes to."""
+    return whole.select(F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("_g"), F.lit(-1).alias("_i"), F.lit(-1).alias("_j"), "_id", "component", F.lit(0).alias("block"), *payload)
+
+
+def _meetings(big: DataFrame, payload: tuple[str, ...], meets: Callable[..., bool]) -> tuple[DataFrame, DataFrame]:
+    """Of clusters of several blocks: edges u, v to each cluster's hub (its smallest id), and the tiles (side 0: members that don't meet the hub, side 1: all) left to be judged.
+
+    meets(member's payload..., hub's payload...) tells whether two are connected.
+    """
+    hub = big.groupBy("component").agg(F.min("_id").alias("_hub"), F.min_by(F.struct(*payload), "_id").alias("_h")).select("component", "_hub", *[F.col(f"_h.{p}").alias(f"_h_{p}") for p in payload])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = [b.column(k).to_pylist() for k in range(4, 4 + 2 * len(payload))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([meets(*x) for x in zip(*sides, strict=True)], pa.bool_())], names=["_id", "component", "nb", "_hub", "met"])
+
+    # A hot cluster is one key of this join: its hub is one row, and an adaptive plan can split the other side.
+    asked = big.join(hub, "component").select("_id", "component", "nb", "_hub", *payload, *[f"_h_{p}" for p in payload])
+    asked = materialise(asked.mapInArrow(ask, "_id long, component long, nb int, _hub long, met boolean"), "jaccard-hubs")
+    edges = asked.filter("met and _id <> _hub").select(F.col("_id").alias("u"), F.col("_hub").alias("v"))
+    rest = asked.filter("not met and _id <> _hub").select("_id", "component")
+    count = rest.groupBy("component").agg(F.count("*").alias("_n"))
+    tile = F.ceil(F.col("nb") * F.col("_n") / F.col("_k")).cast("int")
+    size = asked.groupBy("component").agg(F.count("*").alias("_k"), F.first("nb").alias("nb")).join(count, "component").select("component", F.greatest(tile, F.lit(1)).alias("nu"))
+    left = big.join(rest, ["_id", "component"], "left_semi").join(size, "component").select(F.col("component").alias("_g"), F.pmod(F.xxhash64("_id"), F.col("nu")).cast("int").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("_j"), "_id", "component", F.lit(0).alias("block"), *payload)
+    right = big.join(size, "component").select(F.col("component").alias("_g"), F.explode(F.sequence(F.lit(0), F.col("nu") - 1)).alias("_i"), F.col("block").alias("_j"), "_id", "component", F.lit(1).alias("block"), *payload)
+    return edges, left.unionByName(right)
+
+
+def _judged(hold: Callable[[DataFrame], DataFrame], placed: DataFrame, buckets: int, payload: tuple[str, ...], meets: Callable[..., bool], judge: Callable) -> DataFrame:
+    """Edges u, v of all clusters; hold(placed) adds the payload; judge sees whole clusters or tiles of two sides."""
+    group = lambda df: df.groupBy("_g", "_i", "_j").applyInArrow(judge, "u long, v long")
+    alone, several = _alone(hold(placed.filter("nb = 1")), buckets, *payload), placed.filter("nb > 1")
+    if several.isEmpty():
+        return group(alone)
+    edges, tiles = _meetings(materialise(hold(several).select("_id", "component", "nb", "block", *payload), "jaccard-large"), payload, meets)
+    return group(alone.unionByName(tiles)).unionByName(edges)
 
 
 def possible_pairs(size: np.ndarray, sides: np.ndarray, maps: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -366,8 +400,6 @@ def _forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 def refined(sets: DataFrame, clusters: DataFrame, params: JaccardParams) -> DataFrame:
     """Edges u, v of a forest over the pairs within clusters that the scaled bitmaps allow."""
     placed, buckets = _placed(clusters, params)
-    held = sets.select("_id", "n", "scaled").join(placed, "_id")
-
     def scan(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches)).combine_chunks()
         ids, component, block, n = (got.column(k).to_numpy() for k in ("_id", "component", "block", "n"))
@@ -377,14 +409,17 @@ def refined(sets: DataFrame, clusters: DataFrame, params: JaccardParams) -> Data
         u, v = [], []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             at = order[a:b]
-            x, y = possible_pairs(n[at].astype(np.int64), block[at] if key[1].as_py() >= 0 and key[1].as_py() != key[2].as_py() else np.zeros(b - a, int), [maps[k] for k in at], params.percent)
+            x, y = possible_pairs(n[at].astype(np.int64), block[at], [maps[k] for k in at], params.percent)
             label = _forest(b - a, x, y)
             other = np.flatnonzero(label != np.arange(b - a))
             u.append(ids[at[other]])
             v.append(ids[at[label[other]]])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
-    return _sent(held, buckets, "n", "scaled").groupBy("_g", "_i", "_j").applyInArrow(scan, "u long, v long")
+    def meets(n: int, scaled: bytes, m: int, other: bytes) -> bool:
+        return bool(len(possible_pairs(np.array([n, m], np.int64), np.zeros(2, int), [scaled, other], params.percent)[0]))
+
+    return _judged(lambda some: sets.select("_id", "n", "scaled").join(some, "_id"), placed, buckets, ("n", "scaled"), meets, scan)
 
 
 def heavy_links(docs: DataFrame, sets: DataFrame, x: int, params: JaccardParams, id_col: str, text_col: str) -> DataFrame:
@@ -411,8 +446,8 @@ def heavy_links(docs: DataFrame, sets: DataFrame, x: int, params: JaccardParams,
                 v, first = K.shingle_sets(K.words_of(d, r), params.n)
                 yield pa.RecordBatch.from_arrays([*(b.column(k)[i:j] for k in range(4)), pa.array([v[first[k] : first[k + 1]].tobytes() for k in range(j - i)], pa.binary())], names=["_id", "component", "nb", "block", "set"])
 
-    held = text.join(placed, "_id").select("_id", "component", "nb", "block", "_text").mapInArrow(own_sets, "_id long, component long, nb int, block int, set binary")
-    sent = _sent(held, buckets, "set")
+    def hold(some: DataFrame) -> DataFrame:
+        return text.join(some, "_id").select("_id", "component", "nb", "block", "_text").mapInArrow(own_sets, "_id long, component long, nb int, block int, set binary")
 
     def check(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches)).combine_chunks()
@@ -425,11 +460,15 @@ def heavy_links(docs: DataFrame, sets: DataFrame, x: int, params: JaccardParams,
             at = order[a:b]
             sets = [np.frombuffer(raw[k], dtype=np.uint64) for k in at]
             first = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-            out += verify(ids[at], block[at] if key[1].as_py() >= 0 else np.zeros(b - a, int), np.concatenate(sets), first, params.percent)
+            out += verify(ids[at], block[at], np.concatenate(sets), first, params.percent)
         pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    return sent.groupBy("_g", "_i", "_j").applyInArrow(check, "u long, v long")
+    def meets(one: bytes, other: bytes) -> bool:
+        a, b = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+        return len(np.intersect1d(a, b, assume_unique=True)) >= need(params.percent, len(a), len(b))
+
+    return _judged(hold, placed, buckets, ("set",), meets, check)
 
 
 def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

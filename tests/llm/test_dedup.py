@@ -206,6 +206,22 @@ def test_jaccard_with_tiny_tiles(documents):
     assert Counter(tuple(r) for r in J.jaccard_components(documents, tiny).collect()) == expected_components(pairs(documents), 3, 60)
 
 
+def test_a_large_cluster_meets_its_hub(spark):
+    """Near copies of one text in chains that lead away from the hub, far beyond a tile."""
+    r = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(160):
+        w = base.copy()
+        for _ in range(k % 12):
+            w[int(r.integers(60))] = f"x{r.integers(9)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for percent in (50, 70, 85):
+        p = J.JaccardParams(n=2, percent=percent, long_list=40, tile=8)
+        assert Counter(tuple(x) for x in J.jaccard_components(df, p).collect()) == expected_components(pairs(df), 2, percent)
+
+
 def test_subsets_find_small_sets(spark):
     texts = ["a b c d e f g h i j k l m n", "a b c d e f g h i j k l m x", "a b c d e f g h i j k l m", "q r s"] * 4
     df = spark.createDataFrame([(i, f"{t}" if i % 2 else t.upper()) for i, t in enumerate(texts)], "doc_id long, text string")
