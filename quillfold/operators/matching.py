@@ -52,6 +52,14 @@ def coverage(source: Column, candidate: Column) -> Column:
     return F.size(F.array_intersect(s, words(candidate))) / F.nullif(F.size(s), F.lit(0))
 
 
+def covered_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, other, coverage of all pairs of rows that share a word: counts of shared words by an equi-join on them, over the row's own number of words."""
+    each = df.select(key, words(F.col(text)).alias("_w")).select(key, F.size("_w").alias("_n"), F.explode("_w").alias("word"))
+    other = each.select(F.col(key).alias("other"), "word")
+    shared = each.join(other, "word").filter(F.col(key) != F.col("other")).groupBy(key, "other", "_n").agg(F.count("*").alias("_k"))
+    return shared.select(key, "other", (F.col("_k") / F.col("_n")).alias("coverage"))
+
+
 def address_score(source: Column, candidate: Column, ratio: Column, town_fits: Column) -> Column:
     """1 for the same text, 0.99 for all of at least two words, else weighted coverage and similarity."""
     c = F.coalesce(coverage(source, candidate), F.lit(0.0))

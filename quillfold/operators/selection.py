@@ -20,14 +20,17 @@ def latest_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 
 
 def with_selection(df: DataFrame, keys: list[str], order: list[Column], row: str) -> DataFrame:
-    """df with selection_status (authoritative or superseded) and the row that supersedes it."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    out = df.withColumn("_rank", F.row_number().over(w)).withColumn("_first", F.first(row).over(w))
-    single = F.lit(False)
+    """df with selection_status (authoritative or superseded) and the row that supersedes it; ``row`` names a row once.
+
+    The first row of each key is found by a rank that is limited before the shuffle, and joined back: a hot key is neither sorted in one task nor gathered, and an adaptive plan can split its join.
+    """
+    known = F.lit(True)
     for k in keys:
-        single = single | F.col(k).isNull()
-    kept = single | (F.col("_rank") == 1)
-    return out.withColumn("selection_status", F.when(kept, "authoritative").otherwise("superseded")).withColumn("superseded_by", F.when(~kept, F.col("_first"))).drop("_rank", "_first")
+        known = known & F.col(k).isNotNull()
+    first = df.filter(known).withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_rank = 1").select(*keys, F.col(row).alias("_first"))
+    out = df.join(first, keys, "left").select(*df.columns, "_first")
+    kept = F.col("_first").isNull() | (F.col(row) == F.col("_first"))
+    return out.withColumn("selection_status", F.when(kept, "authoritative").otherwise("superseded")).withColumn("superseded_by", F.when(~kept, F.col("_first"))).drop("_first")
 
 
 def selection_counts(selected: DataFrame, by: list[str]) -> DataFrame:

@@ -25,10 +25,11 @@ def day_rows(df: DataFrame, keys: list[str], days: dict[str, str], name: str = "
     return df.select(*keys, pairs.alias("p")).select(*keys, "p.*").filter(F.col(value).isNotNull())
 
 
-def regroup(df: DataFrame, keys: list[str], order: str, text: str, separator: str) -> DataFrame:
-    """Texts of each key joined in order; the key's rows are one conversation or record, which bounds the list."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t"))))
-    return df.groupBy(*keys).agg(ordered.alias("_l"), F.count("*").alias("parts")).select(*keys, "parts", F.array_join(F.transform("_l", lambda x: x["t"]), separator).alias("joined"))
+def regroup(df: DataFrame, keys: list[str], order: str, text: str, separator: str, chunk: int = 256) -> DataFrame:
+    """Texts of each key joined by a whole-number order: first within runs of that order, then the runs, so that the parts of a hot key are joined by many tasks and only its joined text is one value."""
+    listed = lambda o, t: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(o.alias("o"), t.alias("t")))), lambda x: x["t"]), separator)
+    runs = df.groupBy(*keys, F.floor(F.col(order) / chunk).alias("_run")).agg(listed(F.col(order), F.coalesce(F.col(text), F.lit(""))).alias("_t"), F.count("*").alias("_n"))
+    return runs.groupBy(*keys).agg(F.sum("_n").alias("parts"), listed(F.col("_run"), F.col("_t")).alias("joined"))
 
 
 def indexed_item(items: Column, index: int, field: str) -> Column:

@@ -27,19 +27,23 @@ def variants(slug: Column, raw: Column) -> Column:
     return F.slice(every, 1, VARIANTS)
 
 
+def scored_names(asked: DataFrame, known: DataFrame, left: str, right: str) -> DataFrame:
+    """left, right, score of every asked name and every known one that shares two neighbouring letters with it; others can't be alike. An equi-join in place of all pairs."""
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda k: F.substring(c, k, F.lit(2))))
+    met = asked.select(left, F.explode(grams(F.col(left))).alias("_g")).join(known.select(right, F.explode(grams(F.col(right))).alias("_g")), "_g").select(left, right).distinct()
+    return met.withColumn("score", sequence_ratio(left, right))
+
+
 def best_names(asked: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """key, suggested slug and name, confidence and query of the best known entry of each asked one.
 
-    asked: key, slug, raw; known: slug, name, a dimension of bounded size that is
-    broadcast only if its count allows; distinct variants are scored once, however many rows ask for them.
+    asked: key, slug, raw; known: slug, name. Distinct variants are scored once, however many rows ask for them.
     """
     each = asked.select(key, F.explode(variants(F.col("slug"), F.col("raw"))).alias("query"))
     queries = each.select("query").distinct().withColumn("_q", T.slugify(F.col("query")))
     names = known.select("slug", "name", F.explode(F.array(T.slugify(F.col("slug")), T.slugify(F.col("name")))).alias("_n")).distinct()
-    # Names share a gram with the query, or can't be alike: an equi-join in place of all pairs.
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda k: F.substring(c, k, F.lit(2))))
-    met = queries.withColumn("_g", F.explode(grams(F.col("_q")))).join(names.withColumn("_g", F.explode(grams(F.col("_n")))), "_g").groupBy("query", "_q", "slug", "name", "_n").agg(F.count("*").alias("_shared"))
-    scored = met.withColumn("confidence", sequence_ratio("_q", "_n")).groupBy("query", "slug", "name").agg(F.max("confidence").alias("confidence"))
+    met = scored_names(queries.select("_q").distinct(), names.select("_n").distinct(), "_q", "_n")
+    scored = queries.join(met, "_q").join(names, "_n").groupBy("query", "slug", "name").agg(F.max("score").alias("confidence"))
     top = scored.groupBy("query").agg(F.max_by(F.struct("slug", "name", "confidence"), F.struct("confidence", F.negative(F.xxhash64("slug")))).alias("s"))
     return each.join(top, "query").groupBy(key).agg(F.max_by(F.struct("s.*", "query"), F.struct("s.confidence", "query")).alias("b")).select(key, F.col("b.slug").alias("suggested_slug"), F.col("b.name").alias("suggested_name"), "b.confidence", "b.query")
 

@@ -43,6 +43,25 @@ def terms_of(vocabularies: DataFrame | None) -> dict[str, list[str]]:
     return out
 
 
+def ids_of(vocabularies: DataFrame | None):
+    """A function of (vocabulary, array of values) that gives the ids, in order, and what is wrong with the values; without vocabularies the values themselves."""
+    if vocabularies is None:
+        return lambda name, values: (values, F.lit(None).cast("string"))
+    rows = vocabulary.terms(vocabularies).select("vocabulary", "term", "api_id").limit(vocabulary.BROADCAST_TERMS + 1).collect()
+    if len(rows) > vocabulary.BROADCAST_TERMS:
+        raise ValueError("vocabularies are too large to be configuration")
+
+    def of(name: str, values: Column) -> tuple[Column, Column]:
+        own = [(r["term"], r["api_id"]) for r in rows if r["vocabulary"] == name]
+        known = F.create_map(*[F.lit(x) for t, i in own for x in (t, i or "")]) if own else F.create_map().cast("map<string,string>")
+        filled = F.filter(values, lambda v: _some(v).isNotNull())
+        found = F.transform(filled, lambda v: F.try_element_at(known, T.match_form(v)))
+        wrong = F.zip_with(filled, found, lambda v, i: F.when(i.isNull(), F.concat(F.lit("not in vocabulary: "), v)).when(i == "", F.concat(F.lit("no id: "), v)))
+        return F.filter(found, lambda i: F.coalesce(i, F.lit("")) != ""), F.array_join(F.array_compact(wrong), "; ")
+
+    return of
+
+
 def vocabulary_issues(field: Column | str, values: Column, terms: list[str] | None) -> Column:
     """Issues of the filled values that are in no entry; no terms at all (None) check nothing, an absent list knows nothing."""
     if terms is None:

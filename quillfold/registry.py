@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import issues as I
-from .operators import matching, merge, relations, selection, shaping, summaries, vocabulary
+from .operators import matching, merge, relations, selection, shaping, suggest, summaries, vocabulary
 from .plans import layout, records
 from .sources import archive
 
@@ -45,20 +45,24 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("""SELECT doc_id, CASE WHEN lower(x) IN ('', 'n/a', 'na', '-', '.') THEN NULL ELSE sha256(x) END AS clean_hash
 FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), '^ | $', '', 'g') AS x FROM documents)""")
 def clean_text_null_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.regexp_replace(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " "), "^ | $", "")
-    return read(spark, sf_dir, "documents").select("doc_id", F.when(~F.lower(x).isin(T.EMPTY_LIKE), F.sha2(x, 256)).alias("clean_hash"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.null_if_empty_like(F.col("text")), 256).alias("clean_hash"))
 
 
-@query("""SELECT doc_id, e AS email, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9._%+\\-]+@[a-z0-9.\\-]+\\.[a-z]{2,}')) AS e FROM documents) GROUP BY ALL""")
+@query("""SELECT doc_id, e AS email, count(*) AS n FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(lower(text), '\\b[a-z0-9._%+\\-]+@[a-z0-9.\\-]+\\.[a-z]{2,}\\b')), '[.,;:]+$', '') AS e FROM documents) GROUP BY ALL""")
 def extract_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"), 0))
-    return read(spark, sf_dir, "documents").filter(F.col("text").contains("@")).select("doc_id", found.alias("email")).groupBy("doc_id", "email").agg(F.count("*").alias("n"))
+    docs = read(spark, sf_dir, "documents").filter(F.col("text").contains("@"))
+    return docs.select("doc_id", F.explode(T.emails_inside(F.col("text"))).alias("email")).groupBy("doc_id", "email").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, p AS phone, length(regexp_replace(p, '[^0-9]', '', 'g'))::INTEGER AS digits FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\+?[0-9][0-9 ()-]{8,16}[0-9]')) AS p FROM documents)""")
+@query("""SELECT doc_id, p AS phone, CASE WHEN length(d) = 12 AND starts_with(d, '44') THEN regexp_replace(regexp_replace('0' || d[3:], '^(020)([0-9]{4})([0-9]{4})$', '\\1 \\2 \\3'), '^(0[0-9]{4})([0-9]{6})$', '\\1 \\2')
+WHEN length(d) = 11 AND starts_with(d, '0') THEN regexp_replace(regexp_replace(d, '^(020)([0-9]{4})([0-9]{4})$', '\\1 \\2 \\3'), '^(0[0-9]{4})([0-9]{6})$', '\\1 \\2') ELSE p END AS shown,
+NOT coalesce((length(d) IN (10, 11) AND starts_with(d, '0')) OR (length(d) = 12 AND starts_with(d, '44')), false) AS invalid
+FROM (SELECT doc_id, p, regexp_replace(p, '[^0-9]', '', 'g') AS d FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '\\+?[0-9][0-9 ()-]{8,16}[0-9]')), ' +', ' ', 'g') AS p FROM documents))""")
 def phone_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.explode(F.regexp_extract_all("text", F.lit(r"\+?[0-9][0-9 ()-]{8,16}[0-9]"), 0))
-    return read(spark, sf_dir, "documents").select("doc_id", found.alias("phone")).withColumn("digits", F.length(F.regexp_replace("phone", "[^0-9]", "")))
+    """Numbers inside texts, cleaned as a phone cell would be."""
+    found = F.explode(F.transform(F.regexp_extract_all("text", F.lit(r"\+?[0-9][0-9 ()-]{8,16}[0-9]"), 0), lambda p: F.regexp_replace(p, " +", " ")))
+    each = read(spark, sf_dir, "documents").select("doc_id", found.alias("phone")).withColumn("c", T.uk_phone(F.col("phone")))
+    return each.select("doc_id", "phone", F.col("c.value").alias("shown"), (F.col("c.status") == "invalid").alias("invalid"))
 
 
 @query("""SELECT page_id, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(
@@ -269,9 +273,9 @@ def semi_anti_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
 def lookup_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations, regions = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    return s.join(nations, s.s_nationkey == nations.n_nationkey, "left").join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("s_suppkey", "n_name", "r_name")
+    named = relations.looked_up(s, read(spark, sf_dir, "nation"), "s_nationkey", "n_nationkey")
+    return relations.looked_up(named, read(spark, sf_dir, "region"), "n_regionkey", "r_regionkey").select("s_suppkey", "n_name", "r_name")
 
 
 @query("""WITH paths AS (SELECT DISTINCT 'corpus.' || source || '.text' AS path FROM documents), wanted(w) AS (VALUES ('corpus.src1'), ('corpus.src2.text'), ('corpus.src3.text[1]'), ('corpus.src'))
@@ -331,19 +335,22 @@ def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best nation for each slightly wrong name, blocked by the first letter; sequence similarity has no SQL form."""
-    nations = read(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("name"))
-    asked = nations.select(F.col("n_nationkey").alias("asked"), F.concat(F.substring("name", 1, 3), F.lit("x"), F.substring("name", 5, 40)).alias("typed"))
-    pairs = asked.join(nations, F.substring("typed", 1, 1) == F.substring("name", 1, 1)).withColumn("score", F.round(matching.sequence_ratio("typed", "name"), 4))
-    return matching.best_with_margin(pairs, ["asked"], "score", [F.col("n_nationkey")], 0.5, 0.05).select("asked", "n_nationkey", "score", "accepted")
+    """Best known name, its margin and whether both suffice, for every part's misspelt name; sequence similarity has no SQL form, so it is tested against difflib.
 
+    Each distinct spelling is scored once against the names there are, all of them: names are a short list, joined by the grams that alike names share.
+    """
+    part = read(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("name"))
+    typed = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("z"), F.substr("name", F.lit(2)))).otherwise(F.concat(F.substring("name", 1, 3), F.lit("x"), F.substr("name", F.lit(5))))
+    asked = part.select("p_partkey", typed.alias("typed"))
+    best = matching.best_with_margin(suggest.scored_names(asked.select("typed").distinct(), part.select("name").distinct(), "typed", "name"), ["typed"], "score", [F.col("name")], 0.8, 0.05)
+    return asked.join(best, "typed").select("p_partkey", F.col("name").alias("suggested"), "score", "accepted")
 
-@query("""WITH w AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) AS ws FROM benchmark), p AS (SELECT a.item_id AS item, b.item_id AS other, a.ws AS x, b.ws AS y FROM w a JOIN w b ON b.item_id = a.item_id + 1)
-SELECT item, other, round(len(list_intersect(x, y))::DOUBLE / nullif(len(x), 0), 6) AS coverage FROM p""")
+
+@query("""WITH w AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) AS ws FROM benchmark)
+SELECT a.item_id AS item, b.item_id AS other, round(len(list_intersect(a.ws, b.ws))::DOUBLE / nullif(len(a.ws), 0), 6) AS coverage FROM w a JOIN w b ON a.item_id <> b.item_id AND len(list_intersect(a.ws, b.ws)) > 0""")
 def token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("t"))
-    other = items.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other"), F.col("t").alias("u"))
-    return items.join(other, "item_id").select(F.col("item_id").alias("item"), "other", F.round(matching.coverage(F.col("t"), F.col("u")), 6).alias("coverage"))
+    """Share of an item's words in every other item that shares any: an equi-join on words."""
+    return matching.covered_pairs(read(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("t")), "item_id", "t").select(F.col("item_id").alias("item"), "other", F.round("coverage", 6).alias("coverage"))
 
 
 # --- merge, difference, approval ---------------------------------------------
@@ -468,11 +475,7 @@ UNION ALL SELECT 'except', count(*) FROM (SELECT c_custkey FROM customer WHERE c
 def set_algebra_outstanding(spark: SparkSession, sf_dir: str) -> DataFrame:
     owing = read(spark, sf_dir, "customer").filter("c_acctbal < 0").select("c_custkey")
     open_ = read(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    # One aggregate per key instead of three set operations: each side is read once.
-    sides = owing.select("c_custkey", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(open_.select("c_custkey", F.lit(0).alias("a"), F.lit(1).alias("b")))
-    keys = sides.groupBy("c_custkey").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    row = keys.agg(F.count("*").alias("u"), F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("i"), F.count_if((F.col("a") == 1) & (F.col("b") == 0)).alias("e"))
-    return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("op"), F.col(c).alias("n")) for n, c in (("union", "u"), ("intersect", "i"), ("except", "e"))])).alias("x")).select("x.*")
+    return relations.set_counts(owing, open_, "c_custkey")
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100""")
@@ -489,7 +492,7 @@ def next_in_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '12') OR c_custkey::VARCHAR = '12'""")
 def record_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").select("c_custkey", "c_name").filter(F.lower("c_name").contains("12") | (F.col("c_custkey").cast("string") == "12"))
+    return relations.search(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), " 12", ["c_name"], ["c_custkey"])
 
 
 # --- forms and plans over a sheet made of customers ---------------------------
@@ -529,6 +532,6 @@ def form_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def archive_manifest_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Name, bytes and hash of every file of the small tables; files have no SQL form."""
-    files = archive.manifest(spark, f"{sf_dir}/{{region,nation}}.parquet")
+    """Name, bytes and hash of every file of all tables; files have no SQL form, so they are tested against hashlib."""
+    files = archive.manifest(spark, f"{sf_dir}/*.parquet")
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "sha256")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,12 @@ from .operators import addresses as A
 from .operators import issues as I
 from .operators import modelled as M
 from .operators import nested as N
-from .operators import suggest, summaries, vocabulary
-from .plans import contract, headers, layout, validate
-from .registry import query, read
+from .operators import suggest, summaries
+from .operators.matching import canonical_address
+from .plans import actions, contract, headers, layout, records, validate
+from .registry import _sheet, query, read
+from .sources.stored import shared_folder, stored
+from .streaming import latest
 
 # --- contract -----------------------------------------------------------------------
 
@@ -319,3 +324,75 @@ def slug_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = p.select(T.slugify(F.col("p_name")).alias("slug"), F.col("p_name").alias("name")).distinct()
     asked = p.select("p_partkey", T.slugify(wrong).alias("slug"), wrong.alias("raw"))
     return suggest.best_names(asked, known, "p_partkey").select("p_partkey", "suggested_slug", F.round("confidence", 6).alias("confidence"))
+
+
+# --- from sheets to plans ----------------------------------------------------------------
+
+
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as records of a court, with completion times as ISO text or as spreadsheet serials."""
+    k = F.col("o_orderkey")
+    serial = F.concat((F.date_diff("o_orderdate", F.lit("1899-12-30").cast("date"))).cast("string"), F.lit(".0"))
+    when = F.when(k % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(serial)
+    source = F.struct(k.alias("source_row_number"), when.alias("completion_time"), F.lit(None).cast("string").alias("last_modified_time"), F.lit("2999-01-01").alias("start_time"))
+    found = I.rules((k % 3 == 0, I.issue("x", "INVALID_POSTCODE", "warning", "wrong")), (k % 3 == 1, I.issue("x", "ADDRESS_NOTE", "info", "note")))
+    got = read(spark, sf_dir, "orders").select(k.alias("source_row_number"), F.when(F.col("o_custkey") % 10 > 0, F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("court_slug"), source.alias("source"), found.alias("issues"))
+    return got.withColumn("status", I.status(F.col("issues")))
+
+
+_DATED_SQL = """r AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 10 > 0 THEN 'c' || o_custkey END AS slug, CASE WHEN o_custkey % 10 > 0 THEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) ELSE 1 END AS n,
+first(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS top, o_custkey FROM orders)"""
+
+
+@query(f"WITH {_DATED_SQL} SELECT k AS source_row_number, CASE WHEN n > 1 THEN 'skipped' WHEN k % 3 = 0 THEN 'needs_human_review' ELSE 'processed' END AS status, CASE WHEN n > 1 THEN top END AS superseded_by, (k % 3 = 1 OR (k % 3 = 0 AND n = 1))::INTEGER AS issues FROM r")
+def authoritative_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = records.select_authoritative(_dated(spark, sf_dir))
+    return got.select("source_row_number", "status", "superseded_by", F.size("issues").alias("issues"))
+
+
+@query(f"""WITH {_DATED_SQL}, s AS (SELECT *, CASE WHEN n > 1 THEN 'skipped' WHEN k % 3 = 0 OR (slug IS NOT NULL AND o_custkey % 4 = 0) THEN 'needs_human_review' ELSE 'processed' END AS status, CASE WHEN k % 3 = 1 OR (k % 3 = 0 AND n = 1) THEN 1 ELSE 0 END + CASE WHEN n = 1 AND slug IS NOT NULL AND o_custkey % 4 = 0 THEN 1 ELSE 0 END AS i FROM r)
+SELECT count(*) AS records, count(DISTINCT slug) AS courts, count(*) FILTER (status = 'processed') AS processed, 0::BIGINT AS processed_with_warnings, count(*) FILTER (status = 'needs_human_review') AS needs_human_review, 0::BIGINT AS failed, count(*) FILTER (status = 'skipped') AS skipped, sum(i)::BIGINT AS issues FROM s""")
+def existence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    courts = read(spark, sf_dir, "customer").filter("c_custkey % 4 > 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("slug"), F.col("c_custkey").cast("string").alias("id"))
+    return records.summary(records.check_existence(records.select_authoritative(_dated(spark, sf_dir)), courts))
+
+
+@query("""WITH p AS (SELECT c_custkey, ['building_facilities', 'address', 'contact_detail', 'court_opening_hours'] AS r FROM customer WHERE c_custkey > 0 AND c_custkey % 6 > 0), a AS (SELECT c_custkey, unnest(r) AS resource FROM p)
+SELECT resource, CASE WHEN resource IN ('building_facilities', 'address') THEN 'pending' ELSE 'ready' END AS readiness, count(*) AS n FROM a WHERE NOT (resource = 'building_facilities' AND c_custkey % 3 = 2) GROUP BY ALL""")
+def action_plan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan of the sheet of customers; the nested records are stored first, so that each wide plan is planned once."""
+    built = stored(records.build_records(_sheet(spark, sf_dir)), "records")
+    key = F.lower(F.replace("c_name", F.lit("#"), F.lit("-")))
+    courts = read(spark, sf_dir, "customer").filter("c_custkey % 6 > 0").select(key.alias("slug"), F.col("c_custkey").cast("string").alias("id"))
+    lists = _lists(spark).unionByName(spark.createDataFrame([("opening_hour_types", 2, "OPEN", "Court open", "o3", [])], _lists(spark).schema))
+    plan = actions.plan(records.check_existence(built, courts), lists)
+    return plan.groupBy("resource", "readiness").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 0 WHEN p_partkey % 5 = 1 THEN p_size WHEN p_partkey % 5 = 2 THEN 3 WHEN p_partkey % 5 = 3 THEN p_size + 2 ELSE 1 END::INTEGER AS rooms FROM part""")
+def room_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    said = F.when(k % 5 == 1, n).when(k % 5 == 2, "Three").when(k % 5 == 3, F.concat(n, F.lit(" small rooms and two large rooms"))).otherwise(F.lit("see the desk"))
+    return read(spark, sf_dir, "part").select("p_partkey", T.room_count(said, k % 5 > 0).alias("rooms"))
+
+
+@query("""SELECT c_custkey, regexp_replace(replace(replace(replace(c_name, '#', ' | '), '|', ' - '), '&', ' and '), '^', 'care of ') || ' ''' || c_mktsegment || '''' AS shown FROM customer""")
+def request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = F.concat(F.lit("C / o "), F.replace("c_name", F.lit("#"), F.lit(" | ")), F.lit(" ‘"), "c_mktsegment", F.lit("’"))
+    return read(spark, sf_dir, "customer").select("c_custkey", T.api_text(typed).alias("shown"))
+
+
+@query("""SELECT s_suppkey, 'care of ' || lower(replace(s_name, '#', ' ')) || ' and sons ' || s_suppkey || ' high street' AS canonical FROM supplier""")
+def canonical_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = F.concat(F.lit("c/o "), "s_name", F.lit(" & Sons, "), F.col("s_suppkey").cast("string"), F.lit(" Hígh  St."))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", canonical_address(typed).alias("canonical"))
+
+
+@query("SELECT user_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) AS event_type, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id FROM events GROUP BY 1")
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of changes, upserted batch by batch into a table of the latest one per user."""
+    schema = "user_id long, ts timestamp, event_id long, event_type string"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type").repartition(3).write.parquet(f"{at}/changes")
+    latest.keep_latest(latest.read_changes(spark, f"{at}/changes", schema), ["user_id"], ["ts", "event_id"], f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    return latest.current(spark, f"{at}/table", spark.createDataFrame([], schema).schema).select("user_id", "event_type", "event_id")
