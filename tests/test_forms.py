@@ -134,8 +134,12 @@ def test_archive_is_immutable(spark, tmp_path):
     df = spark.range(3)
     files = archive.publish({"t": df}, str(tmp_path), "r1").collect()
     assert files and all(len(f["sha256"]) == 64 and f["bytes"] > 0 for f in files)
-    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+    assert all(f["path"].startswith("t/") for f in files)
+    with pytest.raises(FileExistsError):
         archive.publish({"t": df}, str(tmp_path), "r1")
+    archive.publish({"t": df}, str(tmp_path), "r2", "sheet")
+    assert spark.read.json(f"{tmp_path}/_latest").first()["run_id"] == "r2" and spark.read.parquet(f"{tmp_path}/run_id=r1/t").count() == 3
+    assert not list((tmp_path / "_staging").glob("run_id*"))
 
 
 def test_shards(spark):

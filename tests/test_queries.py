@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quillfold import registry
+from quillfold import registry, registry_forms, registry_review  # noqa: F401  the others register their queries in the first
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -52,5 +52,9 @@ class Gone:
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 assert e.corpus is None and e.corpus_pipeline is None and 'latest_wins' in e.queries()
+assert not any(k.startswith('op') and k[2].isdigit() for k in e.queries()) and 'pipeline' not in e.oracle_sql()
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').config('spark.sql.session.timeZone', 'UTC').getOrCreate()
+assert e.entry(spark).count() > 0 and e.queries()['fuzzy_best_match'](spark, e.SMALLEST).count() > 0
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
