@@ -1,4 +1,9 @@
-"""A corpus pipeline: quality, near copies, secrets, mixture, packing."""
+"""A corpus pipeline: quality, near copies, secrets, mixture, packing.
+
+Every stage takes the columns of documents and any others, whatever their names,
+and all but the last return the same columns. An empty table stays empty in all
+of them; texts of any length are read whole.
+"""
 
 from __future__ import annotations
 
@@ -13,26 +18,40 @@ MIXTURE = mixing.MixingParams(keep_all=True, max_repeats=2.0)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line chain rejects go; labels of all folds may teach it."""
+    """Documents that the line chain rejects go; labels of all folds may teach it.
+
+    Texts without words (null, empty, blank) go. Rows are judged one by one, so repeated rows and ties go or stay together. Without labels of both kinds only texts without words go.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"), held_out=None)
     return quality.keep_good(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group stays, that of the smallest id: five-word shingles, similarity 0.8 or more.
+
+    Texts without words are in no group and stay; so do rows without an id. Rows of one id are one document and stay or go together.
+    """
     return jaccard_join.one_of_each(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live secrets are masked in the text; widely copied examples stay."""
+    """Live secrets are masked in the text; widely copied examples stay.
+
+    No row goes. Null texts stay null; a null source or language is one unknown party; n_chars follows a text that changed.
+    """
     return secret_scan.redact(docs, repo_cols=("source", "lang"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once, and those of small sources again, up to twice.
+
+    A null source is a source of its own; null and empty texts count one token. Rows of one id are repeated together.
+    """
     return mixing.mix_documents(docs, MIXTURE)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences; a null or empty text is its end id alone, and repeated rows are packed each for itself."""
     return packing.pack_documents(docs)
 
 

@@ -12,8 +12,10 @@ below that the distance is null and counts as passed.
 
 Null and empty texts have no words: base_failed is true, both distances are
 null. A language without references is left out; without any references the
-method passes everything. Repeated rows give repeated results. Columns other
-than the id, text and language ones are ignored.
+method passes everything. An empty table gives no rows; very long texts are
+counted whole, inside their row. Ties can't arise: rows don't compare with each
+other. Repeated rows give repeated results. Columns other than the id, text and
+language ones, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ their weights.
 
 Tokens are words plus one per document, so null and empty texts count one. A
 null source is a source of its own. Repeated rows are dealt like others; rows
-of one id share their block and their hash. An empty table gives no rows.
+of one id share their block and their hash. An empty table gives no rows; very
+long texts count all their words. ``mix_documents`` keeps all columns of the
+table, whatever their names; ``mix`` ignores those not named.
 Totals, blocks and cuts are aggregates; no source is gathered in one task: a
 source has at most ``max_blocks`` blocks, and only one block of it is sorted.
 """

@@ -13,8 +13,10 @@ than a window, is cut at powers of two, so that nothing needs padding.
 A block is a run of about ``block_tokens`` tokens of one partition, so memory
 is bounded, nothing is shuffled, no document is dropped, and a lost task is
 simply run again with the same result. Within a block, ties keep input order.
-A null text counts as empty and has the end id alone. Repeated rows are packed
-each for itself. Sequence ids are unique over all partitions, not consecutive.
+A null text counts as empty and has the end id alone; an empty table gives no
+rows. A very long text is tokenised whole and makes a block of its own. Repeated
+rows are packed each for itself. Columns other than id and text, whatever their
+names, are ignored. Sequence ids are unique over all partitions, not consecutive.
 """
 
 from __future__ import annotations

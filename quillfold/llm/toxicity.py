@@ -25,7 +25,9 @@ the sample's bytes. Every whole text is scored. A
 text without known terms (null, empty, other) gets the score of the prior
 vote. Ties go to the example with the smaller position. Null labels are
 ignored, an id labelled twice takes the larger label, and without examples of
-both kinds every score is the prior rate. Repeated rows are scored alike.
+both kinds every score is the prior rate. Repeated rows are scored alike. An
+empty table gives no rows; very long texts are scored whole, a row at a time
+where they fill a piece. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
