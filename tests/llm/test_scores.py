@@ -148,6 +148,31 @@ def test_quality(documents, labels, nasty, empty, spark):
     assert quality.classify(nasty, labels.limit(0)).count() == nasty.count()
 
 
+def test_scores_against_all_labellings(spark, documents, labels):
+    """The query's scores of texts of few lines, from the sum over all labellings of their lines."""
+    model = quality.fit(documents, labels)
+    texts = {r["doc_id"]: r["text"] for r in documents.collect() if r["text"]}
+    scored = {r["doc_id"]: r["score"] for r in quality.classify(documents, labels).collect()}
+    checked = 0
+    for i, t in texts.items():
+        data, rows = kernels.buffer_of(pa.array([t]))
+        x, length, first = quality.line_features(data, rows)
+        n = len(x)
+        if not 0 < n <= 9:
+            continue
+        odds = quality._design(x, first, model.mean, model.scale) @ model.weights
+        total, good = 0.0, 0.0
+        for m in range(1 << n):
+            y = [m >> k & 1 for k in range(n)]
+            w = math.exp(sum(odds[k] * y[k] for k in range(n)) + sum(model.transition[y[k], y[k + 1]] for k in range(n - 1)))
+            total += w
+            good += w * sum(v * a for v, a in zip(length, y, strict=True)) / sum(length)
+        share = good / total
+        assert scored[i] == pytest.approx(1 / (1 + math.exp(-(model.slope * math.log((share + 0.01) / (1.01 - share)) + model.shift))), abs=1e-6)
+        checked += 1
+    assert checked > 20
+
+
 def test_rare_and_missing_labels(spark):
     """A rare label is in the sample, labels without texts aren't, and one label alone drops nothing with words."""
     docs = spark.createDataFrame([(k, "$$$ ### BUY | !!!" if k % 40 == 0 else "The cat sat on the mat and it was warm.") for k in range(400)] + [(999, " ")], "doc_id long, text string")
@@ -333,6 +358,61 @@ def test_mixing_meets_its_quotas(spark, nasty, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
 
 
+def test_mixing_against_a_plain_version(spark, documents):
+    """The query's rows from their definition: shares to an exponent, whole epochs of permuted blocks, and a last block cut by hash."""
+    from pyspark.sql import functions as F
+
+    p = mixing.MixingParams(block_tokens=4000)
+    docs = documents.unionByName(documents.filter("doc_id % 9 = 0").withColumn("source", F.lit("rare")).withColumn("doc_id", F.col("doc_id") + 100_000))
+    s, h = mixing._keys(docs, "source", "doc_id", p)
+    rows = [(r["doc_id"], r["s"], r["h"], r["n"]) for r in docs.select("doc_id", s.alias("s"), h.alias("h"), mixing.token_count(F.col("text")).alias("n")).collect()]
+    total = Counter()
+    for _, s_, _, n in rows:
+        total[s_] += n
+    all_tokens = sum(total.values())
+
+    def at(a):
+        w = {k: (v / all_tokens) ** a for k, v in total.items()}
+        z = sum(w.values())
+        return {k: x / z for k, x in w.items()}
+
+    entropy = lambda w: -sum(x * math.log(x) for x in w.values())
+    target = (entropy(at(1)) + math.log(len(total))) / 2
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if entropy(at(mid)) >= target else (low, mid)
+    weight = at(low)
+    if max(weight[k] * all_tokens / total[k] for k in total) > p.max_repeats:
+        pytest.skip("the repetition limit decides")
+    blocks = {k: min(-(-v // p.block_tokens), p.max_blocks) for k, v in total.items()}
+    frame = spark.createDataFrame(rows, "doc_id long, _s string, _h long, _n long")
+    of = {(r["doc_id"], r["_s"]): r["b"] for r in frame.join(spark.createDataFrame(list(blocks.items()), "_s string, blocks long"), "_s").select("doc_id", "_s", mixing.block_of(F.col("_h"), F.col("blocks")).alias("b")).collect()}
+    want = Counter()
+    for k, v in total.items():
+        quota, filled, epoch = weight[k] * all_tokens, 0, 0
+        own = [(i, h_, n, of[i, k]) for i, s_, h_, n in rows if s_ == k]
+        while filled < quota - 1:
+            named = spark.createDataFrame([(b,) for b in sorted({x[3] for x in own})], "_block long").select("_block", F.xxhash64(F.lit(p.seed), F.lit(k), F.lit(epoch), "_block").alias("o")).collect()
+            for b in [r["_block"] for r in sorted(named, key=lambda r: (r["o"], r["_block"]))]:
+                members = sorted((x for x in own if x[3] == b), key=lambda x: x[1])
+                room = quota - filled
+                took = 0
+                for i, _, n, _ in members:
+                    if took + n <= room + 1e-3:
+                        took += n
+                        want[i, epoch] += 1
+                    else:
+                        break
+                filled += sum(x[2] for x in members)
+                if filled >= quota:
+                    break
+            epoch += 1
+    got = Counter((r["doc_id"], r["epoch"]) for r in mixing.mix(docs, p).collect())
+    # The exponents agree to the grid's last step: a document at the edge of a source may differ.
+    assert sum((got - want).values()) + sum((want - got).values()) <= len(total) and sum(got.values()) > 150
+
+
 def test_keep_all_keeps_large_sources_whole(spark):
     """The quota of the largest source is a product of powers, which may fall below its tokens by more than the tolerance."""
     from pyspark.sql import functions as F
