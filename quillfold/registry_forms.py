@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import addresses as A
+from .operators import compare
 from .operators import issues as I
 from .operators import modelled as M
 from .operators import nested as N
@@ -396,3 +397,52 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type").repartition(3).write.parquet(f"{at}/changes")
     latest.keep_latest(latest.read_changes(spark, f"{at}/changes", schema), ["user_id"], ["ts", "event_id"], f"{at}/table", f"{at}/checkpoint").awaitTermination()
     return latest.current(spark, f"{at}/table", spark.createDataFrame([], schema).schema).select("user_id", "event_type", "event_id")
+
+
+# --- planned against live sections -----------------------------------------------------
+
+
+@query("""WITH n AS (SELECT o_orderkey AS k, o_orderkey % 6 > 0 AS live, o_orderstatus AS ls, CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END AS lp, CASE WHEN o_orderkey % 3 = 0 THEN 'X' WHEN o_orderkey % 3 = 1 THEN o_orderstatus END AS ns, CASE WHEN o_orderkey % 2 = 0 THEN 'P' END AS np FROM orders),
+m AS (SELECT *, coalesce(ns, CASE WHEN live THEN ls END) AS status, coalesce(CASE WHEN live THEN lp END, np, 'none') AS priority FROM n)
+SELECT k AS o_orderkey, live AS has_existing, live AND status IS NOT DISTINCT FROM ls AND priority IS NOT DISTINCT FROM lp AS no_change, CASE WHEN live THEN 'update' ELSE 'create' END AS purpose,
+'{' || CASE WHEN status IS NULL THEN '' ELSE '"status":"' || status || '",' END || '"priority":"' || priority || '"}' AS operation_body FROM m""")
+def section_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    body = lambda s, p: F.struct(k.cast("string").alias("id"), s.alias("status"), p.alias("priority"))
+    live = F.when(k % 6 > 0, body(F.col("o_orderstatus"), F.when(k % 4 > 0, F.col("o_orderpriority"))))
+    new = F.struct(F.lit(None).cast("string").alias("id"), F.when(k % 3 == 0, "X").when(k % 3 == 1, F.col("o_orderstatus")).alias("status"), F.when(k % 2 == 0, "P").alias("priority"))
+    df = read(spark, sf_dir, "orders").select("o_orderkey", live.alias("live"), new.alias("new"))
+    return compare.sections(df, "live", "new", fallbacks=("priority",), defaults={"priority": F.lit("none")}).select("o_orderkey", "has_existing", "no_change", "purpose", "operation_body")
+
+
+_ITEMS_SQL = """live AS (SELECT o_custkey AS court, coalesce(nullif(CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority ELSE '' END, ''), 'untyped-' || o_orderkey) AS key, o_orderkey::VARCHAR AS id, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 > 0),
+new AS (SELECT o_custkey AS court, o_orderpriority AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 7 = 0),
+a AS (SELECT court, key, count(*) AS n, min(id) AS id, min(s) AS s FROM live GROUP BY 1, 2), b AS (SELECT court, key, count(*) AS n, min(s) AS s FROM new GROUP BY 1, 2),
+ops AS (SELECT coalesce(a.court, b.court) AS court, coalesce(a.key, b.key) AS key, CASE WHEN coalesce(a.n, 0) > 1 OR coalesce(b.n, 0) > 1 THEN 'conflict' WHEN b.n IS NULL THEN 'preserve' WHEN a.n IS NULL THEN 'create' WHEN a.s = b.s THEN 'no_change' ELSE 'update' END AS operation, a.id, coalesce(b.s, a.s) AS s FROM a FULL JOIN b ON a.court = b.court AND a.key = b.key)"""
+
+
+def _item_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as items of a court by type: live ones, some without a type, and submitted ones."""
+    k = F.col("o_orderkey")
+    o = read(spark, sf_dir, "orders").withColumn("court", F.col("o_custkey"))
+    item = lambda i, s: F.struct(i.alias("id"), s.alias("status")).alias("body")
+    live = o.filter(k % 3 > 0).select("court", N.business_key(F.when(k % 4 > 0, F.col("o_orderpriority")), k).alias("key"), item(k.cast("string"), F.col("o_orderstatus")))
+    new = o.filter(k % 7 == 0).select("court", N.business_key(F.col("o_orderpriority"), k).alias("key"), item(F.lit(None).cast("string"), F.when(k % 5 == 0, "X").otherwise(F.col("o_orderstatus"))))
+    return compare.collections(live, new, ["court"], live.schema["body"].dataType)
+
+
+@query(f"WITH {_ITEMS_SQL} SELECT court, key, operation, CASE operation WHEN 'create' THEN 'POST' WHEN 'update' THEN 'PUT' END AS method, CASE operation WHEN 'update' THEN id END AS item_id, CASE WHEN operation <> 'conflict' THEN s END AS status FROM ops")
+def collection_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _item_operations(spark, sf_dir).select("court", "key", "operation", "method", "item_id", F.col("body.status").alias("status"))
+
+
+@query(f"""WITH {_ITEMS_SQL}, g AS (SELECT court, count(*) FILTER (operation = 'create') AS creates, count(*) FILTER (operation = 'update') AS updates, count(*) FILTER (operation = 'preserve') AS preserved, count(*) FILTER (operation = 'conflict') AS conflicts, count(*) FILTER (operation = 'no_change') AS unchanged FROM ops GROUP BY 1)
+SELECT *, updates + preserved + unchanged + conflicts > 0 AS has_existing, creates + updates + conflicts = 0 AND preserved + unchanged > 0 AS no_change FROM g""")
+def collection_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.section_state(_item_operations(spark, sf_dir), ["court"])
+
+
+@query(f"WITH {_ITEMS_SQL} SELECT court, key, s <> 'X' AS valid FROM ops WHERE operation IN ('create', 'update')")
+def merged_operation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = {"courtId": F.col("court").cast("string"), "courtContactDescriptionId": F.col("key"), "explanation": F.when(F.col("body.status") == "X", "no <tags>")}
+    return compare.checked(_item_operations(spark, sf_dir), contract.reason("contact_detail", body)).select("court", "key", "valid")
