@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored as materialise
+
+__all__ = ["NON_SPACES", "SPACES", "buckets_for", "fold_of", "materialise", "n_shuffle", "reachable", "table"]
+
 #: White space that separates words, as a character class for Java and RE2 alike.
 SPACES = r"[\x20\x09-\x0D]"
 NON_SPACES = r"[^\x20\x09-\x0D]"
@@ -26,23 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one the session names, else one in the warehouse; never a machine's temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: the lineage ends here, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def buckets_for(rows: int, per_bucket: int, least: int = 1) -> int:
     """How many buckets hold rows at per_bucket each."""
     return max(least, -(-rows // per_bucket))
