@@ -16,11 +16,13 @@ hold one of. Lists are scanned for pairs that sizes and parity bitmaps (a
 lower bound on the symmetric difference) allow; sets joined by such pairs form
 clusters, which contain every component of true links. Each member's whole set
 then goes once to its cluster, where pairs not yet connected are verified.
-Lists beyond ``long_list`` are linked unscanned. In clusters beyond ``tile``
-members each member first meets one hub, row by row in a join that may be split;
-those linked to it are connected. Only the others are dealt into blocks that
-meet the blocks of all members, so a hot group of near copies costs one
-comparison a member, no task grows with it, and no link is lost.
+Lists beyond ``long_list`` are linked unscanned. Clusters beyond ``tile``
+members are cut into blocks whose bitmaps meet block against block. In the
+verified clusters beyond ``tile`` each member first meets one hub, row by row in
+a join that may be split; those linked to it are connected, and only the others
+are dealt into blocks that meet the blocks of all members. So a hot group of near
+copies costs one comparison of sets a member, no task grows with it, and no link
+is lost.
 
 The boundary x minimises the cost of enumerated subsets, each shuffled once,
 and of list entries, each shuffled ``entry_cost`` times (to count its list, to
@@ -66,7 +68,7 @@ class JaccardParams:
     percent: int = 80
     lower: bool = True
     long_list: int = 2048
-    tile: int = 512
+    tile: int = 2048
     bucket_rows: int = 1000
     max_subsets: int = 20_000
     entry_cost: int = 3
@@ -416,10 +418,12 @@ def refined(sets: DataFrame, clusters: DataFrame, params: JaccardParams) -> Data
             v.append(ids[at[label[other]]])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
-    def meets(n: int, scaled: bytes, m: int, other: bytes) -> bool:
-        return bool(len(possible_pairs(np.array([n, m], np.int64), np.zeros(2, int), [scaled, other], params.percent)[0]))
-
-    return _judged(lambda some: sets.select("_id", "n", "scaled").join(some, "_id"), placed, buckets, ("n", "scaled"), meets, scan)
+    held = sets.select("_id", "n", "scaled").join(placed, "_id")
+    alone = F.array(F.struct(F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j")).cast("struct<g:long,i:int,j:int>"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.col("component").alias("g"), F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")).cast("struct<g:long,i:int,j:int>"))
+    side = F.when((F.col("nb") == 1) | (F.col("t.i") == F.col("t.j")), 0).otherwise(F.col("block")).alias("block")
+    sent = held.select("*", F.explode(F.when(F.col("nb") == 1, alone).otherwise(tiles)).alias("t")).select(F.col("t.g").alias("_g"), F.col("t.i").alias("_i"), F.col("t.j").alias("_j"), "_id", "component", side, "n", "scaled")
+    return sent.groupBy("_g", "_i", "_j").applyInArrow(scan, "u long, v long")
 
 
 def heavy_links(docs: DataFrame, sets: DataFrame, x: int, params: JaccardParams, id_col: str, text_col: str) -> DataFrame:
