@@ -42,11 +42,13 @@ class TopKParams:
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """_id, _v (scaled components, floored in the tiles: no long need hold them) of the rows that take part."""
+    """_id, _v (floored scaled components, as doubles: no long need hold them) of the rows that take part."""
     v = F.col("_x")
+    # From 2^53 on, doubles are whole.
+    floored = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
     fit = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     kept = rows.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_x")).filter(F.col("_id").isNotNull() & v.isNotNull() & fit)
-    return kept.select(F.col("_id").cast("long").alias("_id"), F.transform("_x", lambda x: x.cast("double") * scale).alias("_v"))
+    return kept.select(F.col("_id").cast("long").alias("_id"), F.transform("_x", lambda x: floored(x.cast("double") * scale)).alias("_v"))
 
 
 def select_best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +102,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, params: TopKParams = TopKPa
                 for side in (True, False):
                     at = np.flatnonzero((width == w) & (is_query == side))
                     if len(at):
-                        sides.setdefault((w, side), []).append((ids[at], np.floor(flat[offsets[at][:, None] + np.arange(w)]).reshape(len(at), w)))
+                        sides.setdefault((w, side), []).append((ids[at], flat[offsets[at][:, None] + np.arange(w)].reshape(len(at), w)))
         for w in {w for w, side in sides if side}:
             if (w, False) not in sides:
                 continue
