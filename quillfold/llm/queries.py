@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup_sql, divergence, divergence_sql, jaccard_join, mixing, packing, quality, secret_scan, substring, suffix_index, topk, toxicity
+from . import dedup_sql, divergence, divergence_sql, jaccard_join, mixing, packing, periodic, quality, runs_sql, secret_scan, substring, suffix_index, topk, toxicity
 from .common import table
 
 
@@ -54,6 +56,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), repo_cols=("source", "lang")))
 
 
+def planted(ids: list, first: np.ndarray) -> np.ndarray:
+    """Every tenth document (by crc32 of its id) turns periodic from one of its words on: which word each word is read as."""
+    source = np.arange(first[-1])
+    for k, i in enumerate(ids):
+        h, n = zlib.crc32(str(i).encode()), int(first[k + 1] - first[k])
+        if i is not None and h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            source[first[k] + a : first[k + 1]] = first[k] + a + np.arange(n - a) % (1 + (n - a) // (3 + g % 8))
+    return source
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_jaccard_join,
         op10_secret_scan,
+        op13_periodic_runs,
     )
 }
 
@@ -84,4 +103,5 @@ ORACLES: dict[str, str] = {
     "op6_distribution_divergence": divergence_sql.oracle(),
     "op7_suffix_array_dedup": dedup_sql.suffix(),
     "op9_jaccard_join": dedup_sql.jaccard(),
+    "op13_periodic_runs": runs_sql.oracle(),
 }
