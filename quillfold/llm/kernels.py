@@ -148,9 +148,9 @@ class Words:
         return span_hashes(self.data, self.starts, self.ends)
 
 
-def words_of(data: np.ndarray, rows: np.ndarray) -> Words:
-    """Word spans; a word never crosses a row."""
-    solid = ~SPACE[data]
+def words_of(data: np.ndarray, rows: np.ndarray, space: np.ndarray = SPACE) -> Words:
+    """Word spans between the bytes that space marks; a word never crosses a row."""
+    solid = ~space[data]
     begin, end = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
     end[:-1] &= ~solid[1:]

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup_sql, divergence, divergence_sql, jaccard_join, mixing, packing, periodic, quality, runs_sql, secret_scan, substring, suffix_index, topk, toxicity
+from . import collocations, collocations_sql, dedup_sql, divergence, divergence_sql, jaccard_join, mixing, packing, periodic, quality, runs_sql, secret_scan, substring, suffix_index, topk, toxicity
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), repo_cols=("source", "lang")))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def planted(ids: list, first: np.ndarray) -> np.ndarray:
     """Every tenth document (by crc32 of its id) turns periodic from one of its words on: which word each word is read as."""
     source = np.arange(first[-1])
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_jaccard_join,
         op10_secret_scan,
+        op12_phrase_collocations,
         op13_periodic_runs,
     )
 }
@@ -103,5 +108,6 @@ ORACLES: dict[str, str] = {
     "op6_distribution_divergence": divergence_sql.oracle(),
     "op7_suffix_array_dedup": dedup_sql.suffix(),
     "op9_jaccard_join": dedup_sql.jaccard(),
+    "op12_phrase_collocations": collocations_sql.oracle(),
     "op13_periodic_runs": runs_sql.oracle(),
 }
