@@ -34,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stored import shared_folder
@@ -58,7 +58,7 @@ class CollocationParams:
     top: int = 2000  # rows of a language
     inside_percent: int = 50  # a phrase is dropped if a longer one has so much of its count
     every: int = 8  # one phrase in so many is a trigger
-    shard_bytes: int = 16 << 20
+    shard_bytes: int = 6 << 20
 
 
 def _chunks(data: np.ndarray, rows: np.ndarray, lang: np.ndarray, p: CollocationParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -173,20 +173,20 @@ def dictionary(docs: DataFrame, p: CollocationParams, text_col: str, lang_col: s
 
 @dataclass
 class Phrases:
-    """The phrases that a shard's chunks own: hash, weight, first and last byte, language."""
+    """The phrases that a shard's chunks own: hash, weight and, if asked for, first and last byte and language."""
 
     data: np.ndarray
     hash: np.ndarray
     weight: np.ndarray
-    starts: np.ndarray
-    ends: np.ndarray
-    lang: np.ndarray
-    n_words: np.ndarray
+    starts: np.ndarray | None
+    ends: np.ndarray | None
+    lang: np.ndarray | None
+    n_words: np.ndarray | None
     languages: list[str]
     totals: np.ndarray  # owned words of each language
 
 
-def phrases_of(chunks: pa.Table, p: CollocationParams) -> Phrases:
+def phrases_of(chunks: pa.Table, p: CollocationParams, spans: bool) -> Phrases:
     chunks = chunks.combine_chunks()
     coded, lang_hash = _lang_hashes(chunks.column("lang").chunk(0))
     code = coded.indices.to_numpy(zero_copy_only=False)
@@ -197,12 +197,17 @@ def phrases_of(chunks: pa.Table, p: CollocationParams) -> Phrases:
     stop = w.first[1:] - np.where(last, 0, p.words - 1)
     owned = K.ranges(w.first[:-1], stop - w.first[:-1])
     row = np.repeat(np.arange(len(freq)), stop - w.first[:-1])
-    out = []
-    for n in range(1, p.words + 1):
-        fits = owned + n <= w.first[row + 1]
-        at, r = owned[fits], row[fits]
-        out.append((K.mix(K.gram_hashes(h, n)[at] + lang_hash[r] + np.uint64(n)), freq[r], w.starts[at], w.ends[at + n - 1], code[r], np.full(len(at), n, np.int8)))
-    return Phrases(data, *(np.concatenate(x) for x in zip(*out, strict=True)), coded.dictionary.to_pylist(), np.bincount(code[row], freq[row], len(coded.dictionary)).astype(np.int64))
+    fits = [owned + n <= w.first[row + 1] for n in range(1, p.words + 1)]
+    joined = lambda f: np.concatenate([f(n + 1, owned[x], row[x]) for n, x in enumerate(fits)])
+    hashes = joined(lambda n, at, r: K.mix(K.gram_hashes(h, n)[at] + lang_hash[r] + np.uint64(n)))
+    weight = joined(lambda n, at, r: freq[r])
+    totals = np.bincount(code[row], freq[row], len(coded.dictionary)).astype(np.int64)
+    if not spans:
+        return Phrases(data, hashes, weight, None, None, None, None, [], totals)
+    return Phrases(
+        data, hashes, weight, joined(lambda n, at, r: w.starts[at].astype(np.int32)), joined(lambda n, at, r: w.ends[at + n - 1].astype(np.int32)),
+        joined(lambda n, at, r: code[r].astype(np.int32)), joined(lambda n, at, r: np.full(len(at), n, np.int8)), coded.dictionary.to_pylist(), totals,
+    )
 
 
 def _sieve_keys(x: Phrases, buckets: int, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -223,7 +228,7 @@ def phrase_counts(docs: DataFrame, p: CollocationParams = CollocationParams(), t
     low = max(0, 64 - 12 - int(np.ceil(np.log2(max(2, shards * p.shard_bytes)))))
 
     def count(table: pa.Table) -> pa.Table:
-        x = phrases_of(table, p)
+        x = phrases_of(table, p, False)
         order, new, keys, cuts = _sieve_keys(x, shards, low)
         weights = np.add.reduceat(x.weight[order], np.flatnonzero(new)) if len(keys) else np.empty(0, np.int64)
         shard = table.column("shard")[0].as_py()
@@ -251,7 +256,7 @@ def phrase_counts(docs: DataFrame, p: CollocationParams = CollocationParams(), t
         schema = pa.schema([("lang", pa.string()), ("n_words", pa.int32()), ("phrase", pa.string()), ("a", pa.int64())])
         if not table.num_rows:
             return schema.empty_table()
-        x = phrases_of(table, p)
+        x = phrases_of(table, p, True)
         order, new, _, cuts = _sieve_keys(x, shards, low)
         bits = dict(zip(told.column("bucket").to_pylist(), told.column("bits").to_pylist(), strict=True))
         enough = np.concatenate([np.unpackbits(np.frombuffer(bits[b], np.uint8), count=int(n)) for b, n in enumerate(np.diff(cuts).tolist()) if n] or [np.empty(0, np.uint8)]).astype(bool)
@@ -270,6 +275,12 @@ def phrase_counts(docs: DataFrame, p: CollocationParams = CollocationParams(), t
     return spelt.groupBy("lang", "n_words", "phrase").agg(F.sum("a").alias("a")).filter((F.col("a") >= p.least) | (F.col("n_words") == 0))
 
 
+def score(a: str, left: str, right: str) -> Column:
+    """floor(1000000 a^2 / (l r)) in whole numbers, for counts below 10^15."""
+    wide = lambda c: f"cast({c} as decimal(15,0))"
+    return F.expr(f"(cast(1000000 as decimal(7,0)) * {wide(a)} * {wide(a)}) div ({wide(left)} * {wide(right)})")
+
+
 def collocations(docs: DataFrame, p: CollocationParams = CollocationParams(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Each language's best phrases: lang, rank, phrase, a, l, r, n, score."""
     counts = materialise(phrase_counts(docs, p, text_col, lang_col), "phrases")
@@ -282,9 +293,7 @@ def collocations(docs: DataFrame, p: CollocationParams = CollocationParams(), te
     known = counts.filter("n_words > 0").select("lang", F.col("phrase").alias("part"), F.col("a").alias("b"))
     parts = parts.select("lang", "phrase", "n_words", "a", "k", "x.side", "x.part").join(known, ["lang", "part"])
     sides = parts.groupBy("lang", "phrase", "n_words", "a", "k").agg(*[F.max(F.when(F.col("side") == s, F.col("b"))).alias(s) for s in ("l", "r")])
-    wide = lambda c: F.col(c).cast("decimal(15,0)")
-    sides = sides.withColumn("num", F.lit(1_000_000).cast("decimal(7,0)") * wide("a") * wide("a")).withColumn("den", wide("l") * wide("r"))
-    scored = sides.withColumn("score", F.expr("num div den")).groupBy("lang", "phrase", "n_words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("low"))
+    scored = sides.withColumn("score", score("a", "l", "r")).groupBy("lang", "phrase", "n_words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("low"))
     # Every shorter phrase inside a candidate, with the count of the most frequent candidate that holds it.
     within = lambda n: F.transform(F.sequence(F.lit(1), F.col("n_words") - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
     inner = [candidates.filter(F.col("n_words") > n).select("lang", F.explode(within(n)).alias("phrase"), F.col("a").alias("longer")) for n in range(2, p.words)]
