@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, collocations_sql, dedup_sql, divergence, divergence_sql, jaccard_join, mixing, packing, periodic, quality, runs_sql, secret_scan, substring, suffix_index, topk, toxicity
+from . import collocations, collocations_sql, decontaminate, decontaminate_sql, dedup_sql, divergence, divergence_sql, jaccard_join, mixing, packing, periodic, quality, runs_sql, secret_scan, substring, suffix_index, topk, toxicity
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), repo_cols=("source", "lang")))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_jaccard_join,
         op10_secret_scan,
+        op11_benchmark_decontamination,
         op12_phrase_collocations,
         op13_periodic_runs,
     )
@@ -108,6 +113,7 @@ ORACLES: dict[str, str] = {
     "op6_distribution_divergence": divergence_sql.oracle(),
     "op7_suffix_array_dedup": dedup_sql.suffix(),
     "op9_jaccard_join": dedup_sql.jaccard(),
+    "op11_benchmark_decontamination": decontaminate_sql.oracle(),
     "op12_phrase_collocations": collocations_sql.oracle(),
     "op13_periodic_runs": runs_sql.oracle(),
 }
