@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import derive, digests, preflight
+from .operators import bodies, derive, digests, preflight
 from .registry import query, read
 from .registry_review import REASONS, RESOURCES, _sql_list
 
@@ -176,3 +176,52 @@ def flight_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def preflight_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All outcomes of a preflight, each from the table that decides it."""
     return preflight.preflight(flight_tables(spark, sf_dir), F.col("value") == "")
+
+
+# --- bodies of unknown schema -----------------------------------------------------------
+
+_BODIES_SQL = """WITH before AS (SELECT o_orderkey AS id, '{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '","who":{"key":' || o_custkey || CASE WHEN o_orderkey % 3 = 0 THEN ',"tags":["a","b"]' ELSE '' END || '},"items":[{"index":3,"v":' || (o_orderkey % 7) || '},{"createdAt":5,"index":1,"w":null}]' || CASE WHEN o_orderkey % 5 = 0 THEN ',"extra":{"deep":{"x":true}}' WHEN o_orderkey % 5 = 1 THEN ',"extra":"none"' ELSE '' END || '}' AS body FROM orders),
+after AS (SELECT o_orderkey AS id, '{"id":0,"status":"' || CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END || '","who":{' || CASE WHEN o_orderkey % 6 = 0 THEN '"tags":["c"]' ELSE '"key":' || o_custkey END || '}' || CASE WHEN o_orderkey % 10 = 5 THEN ',"extra":7' WHEN o_orderkey % 10 = 6 THEN ',"extra":{"deep":{"y":1}}' ELSE '' END || '}' AS body FROM orders)"""
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as JSON bodies of mixed shapes, and what is submitted for them."""
+    k, o = F.col("o_orderkey"), read(spark, sf_dir, "orders")
+    text = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts]).alias("body")
+    s, c = F.col("o_orderstatus"), F.col("o_custkey")
+    tags = F.when(k % 3 == 0, ',"tags":["a","b"]').otherwise("")
+    extra = F.when(k % 5 == 0, ',"extra":{"deep":{"x":true}}').when(k % 5 == 1, ',"extra":"none"').otherwise("")
+    before = o.select(k.alias("id"), text('{"id":', k, ',"status":"', s, '","who":{"key":', c, tags, '},"items":[{"index":3,"v":', k % 7, '},{"createdAt":5,"index":1,"w":null}]', extra, "}"))
+    who = F.when(k % 6 == 0, '"tags":["c"]').otherwise(F.concat(F.lit('"key":'), c.cast("string")))
+    more = F.when(k % 10 == 5, ',"extra":7').when(k % 10 == 6, ',"extra":{"deep":{"y":1}}').otherwise("")
+    return before, o.select(k.alias("id"), text('{"id":0,"status":"', F.when(k % 4 == 0, "X").otherwise(s), '","who":{', who, "}", more, "}"))
+
+
+def _leaves_sql(table: str, arrays: bool = True) -> str:
+    """Leaves of a table of bodies (id, body): what has no children, by path; the whole array where arrays aren't walked."""
+    inside = "true" if arrays else "NOT contains(fullkey, '[')"
+    kinds = "('OBJECT', 'ARRAY')" if arrays else "('OBJECT')"
+    return f"""(SELECT b.id, replace(fullkey[3:], '"', '') AS path, value::VARCHAR AS value FROM {table} b, json_tree(b.body) t WHERE type NOT IN {kinds} AND type <> 'NULL' AND {inside} AND NOT regexp_matches(fullkey, '(id|createdAt|updatedAt)$') AND fullkey <> '$')"""
+
+
+@query(f"""{_BODIES_SQL}, a AS {_leaves_sql("before")}, b AS {_leaves_sql("after")}
+SELECT coalesce(a.id, b.id) AS id, coalesce(a.path, b.path) AS field, a.value AS before, b.value AS after FROM a FULL JOIN b ON a.id = b.id AND a.path = b.path WHERE a.value IS DISTINCT FROM b.value""")
+def body_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bodies.differences(*_bodies(spark, sf_dir), ["id"], "body")
+
+
+@query(f"""{_BODIES_SQL}, m AS (SELECT before.id, json_merge_patch(before.body::JSON, after.body::JSON) AS body FROM before JOIN after USING (id)), l AS {_leaves_sql("m", False)}
+SELECT id, path, value FROM l WHERE NOT (id % 9 = 1 AND (path = 'who' OR starts_with(path, 'who.')))""")
+def body_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of the merged bodies; for some orders all of who is cleared."""
+    before, after = _bodies(spark, sf_dir)
+    return bodies.merged(before, after, ["id"], "body", clears=before.filter("id % 9 = 1").select("id", F.lit("who").alias("path"))).select("id", "path", "value")
+
+
+@query(f"""{_BODIES_SQL}, s AS (SELECT id, replace(body, '"index":3,"v":' || (id % 7), '"index":3,"v":"new"') AS body FROM before) SELECT * FROM {_leaves_sql("s")}""")
+def body_paths_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The item of index 3 gets another value, though it stands first; an item that isn't there stays so. Read again as leaves, items by position after they were put in order of their index."""
+    before, _ = _bodies(spark, sf_dir)
+    edits = before.select("id", F.explode(F.array(F.struct(F.lit("items[3].v").alias("path"), F.lit('"new"').alias("value")), F.struct(F.lit("items[9].v").alias("path"), F.lit("1").alias("value")))).alias("e")).select("id", "e.path", "e.value")
+    got = bodies.leaves(bodies.with_path(before, ["id"], "body", edits), ["id"], "body")
+    return got.withColumn("path", F.when(F.col("path").startswith("items["), F.translate("path", "01", "10")).otherwise(F.col("path")))
