@@ -8,10 +8,11 @@ lookups: postcode, http_status (null: the service did not answer).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .matching import address_score, best_with_margin, canonical_address, sequence_ratio, top_candidates
+from .matching import address_score, best_with_margin, canonical_address, letter_counts, ratio_bounds, sequence_ratio, top_candidates
 
 # What a match needs, candidates kept, areas that are not served, and statuses that block an action.
 SCORE, MARGIN, KEPT = 0.98, 0.05, 10
@@ -23,16 +24,46 @@ def _text(*parts: Column) -> Column:
     return canonical_address(F.concat_ws(" ", *parts))
 
 
-def scored(addresses: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Every address with the candidates of its postcode, each once by uprn (or address), and the best score of three readings of a candidate."""
-    c = candidates.withColumn("_who", F.coalesce("uprn", "address")).groupBy("postcode", "_who").agg(F.min_by(F.struct(*[x for x in candidates.columns if x != "postcode"]), "position").alias("c")).select("postcode", F.col("c"))
-    a = addresses.withColumn("_source", _text(F.col("line_1"), F.col("line_2"), F.col("town"))).withColumn("_town", _text(F.col("town")))
-    both = a.join(c, "postcode")
-    readings = F.array(_text(F.col("c.organisation"), F.col("c.town")), _text(F.col("c.organisation"), F.col("c.number"), F.col("c.name"), F.col("c.street"), F.col("c.town")), _text(F.col("c.address")))
-    each = both.select(*[x for x in addresses.columns], "c", "_source", "_town", F.explode(readings).alias("_text"))
+def readings(candidates: DataFrame) -> DataFrame:
+    """postcode, position, c and _t, the different canonical readings of every candidate with their letters, each candidate once by uprn (or address)."""
+    c = candidates.withColumn("_who", F.coalesce("uprn", "address")).groupBy("postcode", "_who").agg(F.min_by(F.struct(*[x for x in candidates.columns if x != "postcode"]), "position").alias("c"))
+    texts = F.array_distinct(F.array(_text(F.col("c.organisation"), F.col("c.town")), _text(F.col("c.organisation"), F.col("c.number"), F.col("c.name"), F.col("c.street"), F.col("c.town")), _text(F.col("c.address"))))
+    each = c.select("postcode", F.col("c.position").alias("position"), "c", F.array_compact(texts).alias("_t"))
+    return each.withColumn("_t", F.transform("_t", lambda t: F.struct(t.alias("text"), letter_counts(t).alias("counts"))))
+
+
+def survivors(addresses: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """Pairs of an address and a candidate of its postcode that may be among the address's k best: its columns, position, c, the readings _t, _source and _town.
+
+    Every pair has a least and a greatest score: whole words in common are known, and
+    similarity is bounded by letters and ends. A pair whose greatest score is below
+    the k-th best of the least ones goes, so no text is compared for it.
+    """
+    a = addresses.withColumn("_source", _text(F.col("line_1"), F.col("line_2"), F.col("town"))).withColumn("_town", _text(F.col("town"))).withColumn("_counts", letter_counts(F.col("_source")))
+    source, town = F.col("_source"), F.col("_town")
+
+    def bounds(t: Column) -> Column:
+        fits = (town == "") | t["text"].contains(town)
+        low, high = ratio_bounds(source, t["text"], F.col("_counts"), t["counts"])
+        return F.struct(address_score(source, t["text"], low, fits).alias("low"), address_score(source, t["text"], high, fits).alias("high"))
+
+    both = a.join(readings(candidates), "postcode").withColumn("_b", F.transform("_t", bounds)).withColumn("_t", F.transform("_t", lambda t: t["text"]))
+    # Few bytes, but much work for each: as many tasks as the session's shuffles have, not as few as the bytes would fill.
+    both = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "row", "index")
+    w = W.partitionBy("row", "index").orderBy(F.col("_low").desc()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    got = both.withColumn("_low", F.array_max("_b.low")).withColumn("_high", F.array_max("_b.high")).drop("_counts", "_b")
+    return got.withColumn("_floor", F.nth_value("_low", k).over(w)).filter("_floor is null or _high >= _floor").drop("_low", "_high", "_floor")
+
+
+def scored(addresses: DataFrame, candidates: DataFrame, k: int = 2) -> DataFrame:
+    """The candidates that may be among an address's k best, with the best score of a candidate's readings; texts are compared where no rule settles the score."""
+    left = survivors(addresses, candidates, k)
+    each = left.select(*addresses.columns, "position", "c", "_source", "_town", F.explode("_t").alias("_text"))
     fits = (F.col("_town") == "") | F.col("_text").contains(F.col("_town"))
-    one = address_score(F.col("_source"), F.col("_text"), sequence_ratio("_source", "_text"), fits)
-    return each.withColumn("score", one).groupBy("row", "index", F.col("c.position").alias("position")).agg(F.max("score").alias("score"), F.first("c").alias("c"))
+    sure = address_score(F.col("_source"), F.col("_text"), F.lit(None).cast("double"), fits)
+    each = each.withColumn("_sure", sure).withColumn("_ratio", sequence_ratio(F.when(F.col("_sure").isNull(), F.col("_source")), F.col("_text")))
+    one = F.coalesce("_sure", address_score(F.col("_source"), F.col("_text"), F.col("_ratio"), fits))
+    return each.withColumn("score", one).groupBy("row", "index", "position").agg(F.max("score").alias("score"), F.first("c").alias("c"))
 
 
 def mapped(c: Column) -> Column:
@@ -86,7 +117,7 @@ def summary(verifications: DataFrame) -> DataFrame:
 def for_model(verifications: DataFrame, candidates: DataFrame) -> DataFrame:
     """The best candidates of every address that needs a review, without their postcode; a candidate without a uprn can't be chosen."""
     open_ = verifications.filter("status = 'review_required'").select("row", "index", "line_1", "line_2", "town", "county", "postcode")
-    some = scored(open_, candidates).filter("c.uprn is not null")
+    some = scored(open_, candidates.filter("uprn is not null"), KEPT)
     return top_candidates(some, ["row", "index"], "score", [F.col("position")], KEPT).select("row", "index", "rank", "score", F.col("c.uprn").alias("uprn"), F.col("c.address").alias("address"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,37 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else one(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 -"
+#: From this length on the similarity may pass over frequent letters, so common ends promise nothing.
+LONG = 200
+
+
+def letter_counts(c: Column) -> Column:
+    """How often each of LETTERS occurs, and last how many characters are none of them."""
+    each = F.transform(F.array(*[F.lit(x) for x in LETTERS]), lambda x: F.length(c) - F.length(F.replace(c, x, F.lit(""))))
+    return F.concat(each, F.array(F.length(F.translate(c, LETTERS, ""))))
+
+
+def ratio_bounds(a: Column, b: Column, counts_a: Column, counts_b: Column) -> tuple[Column, Column]:
+    """(least, greatest) that the similarity of two texts can be, without comparing them: letters in common from above, a common beginning or end from below.
+
+    counts: of letter_counts. Characters beyond LETTERS count as if all were in common.
+    """
+    total = F.length(a) + F.length(b)
+    common = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    short = F.least(F.length(a), F.length(b))
+    steps = F.array(*[F.lit(k) for k in (64, 32, 16, 8, 4, 2, 1)])
+
+    def shared(part: Callable[[Column, Column], Column]) -> Column:
+        """Length of the common beginning or end, up to 127, by halving: a part that agrees stays."""
+        return F.aggregate(steps, F.lit(0), lambda s, k: F.when((s + k <= short) & (part(a, s + k) == part(b, s + k)), s + k).otherwise(s))
+
+    ends = F.greatest(shared(lambda c, k: F.substring(c, F.lit(1), k)), shared(lambda c, k: F.substring(c, -k, k)))
+    low = F.when(F.length(b) < LONG, F.when(a == b, F.length(a)).otherwise(ends)).otherwise(0)
+    whole = F.when(total == 0, F.lit(1.0))
+    return whole.otherwise(2.0 * low / total), whole.otherwise(2.0 * F.least(common, short) / total)
+
+
 @F.pandas_udf(StringType())
 def canonical_address(text: pd.Series) -> pd.Series:
     """ASCII words of an address, common short forms written out."""

@@ -51,3 +51,24 @@ def with_group_size(df: DataFrame, key: str) -> DataFrame:
 def first_per_key(df: DataFrame, key: Column, position: Column) -> DataFrame:
     """Rows left when later ones of a key go, in stable order."""
     return df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(position))).filter("_n = 1").drop("_n")
+
+
+def chunked(df: DataFrame, keys: list[str], value: str, order: list[Column], per_chunk: int = 1000) -> DataFrame:
+    """keys, chunk (from 0) and values: each key's whole list in order, cut into rows of at most per_chunk values.
+
+    A hot key is no long row and no single task: values are counted in ranges of the
+    order first, a range's offset is the sum of those before it, and places within a range are numbered there.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = df.select(*keys, F.col(value).alias("_v"), F.struct(*order).alias("_o")).repartitionByRange(n, *keys, "_o").withColumn("_part", F.spark_partition_id())
+    from ..sources.stored import stored
+
+    rows = stored(placed, "ordered")
+    same = W.partitionBy(*keys)
+    before = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(same.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))
+    named = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_part"]]
+    within = rows.withColumn("_k", F.row_number().over(W.partitionBy(*keys, "_part").orderBy("_o")) - 1)
+    at = within.alias("r").join(before.alias("b"), named).select(*[F.col(f"r.{k}") for k in keys], "_v", (F.col("_k") + F.coalesce("_before", F.lit(0))).alias("_at"))
+    lists = at.groupBy(*keys, F.floor(F.col("_at") / per_chunk).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("_at", "_v"))).alias("_l"))
+    return lists.select(*keys, "chunk", F.transform("_l", lambda x: x["_v"]).alias("values"))

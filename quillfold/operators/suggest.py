@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.issues import issue, rules
-from .matching import sequence_ratio
+from .matching import letter_counts, ratio_bounds, sequence_ratio
 
 # Words that don't tell one name from another, variants asked, the least length of a variant, and the confidence of a repair.
 COMMON_WORDS = "county family crown magistrates court courts law civil justice centre tribunal combined social security child support employment appeal england wales and of the chamber".split()
@@ -34,6 +35,18 @@ def scored_names(asked: DataFrame, known: DataFrame, left: str, right: str) -> D
     return met.withColumn("score", sequence_ratio(left, right))
 
 
+def likeliest_names(asked: DataFrame, known: DataFrame, left: str, right: str) -> DataFrame:
+    """As scored_names, but of each asked name only pairs that may be its best: those whose greatest possible score reaches the best of the least ones. Texts are compared for them alone."""
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda k: F.substring(c, k, F.lit(2))))
+    a = asked.select(left, letter_counts(F.col(left)).alias("_ca"), F.explode(grams(F.col(left))).alias("_g"))
+    b = known.select(right, letter_counts(F.col(right)).alias("_cb"), F.explode(grams(F.col(right))).alias("_g"))
+    low, high = ratio_bounds(F.col(left), F.col(right), F.col("_ca"), F.col("_cb"))
+    met = a.join(b, "_g").groupBy(left, right).agg(F.first("_ca").alias("_ca"), F.first("_cb").alias("_cb")).select(left, right, low.alias("_low"), high.alias("_high"))
+    met = met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), left)
+    kept = met.withColumn("_floor", F.max("_low").over(W.partitionBy(left))).filter("_high >= _floor").select(left, right)
+    return kept.withColumn("score", sequence_ratio(left, right))
+
+
 def best_names(asked: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """key, suggested slug and name, confidence and query of the best known entry of each asked one.
 
@@ -42,9 +55,9 @@ def best_names(asked: DataFrame, known: DataFrame, key: str) -> DataFrame:
     each = asked.select(key, F.explode(variants(F.col("slug"), F.col("raw"))).alias("query"))
     queries = each.select("query").distinct().withColumn("_q", T.slugify(F.col("query")))
     names = known.select("slug", "name", F.explode(F.array(T.slugify(F.col("slug")), T.slugify(F.col("name")))).alias("_n")).distinct()
-    met = scored_names(queries.select("_q").distinct(), names.select("_n").distinct(), "_q", "_n")
+    met = likeliest_names(queries.select("_q").distinct(), names.select("_n").distinct(), "_q", "_n")
     scored = queries.join(met, "_q").join(names, "_n").groupBy("query", "slug", "name").agg(F.max("score").alias("confidence"))
-    top = scored.groupBy("query").agg(F.max_by(F.struct("slug", "name", "confidence"), F.struct("confidence", F.negative(F.xxhash64("slug")))).alias("s"))
+    top = scored.groupBy("query").agg(F.max_by(F.struct("slug", "name", "confidence"), F.struct("confidence", "slug")).alias("s"))
     return each.join(top, "query").groupBy(key).agg(F.max_by(F.struct("s.*", "query"), F.struct("s.confidence", "query")).alias("b")).select(key, F.col("b.slug").alias("suggested_slug"), F.col("b.name").alias("suggested_name"), "b.confidence", "b.query")
 
 

@@ -283,12 +283,13 @@ def model_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _addresses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Customers' addresses; a candidate table that has their building, a rival of the same name, or nothing; lookups with failures."""
     k = F.col("c_custkey")
-    post = lambda c: F.concat(F.lit("AB"), (c % 90 + 10).cast("string"), F.lit(" "), (c % 9).cast("string"), F.lit("XY"))
+    area = F.concat(F.lit("A"), F.char((66 + F.floor(k / 630) % 20).cast("long")))  # postcodes grow with the table
+    post = lambda c: F.concat(area, (c % 90 + 10).cast("string"), F.lit(" "), (c % 9).cast("string"), F.lit("XY"))
     house = F.concat((k % 977).cast("string"), F.lit(" King St"))
     code = F.when(k % 10 == 0, F.lit(None)).when(k % 10 == 1, "nonsense").when(k % 10 == 2, "BT1 1AA").otherwise(F.concat(post(k), k.cast("string")))
     clean = F.when(k % 10 > 2, post(k)).otherwise(code)
     a = read(spark, sf_dir, "customer").select(k.alias("row"), F.lit(1).alias("index"), house.alias("line_1"), F.lit(None).cast("string").alias("line_2"), F.lit("Leeds").alias("town"), F.lit(None).cast("string").alias("county"), clean.alias("postcode"))
-    one = a.filter("postcode like 'AB%'").select("postcode", (F.col("row") % 977).alias("n")).distinct()
+    one = a.filter("postcode like 'A%'").select("postcode", (F.col("row") % 977).alias("n")).distinct()
     no = F.lit(None).cast("string")
     numbered = F.col("n").cast("string")
     c = one.filter("n % 4 > 0").select("postcode", F.col("n").alias("position"), F.concat(F.lit("u"), numbered).alias("uprn"), no.alias("organisation"), numbered.alias("number"), no.alias("name"), F.lit("King Street").alias("street"), F.lit("Leeds").alias("town"), no.alias("county"), F.concat(numbered, F.lit(" KING STREET, LEEDS")).alias("address"), F.when(F.col("n") % 4 != 3, F.col("postcode")).alias("found_postcode"))
