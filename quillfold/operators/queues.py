@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import chunked
+
 from . import evidence as E
 from . import issues as I
 
@@ -65,28 +67,23 @@ def plan_summary(actions: DataFrame) -> DataFrame:
     return by.agg(F.count("*").alias("records"), *[F.count_if(state == s).alias(f"{s}_records") for s in ("ready", "partially_ready", "pending")], F.sum("n").alias("actions"), F.sum("r").alias("ready_actions"), (F.sum("n") - F.sum("r")).alias("pending_actions"), F.sum("a").alias("assumed_actions"))
 
 
-def submitters(records: DataFrame, email: Column, name: Column, row: str, n: int = 1000) -> DataFrame:
-    """Rows by e-mail and name, nulls being one of their kind; the first rows are listed."""
-    from pyspark.sql import Window as W
-
+def submitters(records: DataFrame, email: Column, name: Column, row: str, per_chunk: int = 1000) -> DataFrame:
+    """Rows by e-mail and name, nulls being one of their kind: their number and all of them, in chunks of rows."""
     each = records.select(email.alias("email"), name.alias("name"), F.col(row).alias("row"))
     counts = each.groupBy("email", "name").agg(F.count("*").alias("rows"))
-    first = each.withColumn("_k", F.row_number().over(W.partitionBy("email", "name").orderBy("row"))).filter(F.col("_k") <= n).groupBy("email", "name").agg(F.array_sort(F.collect_list("row")).alias("listed"))
+    lists = chunked(each, ["email", "name"], "row", [F.col("row")], per_chunk)
     same = F.col("a.email").eqNullSafe(F.col("b.email")) & F.col("a.name").eqNullSafe(F.col("b.name"))
-    return counts.alias("a").join(first.alias("b"), same).select("a.email", "a.name", "rows", F.array_join(F.transform("listed", lambda r: r.cast("string")), ", ").alias("listed"))
+    return counts.alias("a").join(lists.alias("b"), same).select("a.email", "a.name", "rows", "chunk", F.array_join(F.transform("values", lambda r: r.cast("string")), ", ").alias("listed"))
 
 
-def duplicate_sheet(records: DataFrame, key: str, row: str, columns: list[str], n: int = 50) -> DataFrame:
-    """Groups of records with one key: their number, first rows, and the distinct values of some columns in order of rows, at most n each."""
-    from pyspark.sql import Window as W
-
+def duplicate_sheet(records: DataFrame, key: str, row: str, columns: list[str], per_chunk: int = 1000) -> DataFrame:
+    """Groups of records with one key: their number, first and last row and, for some columns, all distinct values in order of rows, in chunks."""
     known = records.filter(F.col(key).isNotNull())
-    out = known.groupBy(key).agg(F.count("*").alias("rows"), F.min(row).alias("first_row"), F.max(row).alias("last_row")).filter("rows > 1")
-    for c in columns:
-        met = known.filter(F.col(c).isNotNull()).groupBy(key, c).agg(F.min(row).alias("_at"))
-        first = met.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy("_at", c))).filter(F.col("_k") <= n)
-        out = out.join(first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.col(c).cast("string").alias("v")))), lambda x: x["v"]), "; ").alias(c)), key, "left")
-    return out
+    groups = known.groupBy(key).agg(F.count("*").alias("rows"), F.min(row).alias("first_row"), F.max(row).alias("last_row")).filter("rows > 1")
+    each = known.select(key, row, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).filter("x.v is not null")
+    met = each.groupBy(key, "x.column", "x.v").agg(F.min(row).alias("_at")).join(groups.select(key), key, "left_semi")
+    lists = chunked(met, [key, "column"], "v", [F.col("_at")], per_chunk)
+    return groups.join(lists, key, "left").select(key, "rows", "first_row", "last_row", "column", "chunk", F.array_join("values", "; ").alias("listed"))
 
 
 def workflow(pending_values: Column, unchecked: Column, pending_changes: Column, conflicts: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 
 def latest_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of every key in the given order; rows with a null key are each their own.
@@ -61,9 +63,7 @@ def chunked(df: DataFrame, keys: list[str], value: str, order: list[Column], per
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    placed = df.select(*keys, F.col(value).alias("_v"), F.struct(*order).alias("_o")).repartitionByRange(n, *keys, "_o").withColumn("_part", F.spark_partition_id())
-    from ..sources.stored import stored
-
+    placed = df.select(*keys, F.col(value).alias("_v"), F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], F.col(value).alias("v")).alias("_o")).repartitionByRange(n, *keys, "_o").withColumn("_part", F.spark_partition_id())
     rows = stored(placed, "ordered")
     same = W.partitionBy(*keys)
     before = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(same.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))

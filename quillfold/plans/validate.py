@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import issues as I
+from ..operators.selection import chunked
 from ..operators import vocabulary
 
 # Vocabularies by field, and the form of a time.
@@ -132,20 +133,25 @@ def revalidated(records: DataFrame, vocabularies: DataFrame | None, days: list[s
     return kept.withColumn("status", I.status(F.col("issues")))
 
 
-def with_duplicate_issues(records: DataFrame, key: str = "court_slug", row: str = "source_row_number", most_rows: int = 50) -> DataFrame:
-    """records with a DUPLICATE_COURT_SLUG issue where several share a key, told once, with the first rows of the group and their number.
+def with_duplicate_issues(records: DataFrame, key: str = "court_slug", row: str = "source_row_number") -> DataFrame:
+    """records with a DUPLICATE_COURT_SLUG issue where several share a key, told once, with the number of rows and the first of them.
 
-    Groups are counted before the join; of their rows at most ``most_rows`` are listed, so a hot key is no long list.
+    Groups are counted before the join. All rows of a group are a table of their own
+    (``duplicate_rows``): told to every member, a group's list would grow with its square.
     """
-    from pyspark.sql import Window as W
+    known = records.filter(F.col(key).isNotNull())
+    sizes = known.groupBy(key).agg(F.count("*").alias("_n"), F.min(row).alias("_first")).filter("_n > 1")
+    got = records.join(sizes, key, "left")
+    told = F.to_json(F.struct(F.col("_first").alias("first_row"), F.col("_n").alias("rows")))
+    new = I.rules((F.col("_n").isNotNull() & ~F.exists("issues", lambda i: i["code"] == "DUPLICATE_COURT_SLUG"), I.issue(key, "DUPLICATE_COURT_SLUG", "warning", "several records have this key", F.col(key), told)))
+    return got.withColumn("issues", F.concat("issues", new)).drop("_n", "_first")
+
 
+def duplicate_rows(records: DataFrame, key: str = "court_slug", row: str = "source_row_number", per_chunk: int = 1000) -> DataFrame:
+    """key, chunk and values: all rows of every group of several records, in order."""
     known = records.filter(F.col(key).isNotNull()).select(key, row)
-    sizes = known.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1")
-    first = known.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy(row))).filter(F.col("_k") <= most_rows).groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    got = records.join(sizes.join(first, key), key, "left")
-    told = F.to_json(F.struct(F.col("_rows").alias("source_row_numbers"), F.col("_n").alias("rows")))
-    new = I.rules((F.col("_n").isNotNull() & ~F.exists("issues", lambda i: i["code"] == "DUPLICATE_COURT_SLUG"), I.issue(key, "DUPLICATE_COURT_SLUG", "warning", "several records have this key", F.col(key), told)))
-    return got.withColumn("issues", F.concat("issues", new)).drop("_n", "_rows")
+    many = known.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key)
+    return chunked(known.join(many, key, "left_semi"), [key], row, [F.col(row)], per_chunk)
 
 
 def ingest_status(issues: Column) -> Column:
@@ -160,11 +166,9 @@ def ingest_summary(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("rows"), *[F.count_if(ingest_status(F.col("issues")) == s).alias(s) for s in ("processed", "processed_with_warnings", "failed")], *[n(s) for s in ("info", "warning", "error")])
 
 
-def users(records: DataFrame, email: Column, name: Column, row: str, most_rows: int = 1000) -> DataFrame:
-    """email, the first name given, number of rows and the first of them, of everybody who submitted; blank e-mails are nobody."""
-    from pyspark.sql import Window as W
-
+def users(records: DataFrame, email: Column, name: Column, row: str, per_chunk: int = 1000) -> DataFrame:
+    """email, the first name given, the number of rows and all of them, in chunks of rows, of everybody who submitted; blank e-mails are nobody."""
     each = records.select(F.lower(F.trim(email)).alias("email"), T.null_if_empty_like(name).alias("name"), F.col(row).alias("row")).filter("email <> ''")
     got = each.groupBy("email").agg(F.min_by("name", F.when(F.col("name").isNotNull(), F.col("row"))).alias("name"), F.count_distinct("row").alias("rows"))
-    first = each.select("email", "row").distinct().withColumn("_k", F.row_number().over(W.partitionBy("email").orderBy("row"))).filter(F.col("_k") <= most_rows).groupBy("email").agg(F.array_sort(F.collect_list("row")).alias("source_rows"))
-    return got.join(first, "email")
+    lists = chunked(each.select("email", "row").distinct(), ["email"], "row", [F.col("row")], per_chunk)
+    return got.join(lists, "email").withColumnRenamed("values", "source_rows")

@@ -192,22 +192,31 @@ def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.ingest_summary(validate.revalidated(_records(spark, sf_dir), _lists(spark), _DAYS))
 
 
-@query("""WITH g AS (SELECT o_custkey AS k, count(*) AS n, list(o_orderkey ORDER BY o_orderkey) AS r FROM orders GROUP BY 1 HAVING count(*) > 1)
-SELECT o_orderkey, '{"source_row_numbers":[' || array_to_string(r[1:50], ',') || '],"rows":' || n || '}' AS told FROM orders JOIN g ON k = o_custkey""")
+@query("""WITH g AS (SELECT o_custkey AS k, count(*) AS n, min(o_orderkey) AS r FROM orders GROUP BY 1 HAVING count(*) > 1)
+SELECT o_orderkey, '{"first_row":' || r || ',"rows":' || n || '}' AS told FROM orders JOIN g ON k = o_custkey""")
 def duplicate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.array().cast(I.NO_ISSUES).alias("issues"))
     twice = validate.with_duplicate_issues(validate.with_duplicate_issues(o, "o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
     return twice.select("o_orderkey", F.explode("issues").alias("i")).select("o_orderkey", F.col("i.cleaned_value").alias("told"))
 
 
-@query("""WITH u AS (SELECT 'u' || (user_id % 60) || '@x.org' AS email, CASE WHEN event_id % 4 > 0 THEN 'name ' || event_type END AS name, event_id AS r FROM events WHERE user_id % 7 > 0)
-SELECT email, arg_min(name, r) FILTER (name IS NOT NULL) AS name, count(DISTINCT r) AS rows, array_to_string(list_sort(list(DISTINCT r))[1:5], ',') AS first_rows FROM u GROUP BY 1""")
+@query("""WITH k AS (SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 8 AS chunk, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT o_custkey, chunk, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS listed FROM k WHERE n > 1 GROUP BY 1, 2""")
+def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = validate.duplicate_rows(read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", 8)
+    return got.select("o_custkey", "chunk", F.array_join(F.transform("values", lambda r: r.cast("string")), ",").alias("listed"))
+
+
+@query("""WITH u AS (SELECT 'u' || (user_id % 60) || '@x.org' AS email, CASE WHEN event_id % 4 > 0 THEN 'name ' || event_type END AS name, event_id AS r FROM events WHERE user_id % 7 > 0),
+n AS (SELECT email, arg_min(name, r) FILTER (name IS NOT NULL) AS name, count(DISTINCT r) AS rows FROM u GROUP BY 1),
+k AS (SELECT email, r, (row_number() OVER (PARTITION BY email ORDER BY r) - 1) // 50 AS chunk FROM (SELECT DISTINCT email, r FROM u))
+SELECT email, name, rows, chunk, string_agg(r::VARCHAR, ',' ORDER BY r) AS source_rows FROM n JOIN k USING (email) GROUP BY ALL""")
 def users_by_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("user_id")
     email = F.when(u % 7 > 0, F.concat(F.lit(" U"), (u % 60).cast("string"), F.lit("@x.org "))).otherwise(" ")
     name = F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("name  "), "event_type")).otherwise("n/a")
-    got = validate.users(read(spark, sf_dir, "events"), email, name, "event_id", 5)
-    return got.select("email", "name", "rows", F.array_join(F.transform("source_rows", lambda r: r.cast("string")), ",").alias("first_rows"))
+    got = validate.users(read(spark, sf_dir, "events"), email, name, "event_id", 50)
+    return got.select("email", "name", "rows", "chunk", F.array_join(F.transform("source_rows", lambda r: r.cast("string")), ",").alias("source_rows"))
 
 
 @query("""SELECT code, "column", actual_header FROM (SELECT CASE n_nationkey % 5 WHEN 1 THEN 'header_mismatch' WHEN 3 THEN 'missing_column' END AS code, 'C' || n_nationkey AS "column", CASE n_nationkey % 5 WHEN 1 THEN 'other ' || n_name END AS actual_header FROM nation UNION ALL SELECT 'unexpected_column', 'R' || r_regionkey, r_name FROM region) WHERE code IS NOT NULL""")

@@ -128,17 +128,19 @@ def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.plan_summary(_plan(spark, sf_dir)["actions"].withColumn("assumptions", F.when(F.col("needs_source"), F.array(F.lit("assumed"))).otherwise(none)))
 
 
-@query("""WITH s AS (SELECT CASE WHEN user_id % 5 > 0 THEN event_type END AS email, CASE WHEN user_id % 3 > 0 THEN 'n' || (user_id % 3) END AS name, event_id FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY email, name ORDER BY event_id) AS k FROM s)
-SELECT email, name, count(*) AS rows, string_agg(event_id::VARCHAR, ', ' ORDER BY event_id) FILTER (k <= 4) AS listed FROM k GROUP BY 1, 2""")
+@query("""WITH s AS (SELECT CASE WHEN user_id % 5 > 0 THEN event_type END AS email, CASE WHEN user_id % 3 > 0 THEN 'n' || (user_id % 3) END AS name, event_id FROM events), k AS (SELECT *, (row_number() OVER (PARTITION BY email, name ORDER BY event_id) - 1) // 100 AS chunk, count(*) OVER (PARTITION BY email, name) AS rows FROM s)
+SELECT email, name, rows, chunk, string_agg(event_id::VARCHAR, ', ' ORDER BY event_id) AS listed FROM k GROUP BY 1, 2, 3, 4""")
 def submitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("user_id")
-    return Q.submitters(read(spark, sf_dir, "events"), F.when(u % 5 > 0, F.col("event_type")), F.when(u % 3 > 0, F.concat(F.lit("n"), (u % 3).cast("string"))), "event_id", 4)
+    return Q.submitters(read(spark, sf_dir, "events"), F.when(u % 5 > 0, F.col("event_type")), F.when(u % 3 > 0, F.concat(F.lit("n"), (u % 3).cast("string"))), "event_id", 100)
 
 
-@query("""WITH m AS (SELECT o_custkey, o_orderpriority AS v, min(o_orderkey) AS t FROM orders GROUP BY 1, 2)
-SELECT o.o_custkey, count(*) AS rows, min(o_orderkey) AS first_row, max(o_orderkey) AS last_row, (SELECT string_agg(v, '; ' ORDER BY t) FROM m WHERE m.o_custkey = o.o_custkey) AS o_orderpriority FROM orders o GROUP BY 1 HAVING count(*) > 1""")
+@query("""WITH g AS (SELECT o_custkey, count(*) AS rows, min(o_orderkey) AS first_row, max(o_orderkey) AS last_row FROM orders GROUP BY 1 HAVING count(*) > 1),
+m AS (SELECT o_custkey, c AS "column", CASE c WHEN 'o_orderpriority' THEN o_orderpriority ELSE o_orderstatus END AS v, min(o_orderkey) AS t FROM orders, (VALUES ('o_orderpriority'), ('o_orderstatus')) AS x(c) GROUP BY 1, 2, 3),
+k AS (SELECT *, (row_number() OVER (PARTITION BY o_custkey, "column" ORDER BY t, v) - 1) // 3 AS chunk FROM m)
+SELECT o_custkey, rows, first_row, last_row, "column", chunk, string_agg(v, '; ' ORDER BY t, v) AS listed FROM g JOIN k USING (o_custkey) GROUP BY ALL""")
 def duplicate_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.duplicate_sheet(read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), "o_custkey", "o_orderkey", ["o_orderpriority"])
+    return Q.duplicate_sheet(read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"), "o_custkey", "o_orderkey", ["o_orderpriority", "o_orderstatus"], 3)
 
 
 @query("""SELECT user_id, CASE WHEN a > 5 THEN 'values' WHEN b > 60 THEN 'changes' ELSE 'courts' END AS step FROM (SELECT user_id, count(*) FILTER (event_type = 'error') AS a, count(*) AS b FROM events GROUP BY 1)""")
