@@ -7,29 +7,17 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sheets import column_index
+from .layout import LAYOUT
+from .mapping import fields_of
+
 MAPPING = "column string, section string, field string, expected_header string"
 
 
 def mapping(spark: SparkSession, path: str) -> DataFrame:
     """Column letters with section, field and expected header from a JSON file of nested objects: an object with a column is a field, others are sections."""
     first = spark.read.text(path, wholetext=True).first()
-    rows: list[tuple[str, str, str, str | None]] = []
-
-    def walk(node: object, at: list[str]) -> None:
-        if isinstance(node, dict) and isinstance(node.get("column"), str):
-            rows.append((node["column"].strip().upper(), ".".join(at[:-1]), node.get("field") or (at[-1] if at else ""), node.get("expected_header")))
-        elif isinstance(node, dict):
-            for k, v in node.items():
-                walk(v, [*at, k])
-        elif isinstance(node, list):
-            for k, v in enumerate(node, 1):
-                walk(v, [*at, str(k)])
-
-    walk(json.loads(first[0]) if first else {}, [])
-    bad = [r for r in rows if not r[0].isalpha()]
-    if bad:
-        raise ValueError(f"not a column: {bad[0][0]}")
-    return spark.createDataFrame(rows, MAPPING)
+    return spark.createDataFrame(fields_of(json.loads(first[0]) if first else {}), MAPPING)
 
 
 def duplicate_columns(expected: DataFrame) -> DataFrame:
@@ -38,6 +26,26 @@ def duplicate_columns(expected: DataFrame) -> DataFrame:
     return got.select(F.lit("duplicate_mapping_column").alias("code"), "column", "fields")
 
 
+# Sections of a mapping file that the layout names otherwise.
+SECTIONS = {"scalars": "scalar", "address_groups": "address", "contact_detail_groups": "contact", "opening_hours_groups": "opening_hours"}
+
+
+def arranged(sheet: DataFrame, body: object) -> DataFrame:
+    """A sheet whose cells stand where a mapping says, with every cell moved to where the layout has it.
+
+    A field that the mapping doesn't name is null, a mapped field that the layout doesn't know is left out,
+    of several columns for one field the first counts.
+    """
+    at: dict[tuple[str, int, str], int] = {}
+    for column, path, field, _ in fields_of(body):
+        section, *rest = path.split(".")
+        index = next((int(x) for x in rest if x.isdigit()), 0)
+        at.setdefault((SECTIONS.get(section, section), index, field), column_index(column))
+    places = [at.get((f.section, f.index, f.name), -1) for f in LAYOUT]
+    cells = F.transform(F.array(*[F.lit(p) for p in places]), lambda p: F.when(p >= 0, F.get("cells", p)))
+    return sheet.withColumn("cells", cells)
+
+
 def plain(c: Column) -> Column:
     """A header in lower case with single spaces."""
     return F.trim(F.regexp_replace(F.lower(F.replace(c, F.lit(" "), F.lit(" "))), r"\s+", " "))

@@ -17,7 +17,8 @@ from .operators import suggest, summaries
 from .operators.matching import canonical_address
 from .plans import actions, contract, headers, layout, records, validate
 from .registry import _sheet, query, read
-from .sources.stored import shared_folder, stored
+from .sources import sheet_source
+from .sources.stored import scratch, shared_folder, stored
 from .streaming import latest
 
 # --- contract -----------------------------------------------------------------------
@@ -229,6 +230,16 @@ def header_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headers.drift(actual, expected).select("code", "column", "actual_header")
 
 
+@query("""SELECT doc_id, coalesce(lang, '') AS lang, length(text) AS chars, sha256(text) AS text_sha256 FROM documents WHERE text IS NOT NULL""")
+def sheet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as CSV files, line breaks and quotes included, and read back as sheets in ranges of bytes."""
+    path = scratch(spark, "sheets")
+    docs = read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "lang", "text")
+    docs.write.options(quoteAll=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    text = F.col("C")
+    return sheet_source.read(spark, path, "A string, B string, C string").select(F.col("A").cast("long").alias("doc_id"), F.col("B").alias("lang"), F.length(text).cast("long").alias("chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
 @query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", array_to_string(list(v ORDER BY c_custkey)[1:10], '|') AS samples FROM (SELECT c_custkey, {c}::VARCHAR AS v FROM customer WHERE {c} IS NOT NULL)" for c in ("c_name", "c_nationkey", "c_mktsegment")))
 def column_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = summaries.column_samples(read(spark, sf_dir, "customer"), T.is_empty_like, "c_custkey", ["c_name", "c_nationkey", "c_mktsegment"])

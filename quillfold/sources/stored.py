@@ -24,12 +24,18 @@ def own_disk(folder: str, master: str) -> bool:
     return not re.match(r"local(\[|$)", master) and re.match(r"(?!file:)[A-Za-z][A-Za-z0-9+.-]*:", folder) is None
 
 
-def stored(df: DataFrame, what: str, by: list[str] | None = None) -> DataFrame:
-    """df as a stored table, by folders of some columns if asked for: a wide plan is planned once, and a lost executor costs nothing. It goes when the session ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder; what is written there goes when the session ends."""
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by or []).parquet(path)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(conf).deleteOnExit(where)
+    return path
+
+
+def stored(df: DataFrame, what: str, by: list[str] | None = None) -> DataFrame:
+    """df as a stored table, by folders of some columns if asked for: a wide plan is planned once, and a lost executor costs nothing. It goes when the session ends."""
+    spark = df.sparkSession
+    path = scratch(spark, what)
+    df.write.partitionBy(*by or []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
