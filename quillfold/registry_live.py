@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .operators import bodies, derive, digests, preflight
 from .registry import query, read
 from .registry_review import REASONS, RESOURCES, _sql_list
+from .sources import commits
+from .sources.stored import scratch
 
 # --- comparison scans ------------------------------------------------------------------
 
@@ -225,3 +227,26 @@ def body_paths_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = before.select("id", F.explode(F.array(F.struct(F.lit("items[3].v").alias("path"), F.lit('"new"').alias("value")), F.struct(F.lit("items[9].v").alias("path"), F.lit("1").alias("value")))).alias("e")).select("id", "e.path", "e.value")
     got = bodies.leaves(bodies.with_path(before, ["id"], "body", edits), ["id"], "body")
     return got.withColumn("path", F.when(F.col("path").startswith("items["), F.translate("path", "01", "10")).otherwise(F.col("path")))
+
+
+# --- state in a log of commits ---------------------------------------------------------
+
+_WRITES_SQL = """WITH base AS (SELECT o_orderkey AS action_id, o_orderstatus AS status, (o_custkey % 50)::INTEGER AS saved_at FROM orders),
+writes AS (SELECT *, 1 AS version FROM base UNION ALL SELECT action_id, 'second', (action_id % 60)::INTEGER, 2 FROM base WHERE action_id % 3 = 1
+UNION ALL SELECT action_id + 7, 'third', saved_at, 3 FROM base WHERE action_id % 4 = 0 UNION ALL SELECT action_id, 'fourth', 49, 5 FROM base WHERE action_id % 5 < 2)"""
+
+
+@query(f"{_WRITES_SQL} SELECT action_id, arg_max(status, (saved_at, version)) AS status, max(saved_at) AS saved_at, count(*) AS writes FROM writes GROUP BY action_id")
+def committed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as state: a consolidated table, three later writes and a compaction between them; the last save counts, a later commit at a tie."""
+    root = scratch(spark, "commits")
+    k = F.col("action_id")
+    base = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("action_id"), F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 50).cast("int").alias("saved_at"))
+    done = commits.commit(base, root, 0)
+    done = commits.commit(base.filter(k % 3 == 1).select("action_id", F.lit("second").alias("status"), (k % 60).cast("int").alias("saved_at")), root, done.version)
+    commits.append(base.filter(k % 4 == 0).select((k + 7).alias("action_id"), F.lit("third").alias("status"), "saved_at"), root)
+    commits.compact(spark, root, base.schema, ["action_id"], ["saved_at"], at=done.version)
+    commits.append(base.filter(k % 5 < 2).select("action_id", F.lit("fourth").alias("status"), F.lit(49).alias("saved_at")), root)
+    b = F.col("action_id")
+    wrote = base.select(b, F.explode(F.array_compact(F.array(b, F.when(b % 3 == 1, b), F.when(b % 4 == 0, b + 7), F.when(b % 5 < 2, b)))).alias("key")).groupBy(F.col("key").alias("action_id")).agg(F.count("*").alias("writes"))
+    return commits.current(spark, root, base.schema, ["action_id"], ["saved_at"]).join(wrote, "action_id")
