@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quillfold import registry, registry_forms, registry_live, registry_queues, registry_review  # noqa: F401  the others register their queries in the first
+from quillfold import registry, registry_forms, registry_live, registry_queues, registry_report, registry_review  # noqa: F401  the others register their queries in the first
 
 ROOT = Path(__file__).resolve().parents[1]
 
