@@ -10,6 +10,7 @@ from .registry import query, read
 from .registry_review import REASONS, RESOURCES, _sql_list
 from .sources import commits
 from .sources.stored import scratch
+from .streaming import actions as live
 
 # --- comparison scans ------------------------------------------------------------------
 
@@ -250,3 +251,29 @@ def committed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.col("action_id")
     wrote = base.select(b, F.explode(F.array_compact(F.array(b, F.when(b % 3 == 1, b), F.when(b % 4 == 0, b + 7), F.when(b % 5 < 2, b)))).alias("key")).groupBy(F.col("key").alias("action_id")).agg(F.count("*").alias("writes"))
     return commits.current(spark, root, base.schema, ["action_id"], ["saved_at"]).join(wrote, "action_id")
+
+
+# --- states from a stream --------------------------------------------------------------
+
+STALE = 3 * 86_400
+
+_STREAM_SQL = f"""WITH e AS (SELECT user_id AS action_id, ts::TIMESTAMP AS t, event_id, CASE WHEN event_id % 35 = 2 THEN 'edit' WHEN event_id % 5 = 0 THEN 'comparison' WHEN event_id % 5 < 3 THEN 'approval' ELSE 'transition' END AS kind, event_id % 2 AS hash,
+  CASE WHEN event_id % 5 > 2 THEN {_sql_list(["running", "failed", "planned"])}[event_id % 3 + 1] END AS status, event_id % 4 < 2 AS attempt FROM events),
+placed AS (SELECT *, row_number() OVER w AS pos, epoch_us(t) // 1000 AS ms, coalesce(epoch_us(lead(t) OVER w) // 1000, (SELECT max(epoch_us(t) // 1000) FROM e)) AS next_ms,
+  last_value(CASE kind WHEN 'comparison' THEN hash WHEN 'edit' THEN -1 END IGNORE NULLS) OVER (PARTITION BY action_id ORDER BY t, event_id) AS cur FROM e WINDOW w AS (PARTITION BY action_id ORDER BY t, event_id)),
+marked AS (SELECT *, lag(cur) OVER (PARTITION BY action_id ORDER BY pos) AS before FROM placed),
+ends AS (SELECT action_id, max(pos) FILTER (kind = 'approval' AND cur = hash) AS yes, max(pos) FILTER (kind = 'edit' OR (kind = 'comparison' AND before IS DISTINCT FROM cur)) AS no, max(pos) FILTER (kind = 'transition') AS said, arg_max(status, pos) FILTER (kind = 'transition') AS status,
+  count(*) FILTER (kind = 'transition' AND attempt) AS attempts, count(*) AS events, max(ms) AS last_ms, nullif(arg_max(cur, pos), -1) AS compared_hash FROM marked GROUP BY 1)
+SELECT n.action_id, CASE WHEN n.status = 'running' AND (SELECT bool_or(m.next_ms - m.ms > {1000 * STALE}) FROM marked m WHERE m.action_id = n.action_id AND m.pos >= n.said) THEN 'unknown' ELSE n.status END AS status, compared_hash, coalesce(yes > coalesce(no, 0), false) AS approved, attempts, events, last_ms FROM ends n"""
+
+
+@query(_STREAM_SQL)
+def streamed_action_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as files, read as a stream and folded into the state of every action; SQL says the same of the whole table."""
+    at, k = scratch(spark, "action-stream"), F.col("event_id")
+    kind = F.when(k % 35 == 2, "edit").when(k % 5 == 0, "comparison").when(k % 5 < 3, "approval").otherwise("transition")
+    said = F.when(k % 5 > 2, F.get(F.array(F.lit("running"), F.lit("failed"), F.lit("planned")), (k % 3).cast("int")))
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("action_id"), F.col("ts").cast("timestamp").alias("at"), "event_id", kind.alias("kind"), (k % 2).alias("hash"), said.alias("status"), (k % 4 < 2).alias("attempt"))
+    events.write.parquet(f"{at}/events")
+    live.keep_states(spark.readStream.schema(live.EVENTS).parquet(f"{at}/events"), f"{at}/states", f"{at}/checkpoint", STALE).awaitTermination()
+    return live.current(spark, f"{at}/states")
