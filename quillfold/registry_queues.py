@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import evidence as E
 from .operators import issues as I
+from .operators import pages
 from .operators import queues as Q
 from .registry import query, read
 from .registry_review import _plan, planned
@@ -187,3 +188,11 @@ def write_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("action_id"), seq.alias("seq"), F.when(q < 3, 400).when(q < 5, 503).when(q >= 7, 200).alias("http_status"))
     return Q.written(lines.select("action_id", "seq"), lines).select("action_id", "planned", "made", "status", "partial")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice::DOUBLE AS price, (SELECT count(*) FROM lineitem) AS total FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 50 OFFSET 4950")
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 100 of all lines by price, from the table stored in ranges of that order."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    got = pages.paged(lines, [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")])
+    return got.page(100, 50).select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("price"), F.lit(got.total).cast("long").alias("total"))
