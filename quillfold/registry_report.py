@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import execution as X
+from .operators import ordered_rules
 from .operators import report as P
-from .registry import read
+from .registry import query, read
 from .registry_review import _ENRICHED_SQL, _HELD_SQL, _enriched, _held, _plan, planned
 
 # --- summary ---------------------------------------------------------------------------
@@ -82,3 +83,18 @@ CASE WHEN resource = 'address' AND contains(state_reason, 'server error') THEN '
 FROM effective WHERE effective_status IN ('blocked', 'failed', 'unknown')) {" UNION ALL ".join(_level(n, k) for n, k in _LEVEL_SQL.items())}""")
 def attention_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.attention(_held(_plan(spark, sf_dir)), THEMES, CLASSES)
+
+
+# --- rules over texts ------------------------------------------------------------------
+
+_MARKS = 900  # rule k looks for a mark of three letters made of k, then for that mark with a blank before it and one letter changed
+
+
+@query(f"""WITH digits AS (SELECT k, chr((97 + k % 26)::INTEGER) AS a, chr((97 + k * 7 // 26 % 26)::INTEGER) AS b, chr((97 + (k * 11 + 3) % 26)::INTEGER) AS c FROM range({_MARKS}) r(k)),
+rules AS (SELECT k, a || b || c AS mark FROM digits UNION ALL SELECT k, ' ' || a || c || b FROM digits)
+SELECT d.doc_id, coalesce('rule-' || min(k), 'other') AS rule FROM documents d LEFT JOIN rules ON contains(d.text, mark) GROUP BY d.doc_id""")
+def first_of_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of 900 ordered rules with 1,800 marks that holds for each whole text, each text read once."""
+    three = [(chr(97 + k % 26), chr(97 + k * 7 // 26 % 26), chr(97 + (k * 11 + 3) % 26)) for k in range(_MARKS)]
+    rules = [(f"rule-{k}", [a + b + c, f" {a}{c}{b}"]) for k, (a, b, c) in enumerate(three)]
+    return read(spark, sf_dir, "documents").select("doc_id", ordered_rules.first_rule(F.col("text"), rules, "other").alias("rule"))
