@@ -51,7 +51,11 @@ def select_fields(candidates: DataFrame, rules: DataFrame, vocabularies: DataFra
     away = F.lit(False)
     for part in KEPT_AWAY:
         away = away | F.col("rule").contains(part)
-    some = candidates.join(F.broadcast(rules.filter("enabled")), "rule").filter(~away & (F.size(_filled(F.col("value"))) > 0) & ~F.exists("value", sensitive))
+    enabled = rules.filter("enabled")
+    # The size is checked: the limit stops counting just beyond what may be broadcast.
+    if enabled.limit(vocabulary.BROADCAST_TERMS + 1).count() <= vocabulary.BROADCAST_TERMS:
+        enabled = F.broadcast(enabled)
+    some = candidates.join(enabled, "rule").filter(~away & (F.size(_filled(F.col("value"))) > 0) & ~F.exists("value", sensitive))
     known = in_vocabulary(some, vocabulary.terms(vocabularies))
     listed = vocabulary_of(F.col("rule"))
     by_list = F.coalesce(F.col("use_only_when") == "not_exact_vocab_match", F.lit(False)) | listed.isNotNull()

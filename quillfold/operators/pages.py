@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.stored import stored
@@ -50,3 +51,10 @@ def paged(df: DataFrame, order: list[Column], rows_per_range: int = ROWS_PER_RAN
     rows = stored(ranged, "pages", ["_range"])
     counts = {r["_range"]: r["count"] for r in rows.groupBy("_range").count().collect()}
     return Pages(rows, order, [counts.get(k, 0) for k in range(n)])
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """df with the place of every row in a total order, from 1: rows are counted inside their range, what comes before is known."""
+    got = paged(df, order, rows_per_range)
+    before = F.array(*[F.lit(n).cast("long") for n in [0, *accumulate(got.counts)]])
+    return got.rows.withColumn(name, F.get(before, F.col("_range")) + F.row_number().over(W.partitionBy("_range").orderBy(*order))).drop("_range")

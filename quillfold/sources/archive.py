@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +34,25 @@ def publish(tables: dict[str, DataFrame], root: str, run_id: str, source_name: s
     return spark.read.schema("path string, bytes long, sha256 string").json(f"{final}/_manifest")
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes and sha256 of every Parquet file; a file is one value in its task, so tables are best written in files below 1 GB."""
+def manifest(spark: SparkSession, path: str, whole_bytes: int = 256 << 20) -> DataFrame:
+    """path, bytes and sha256 of every Parquet file. Bigger files than whole_bytes are hashed block by block, so that none is a value in memory."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    small = files.filter(F.col("length") <= whole_bytes).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return small.unionByName(files.filter(F.col("length") > whole_bytes).select("path", F.col("length").alias("bytes")).mapInPandas(_hashed, "path string, bytes long, sha256 string"))
+
+
+def _hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files with their hashes, read in blocks."""
+    from .sheet_source import blocks_of
+
+    def digest(path: str, size: int) -> str:
+        h = hashlib.sha256()
+        for block in blocks_of(path, 0, size):
+            h.update(block)
+        return h.hexdigest()
+
+    for frame in frames:
+        yield frame.assign(sha256=[digest(p, n) for p, n in zip(frame["path"], frame["bytes"], strict=True)])
 
 
 def record_exports(records: DataFrame) -> dict[str, DataFrame]:
@@ -65,11 +83,11 @@ def review_sheets(records: DataFrame, verifications: DataFrame | None = None) ->
 
 def duplicate_sheets(records: DataFrame) -> dict[str, DataFrame]:
     """Tables of the duplicate review: groups numbered by key, and their rows with the one that was chosen. records: source_row_number, court_slug, selection_status, superseded_by."""
-    from pyspark.sql import Window as W
+    from ..operators.pages import numbered as in_order
 
     groups = records.filter("court_slug is not null").groupBy("court_slug").agg(F.count("*").alias("rows"), F.max(F.when(F.col("selection_status") == "authoritative", F.col("source_row_number"))).alias("chosen_row")).filter("rows > 1")
     # Groups alone are numbered, not their rows.
-    numbered = groups.withColumn("group_id", F.format_string("D%03d", F.row_number().over(W.orderBy("court_slug"))))
+    numbered = in_order(groups, [F.asc("court_slug")], "_place").withColumn("group_id", F.format_string("D%03d", "_place"))
     return {"Overview": numbered.select("group_id", "court_slug", "rows", "chosen_row"), "Rows": numbered.select("group_id", "court_slug").join(records, "court_slug")}
 
 

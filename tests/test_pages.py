@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillfold.operators import pages
+from quillfold.sources import archive
 
 
 def keys(df):
@@ -38,3 +39,17 @@ def test_empty_tables_and_bad_pages(spark):
         got.page(0, 10)
     with pytest.raises(ValueError):
         got.page(1, 0)
+
+
+def test_numbers_of_rows(spark):
+    df = spark.range(700).select((F.col("id") % 9).alias("v"), "id")
+    order = [F.desc("v"), F.asc("id")]
+    got = {(r["v"], r["id"]): r["place"] for r in pages.numbered(df, order, "place", 100).collect()}
+    assert got == {tuple(r): k for k, r in enumerate(df.orderBy(*order).collect(), 1)}
+    assert pages.numbered(df.limit(0), order, "place").count() == 0
+
+
+def test_files_are_hashed_in_blocks_like_whole_ones(spark, tmp_path):
+    spark.range(5000).repartition(3).write.parquet(str(tmp_path / "t"))
+    whole, blocks = (sorted(map(tuple, archive.manifest(spark, str(tmp_path / "t"), limit).collect())) for limit in (1 << 30, 100))
+    assert whole == blocks and len(whole) == 3
