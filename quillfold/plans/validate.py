@@ -134,17 +134,17 @@ def revalidated(records: DataFrame, vocabularies: DataFrame | None, days: list[s
 
 
 def with_duplicate_issues(records: DataFrame, key: str = "court_slug", row: str = "source_row_number") -> DataFrame:
-    """records with a DUPLICATE_COURT_SLUG issue where several share a key, told once, with the number of rows and the first of them.
+    """records with a DUPLICATE_COURT_SLUG issue where several share a key, told once, with all rows of the group in order and their number.
 
-    Groups are counted before the join. All rows of a group are a table of their own
-    (``duplicate_rows``): told to every member, a group's list would grow with its square.
+    A group's text is made once and joined to its members. Told to each of them, it grows
+    with the square of the group; the same rows in chunks are ``duplicate_rows``.
     """
     known = records.filter(F.col(key).isNotNull())
-    sizes = known.groupBy(key).agg(F.count("*").alias("_n"), F.min(row).alias("_first")).filter("_n > 1")
-    got = records.join(sizes, key, "left")
-    told = F.to_json(F.struct(F.col("_first").alias("first_row"), F.col("_n").alias("rows")))
-    new = I.rules((F.col("_n").isNotNull() & ~F.exists("issues", lambda i: i["code"] == "DUPLICATE_COURT_SLUG"), I.issue(key, "DUPLICATE_COURT_SLUG", "warning", "several records have this key", F.col(key), told)))
-    return got.withColumn("issues", F.concat("issues", new)).drop("_n", "_first")
+    groups = known.groupBy(key).agg(F.count("*").alias("rows"), F.array_sort(F.collect_list(row)).alias("source_row_numbers")).filter("rows > 1")
+    told = groups.select(key, F.to_json(F.struct("source_row_numbers", "rows")).alias("_told"))
+    got = records.join(told, key, "left")
+    new = I.rules((F.col("_told").isNotNull() & ~F.exists("issues", lambda i: i["code"] == "DUPLICATE_COURT_SLUG"), I.issue(key, "DUPLICATE_COURT_SLUG", "warning", "several records have this key", F.col(key), F.col("_told"))))
+    return got.withColumn("issues", F.concat("issues", new)).drop("_told")
 
 
 def duplicate_rows(records: DataFrame, key: str = "court_slug", row: str = "source_row_number", per_chunk: int = 1000) -> DataFrame:

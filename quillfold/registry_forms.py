@@ -193,8 +193,8 @@ def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.ingest_summary(validate.revalidated(_records(spark, sf_dir), _lists(spark), _DAYS))
 
 
-@query("""WITH g AS (SELECT o_custkey AS k, count(*) AS n, min(o_orderkey) AS r FROM orders GROUP BY 1 HAVING count(*) > 1)
-SELECT o_orderkey, '{"first_row":' || r || ',"rows":' || n || '}' AS told FROM orders JOIN g ON k = o_custkey""")
+@query("""WITH g AS (SELECT o_custkey AS k, count(*) AS n, list(o_orderkey ORDER BY o_orderkey) AS r FROM orders GROUP BY 1 HAVING count(*) > 1)
+SELECT o_orderkey, '{"source_row_numbers":[' || array_to_string(r, ',') || '],"rows":' || n || '}' AS told FROM orders JOIN g ON k = o_custkey""")
 def duplicate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.array().cast(I.NO_ISSUES).alias("issues"))
     twice = validate.with_duplicate_issues(validate.with_duplicate_issues(o, "o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")

@@ -1,5 +1,7 @@
 """Whole lists of hot keys, in chunks."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from quillfold.operators import queues, selection
@@ -25,3 +27,17 @@ def test_ties_nulls_and_no_rows(spark):
     got = {(r["k"], r["chunk"]): r["values"] for r in selection.chunked(df, ["k"], "v", [F.col("o")], 3).collect()}
     assert got == {("a", 0): [None, 1, 1], ("a", 1): [2], (None, 0): [5]}
     assert selection.chunked(df.limit(0), ["k"], "v", [F.col("o")]).count() == 0
+
+
+def test_a_duplicate_issue_lists_every_row(spark):
+    """More rows than any earlier list held: each member is told all of them, in order and once."""
+    df = spark.range(130).select((F.col("id") * 37 % 130).alias("row"), F.when(F.col("id") < 120, "many").when(F.col("id") < 122, "two").when(F.col("id") > 122, F.col("id").cast("string")).alias("key"), F.array().cast("array<struct<field:string,code:string,severity:string,message:string,raw_value:string,cleaned_value:string>>").alias("issues"))
+    once = validate.with_duplicate_issues(df.repartition(5), "key", "row")
+    for got in (once, validate.with_duplicate_issues(once, "key", "row")):
+        said = {}
+        for r in got.collect():
+            said.setdefault(r["key"], []).append((r["row"], [json.loads(i["cleaned_value"]) for i in r["issues"]]))
+        for key in ("many", "two"):
+            rows = sorted(x for x, _ in said[key])
+            assert all(i == [{"source_row_numbers": rows, "rows": len(rows)}] for _, i in said[key])
+        assert len(said["many"]) == 120 and all(i == [] for k, v in said.items() if k not in ("many", "two") for _, i in v)
