@@ -12,11 +12,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .matching import address_score, best_with_margin, canonical_address, letter_counts, ratio_bounds, sequence_ratio, top_candidates
+from .matching import address_score, best_pairs, best_with_margin, canonical_address, letter_counts, ratio_bounds, top_candidates
 
 # What a match needs, candidates kept, areas that are not served, and statuses that block an action.
 SCORE, MARGIN, KEPT = 0.98, 0.05, 10
 NOT_SERVED = ["BT", "IM", "JE", "GY"]
+#: Different addresses, and candidates, of a postcode that one task compares at a time.
+ADDRESS_BLOCK, CANDIDATE_BLOCK = 1024, 2048
 BLOCKING = ["missing_postcode", "invalid_postcode", "unsupported", "no_result", "review_required"]
 
 
@@ -55,15 +57,31 @@ def survivors(addresses: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     return got.withColumn("_floor", F.nth_value("_low", k).over(w)).filter("_floor is null or _high >= _floor").drop("_low", "_high", "_floor")
 
 
+def _blocks(df: DataFrame, by: list[str], size: int, name: str) -> DataFrame:
+    """df with a block number: a postcode's rows are dealt over as many blocks as its number of rows needs."""
+    many = df.groupBy("postcode").agg(F.ceil(F.count("*") / size).cast("int").alias("_blocks"))
+    return df.join(many, "postcode").withColumn(name, F.pmod(F.xxhash64(*by), F.col("_blocks")).cast("int")).drop("_blocks")
+
+
 def scored(addresses: DataFrame, candidates: DataFrame, k: int = 2) -> DataFrame:
-    """The candidates that may be among an address's k best, with the best score of a candidate's readings; texts are compared where no rule settles the score."""
-    left = survivors(addresses, candidates, k)
-    each = left.select(*addresses.columns, "position", "c", "_source", "_town", F.explode("_t").alias("_text"))
-    fits = (F.col("_town") == "") | F.col("_text").contains(F.col("_town"))
-    sure = address_score(F.col("_source"), F.col("_text"), F.lit(None).cast("double"), fits)
-    each = each.withColumn("_sure", sure).withColumn("_ratio", sequence_ratio(F.when(F.col("_sure").isNull(), F.col("_source")), F.col("_text")))
-    one = F.coalesce("_sure", address_score(F.col("_source"), F.col("_text"), F.col("_ratio"), fits))
-    return each.withColumn("score", one).groupBy("row", "index", "position").agg(F.max("score").alias("score"), F.first("c").alias("c"))
+    """The k best candidates of every address, ties to the first position, with the best score of a candidate's readings.
+
+    An address is asked once, however many rows have it. Addresses and readings of a
+    postcode meet in blocks of bounded size, so a postcode of any size is many tasks; the
+    best of all blocks are ranked at the end.
+    """
+    keys = ["postcode", "_source", "_town"]
+    a = addresses.withColumn("_source", _text(F.col("line_1"), F.col("line_2"), F.col("town"))).withColumn("_town", _text(F.col("town")))
+    asked = _blocks(a.select(*keys).distinct(), ["_source"], ADDRESS_BLOCK, "_a")
+    read = _blocks(readings(candidates).select("postcode", "position", "c", F.transform("_t", lambda t: t["text"]).alias("_t")), ["position"], CANDIDATE_BLOCK, "_c")
+    # Every block of addresses meets every block of candidates of its postcode.
+    blocks = asked.select("postcode", "_a").distinct().join(read.select("postcode", "_c").distinct(), "postcode")
+    left = asked.join(blocks, ["postcode", "_a"]).select(F.col("postcode").alias("postcode"), "_source", "_town", F.col("_a").alias("_i"), F.col("_c").alias("_j"))
+    right = read.select("postcode", "position", "_t", "_c").join(blocks, ["postcode", "_c"])
+    found = left.groupBy("postcode", "_i", "_j").cogroup(right.groupBy("postcode", "_a", "_c")).applyInPandas(lambda x, y: best_pairs(x, y, k), "postcode string, _source string, _town string, position long, score double")
+    best = top_candidates(found, keys, "score", [F.col("position")], k).drop("rank")
+    best = best.join(read.groupBy("postcode", "position").agg(F.min("c").alias("c")), ["postcode", "position"])
+    return a.select("row", "index", *keys).distinct().join(best, keys).select("row", "index", "position", "score", "c")
 
 
 def mapped(c: Column) -> Column:

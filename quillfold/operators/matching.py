@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 import unicodedata
 from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -98,6 +101,75 @@ def address_score(source: Column, candidate: Column, ratio: Column, town_fits: C
     return F.when((source == candidate) & town_fits, 1.0).when((c == 1.0) & (F.size(words(source)) >= 2) & town_fits, 0.99).otherwise(F.round(0.7 * c + 0.3 * ratio, 4))
 
 
+@functools.lru_cache(1 << 17)
+def _ratio(a: str, b: str) -> float:
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def _points(x: float) -> int:
+    """Ten thousandths, rounded as Spark rounds."""
+    return int(Decimal(repr(x)).scaleb(4).quantize(Decimal(1), ROUND_HALF_UP))
+
+
+def best_pairs(asked: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best candidates of every address of a block, ties to the first position, each with its best reading's address_score.
+
+    asked: postcode, _source, _town; candidates: position, _t (readings). Words in common
+    and a bound of the similarity by letters are counted for all pairs at once; texts are
+    compared from the greatest bound on, until no other candidate can be among the k best.
+    """
+    readings: dict[int, set[str]] = {}
+    for at, ts in zip(candidates["position"], candidates["_t"], strict=True):
+        readings.setdefault(int(at), set()).update(ts)
+    positions = sorted(readings)
+    texts = [t for p in positions for t in sorted(readings[p])]
+    starts = np.cumsum([0, *[len(readings[p]) for p in positions]])
+    letters = sorted({x for s in asked["_source"] for x in s})
+    counts_t = np.array([[t.count(x) for x in letters] for t in texts], np.int16)
+    long_t = np.array([len(t) for t in texts])
+    vocabulary = {w: j for j, w in enumerate(sorted({w for s in asked["_source"] for w in s.split()}))}
+    held = np.zeros((len(vocabulary), len(texts)), np.float32)
+    for j, t in enumerate(texts):
+        held[[vocabulary[w] for w in set(t.split()) if w in vocabulary], j] = 1
+    fits = {town: np.array([town in t for t in texts]) for town in set(asked["_town"])}
+    post, sources, towns = asked["postcode"].iloc[:1].tolist(), asked["_source"].tolist(), asked["_town"].tolist()
+    out = []
+    for at in range(0, len(sources), 64):
+        some = sources[at : at + 64]
+        common = np.zeros((len(some), len(texts)), np.int16)
+        for j, x in enumerate(letters):
+            common += np.minimum.outer(np.array([s.count(x) for s in some], np.int16), counts_t[:, j])
+        asked_words = np.zeros((len(some), len(vocabulary)), np.float32)
+        for i, s in enumerate(some):
+            asked_words[i, [vocabulary[w] for w in set(s.split())]] = 1
+        shared = asked_words @ held
+        for i, (source, town) in enumerate(zip(some, towns[at : at + 64], strict=True)):
+            n = int(asked_words[i].sum())
+            cover = shared[i].astype(np.float64) / n if n else np.zeros(len(texts))
+            total = len(source) + long_t
+            high = np.where(total == 0, 1.0, 2.0 * np.minimum(common[i], np.minimum(len(source), long_t)) / np.maximum(total, 1))
+            # Never below the rounded score; what the rules decide is known.
+            bound = np.floor((0.7 * cover + 0.3 * high) * 10000 + 0.5 + 1e-6).astype(np.int64)
+            fit = fits[town]
+            sure = fit & (cover == 1.0) & (n >= 2)
+            bound[sure] = 9900
+            for j in np.nonzero(fit & (common[i] == len(source)) & (long_t == len(source)))[0]:
+                if texts[j] == source:
+                    bound[j], sure[j] = 10000, True
+            most = np.maximum.reduceat(bound, starts[:-1])
+            best: list[tuple[int, int]] = []
+            for c in np.argsort(-most, kind="stable"):
+                if len(best) == k and (-int(most[c]), positions[c]) > best[-1]:
+                    break
+                score = -1
+                for j in range(starts[c], starts[c + 1]):
+                    if bound[j] > score:
+                        score = max(score, int(bound[j]) if sure[j] else _points(0.7 * float(cover[j]) + 0.3 * _ratio(source, texts[j])))
+                best = sorted([*best, (-score, positions[c])])[:k]
+            out += [(*post, source, town, p, -s / 10000) for s, p in best]
+    return pd.DataFrame(out, columns=["postcode", "_source", "_town", "position", "score"])
+
+
 def best_with_margin(scored: DataFrame, keys: list[str], score: str, tie: list[Column], threshold: float, margin: float) -> DataFrame:
     """The best candidate of every key with its margin over the runner-up, and whether both suffice.
 

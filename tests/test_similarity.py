@@ -95,3 +95,39 @@ def test_best_names(spark):
         best[x["q"]] = max(best.get(x["q"], 0), x["score"])
     assert best == pytest.approx({q: max(difflib.SequenceMatcher(None, q, n).ratio() for n in known) for q in set(asked)})
     assert len(rows) < 0.2 * len(set(asked)) * len(known)
+
+
+def test_best_pairs_of_blocks_are_those_of_all_pairs():
+    """A postcode of many rivals: the first of the best, ties included, as over all pairs; few texts are compared."""
+    import pandas as pd
+
+    r = random.Random(8)
+    asked = pd.DataFrame({"postcode": "P", "_source": sorted({f"{r.randint(1, 977)} king street leeds" for _ in range(40)} | {"", "hull", "leeds king street"})})
+    asked["_town"] = ["leeds" if k % 3 else "" for k in range(len(asked))]
+    candidates = pd.DataFrame({"position": list(range(900)), "_t": [["leeds", f"{k + 1} king street leeds"] if k % 4 else ["", f"{k + 1} kings road hull"] for k in range(900)]})
+    for k in (1, 2, 10):
+        matching._ratio.cache_clear()
+        got = matching.best_pairs(asked, candidates, k)
+        compared = matching._ratio.cache_info().misses
+        want = []
+        for source, town in zip(asked["_source"], asked["_town"], strict=True):
+            words, all_ = set(source.split()), []
+            for p, ts in zip(candidates["position"], candidates["_t"], strict=True):
+                score = 0
+                for t in ts:
+                    cover = len(words & set(t.split())) / len(words) if words else 0.0
+                    fits = town in t
+                    score = max(score, 10000 if source == t and fits else 9900 if cover == 1 and len(words) >= 2 and fits else matching._points(0.7 * cover + 0.3 * difflib.SequenceMatcher(None, source, t).ratio()))
+                all_.append((-score, p))
+            want += [(source, p, -s / 10000) for s, p in sorted(all_)[:k]]
+        assert sorted(zip(got["_source"], got["position"], got["score"], strict=True)) == sorted(want)
+        assert compared < 0.25 * len(asked) * 1800
+
+
+def test_small_blocks_give_the_same(lookup, monkeypatch):
+    addresses, candidates = lookup
+    rows = lambda: sorted((r["row"], r["index"], r["position"], r["score"]) for r in A.scored(addresses, candidates, 2).collect())
+    want = rows()
+    monkeypatch.setattr(A, "ADDRESS_BLOCK", 3)
+    monkeypatch.setattr(A, "CANDIDATE_BLOCK", 7)
+    assert rows() == want
