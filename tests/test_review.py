@@ -181,3 +181,20 @@ def test_review_orders(spark):
     assert [r["review_id"] for r in review.in_review_order(items).collect()] == ["c", "a", "b", "d"]
     assert [r["review_id"] for r in items.orderBy(*review.report_order()).collect()] == ["c", "a", "b", "d"]
     assert registry_review.RESOURCES and nested.SERVER_KEYS
+
+
+def test_links_are_each_made_once_and_pairs_are_not_shuffled(spark):
+    """Paths inside each other, repeated rows, ids that stand in several places, nulls: the pairs of the definition, none twice, and no more rows shuffled than the two sides have."""
+    import random
+
+    r = random.Random(4)
+    path = lambda: r.choice(["a", "a.b", "a.b.c", "a[1]", "a[1].b", "ab", "c", "c.d", None])
+    items = [(k % 90, r.choice([1, 2, None]), path()) for k in range(110)]
+    actions = [(k % 70, r.choice([1, 2, None]), [path() for _ in range(r.randint(0, 4))], [r.randint(0, 99) for _ in range(r.randint(0, 3))]) for k in range(80)]
+    over = lambda x, y: x is not None and y is not None and (x == y or any(p.startswith(q + e) for p, q in ((x, y), (y, x)) for e in ".["))
+    want = {(a, i) for a, _, _, named in actions for i, _, _ in items if i in named} | {(a, i) for a, ra, ps, _ in actions for i, ri, f in items if ra is not None and ra == ri and any(over(p, f) for p in ps)}
+    frames = lambda i, a: (spark.createDataFrame(i, "review_id long, row int, field string"), spark.createDataFrame(a, "action_id long, row int, source_fields array<string>, review_ids array<long>"))
+    got = [tuple(x) for x in review.links(*frames(items, actions)).select("action_id", "review_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    last = review.links(*frames(items, actions))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert last[0].startswith("Union")
