@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 ISSUE = "struct<field:string,code:string,severity:string,message:string,raw_value:string,cleaned_value:string>"
 NO_ISSUES = f"array<{ISSUE}>"
 
@@ -36,8 +38,8 @@ def rules(*found: tuple[Column, Column]) -> Column:
 def add_once(old: Column, new: Column) -> Column:
     """old and new issues; of those with the same field, code and raw value the first stays."""
     key = lambda i: F.struct(i["field"], i["code"], i["raw_value"])
-    every = F.concat(old, new)
-    return F.filter(every, lambda i, k: F.array_position(F.transform(every, key), key(i)) == k + 1)
+    first = lambda both: F.filter(both["every"], lambda i, k: F.array_position(both["keys"], key(i)) == k + 1)
+    return let(let(F.concat(old, new), lambda every: F.struct(every.alias("every"), F.transform(every, key).alias("keys"))), first)
 
 
 def without_codes(issues: Column, codes: list[str] = VALIDATION_CODES) -> Column:

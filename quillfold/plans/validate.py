@@ -26,9 +26,12 @@ def _some(c: Column) -> Column:
 
 def typed_issues(kind: str, field: Column | str, value: Column) -> Column:
     """Issues of a cleaned value that doesn't pass its own cleaner; blank values have none."""
-    seen = TYPED[kind](value)
-    wrong = _some(value).isNotNull() & seen["code"].isNotNull()
-    return I.rules((wrong, I.issue(field, seen["code"], "warning", SAID[kind], value.cast("string"), seen["value"].cast("string"))))
+
+    def told(seen: Column) -> Column:
+        wrong = _some(value).isNotNull() & seen["code"].isNotNull()
+        return I.rules((wrong, I.issue(field, seen["code"], "warning", SAID[kind], value.cast("string"), seen["value"].cast("string"))))
+
+    return T.let(TYPED[kind](value), told)
 
 
 def terms_of(vocabularies: DataFrame | None) -> dict[str, list[str]]:

@@ -104,3 +104,9 @@ def test_overlaps(spark):
     l, r = spark.createDataFrame([(1, "a[1].b"), (1, "a[10]")], "row int, p string"), spark.createDataFrame([(1, "a[1]"), (2, "a[1]")], "row int, q string")
     assert [(x["p"], x["q"]) for x in relations.path_overlap_join(l, r, ["row"], "p", "q").collect()] == [("a[1].b", "a[1]")]
     assert spark.createDataFrame([("a[1].b",)], "p string").select(relations.ancestors(F.col("p"))).first()[0] == ["a", "a[1]", "a[1].b"]
+
+
+def test_issue_lists_are_computed_once(spark):
+    """Neither list is written again inside the search for repeats, where it would be computed for every issue."""
+    said = I.add_once(F.col("old_list"), F.col("new_list"))._jc.toString()
+    assert said.count("old_list") == 1 and said.count("new_list") == 1
