@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Texts that count as no answer, in lower case.
@@ -33,6 +33,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """df.select(*columns), each computed once a row: through a generator, as the optimiser would write a column's whole expression wherever a later step takes a field of it."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def collapse(c: Column) -> Column:
     """Trimmed, with runs of white space as one space."""
     return F.regexp_replace(F.regexp_replace(c, SPACE, " "), "^ | $", "")

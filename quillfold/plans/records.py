@@ -74,7 +74,7 @@ def clean_cells(sheet: DataFrame) -> DataFrame:
             hour, minute = cell(L.column_of(section, h, k)), cell(L.column_of(section, m, k))
             out += [T.time_parts(hour, minute).alias(f"time_{section}_{k}_{day}_{edge}"), F.concat_ws(":", hour, minute).alias(f"raw_time_{section}_{k}_{day}_{edge}")]
     out.append(T.slug(cell(L.column_of("scalar", "court_slug_raw"))).alias("court_slug"))
-    return rows.select(*out)
+    return T.computed(rows, *out)
 
 
 def _field(section: str, name: str, k: int = 0) -> Column:

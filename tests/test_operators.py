@@ -110,3 +110,14 @@ def test_issue_lists_are_computed_once(spark):
     """Neither list is written again inside the search for repeats, where it would be computed for every issue."""
     said = I.add_once(F.col("old_list"), F.col("new_list"))._jc.toString()
     assert said.count("old_list") == 1 and said.count("new_list") == 1
+
+
+def test_computed_columns_are_written_once(spark):
+    """However many fields of a computed column are taken later, the optimiser keeps one copy of its expression."""
+    from quillfold.functions import text as T
+
+    df = T.computed(spark.createDataFrame([("9:00",), (None,)], "h string"), "h", T.time_parts(F.col("h"), F.lit("marker")).alias("t"))
+    used = df.select("h", "t.value", "t.status", "t.code")
+    assert [tuple(r) for r in used.collect()] == [tuple(r) for r in df.select("h", "t.*").collect()] and len(used.collect()) == 2
+    plan = used._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("inline(") == 1 and plan.count("Generate") == 1
