@@ -100,8 +100,8 @@ def one(df: DataFrame, key: str, value: object) -> DataFrame:
 
 
 def clears(actions: DataFrame, items: DataFrame) -> DataFrame:
-    """action_id, field of the accepted clears of explanations under an action's contacts. actions: action_id, row, section (path)."""
-    gone = items.filter((F.col("operation") == "clear") & (F.col("outcome") == "accepted") & F.col("field").rlike(r"\.explanation$")).select("row", F.regexp_extract("field", r"^(.*)\.explanation$", 1).alias("section"), "field")
+    """action_id, field of the accepted clears of explanations under an action's contacts, however often one was cleared. actions: action_id, row, section (path)."""
+    gone = items.filter((F.col("operation") == "clear") & (F.col("outcome") == "accepted") & F.col("field").rlike(r"\.explanation$")).select("row", F.regexp_extract("field", r"^(.*)\.explanation$", 1).alias("section"), "field").distinct()
     return actions.select("action_id", "row", "section").join(gone, ["row", "section"]).select("action_id", "field").distinct()
 
 

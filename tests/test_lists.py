@@ -41,3 +41,16 @@ def test_a_duplicate_issue_lists_every_row(spark):
             rows = sorted(x for x, _ in said[key])
             assert all(i == [{"source_row_numbers": rows, "rows": len(rows)}] for _, i in said[key])
         assert len(said["many"]) == 120 and all(i == [] for k, v in said.items() if k not in ("many", "two") for _, i in v)
+
+
+def test_clears_meet_an_action_once(spark):
+    """A thousand clears of one field and actions of one row: the join makes a row for each action, not for each clear."""
+    from pyspark.sql import functions as F
+
+    from quillfold.operators import queues
+
+    items = spark.range(1000).select(F.lit(1).alias("row"), F.lit("contacts[0].explanation").alias("field"), F.lit("clear").alias("operation"), F.lit("accepted").alias("outcome"))
+    actions = spark.range(50).select(F.col("id").alias("action_id"), F.lit(1).alias("row"), F.lit("contacts[0]").alias("section"))
+    got = queues.clears(actions, items)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 50 and "Aggregate" in plan[plan.index("Join"):]
