@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillfold.operators import bodies
 from quillfold.operators.nested import SERVER_KEYS
@@ -89,3 +90,25 @@ def test_business_keys(spark):
     one = frame(spark, ['[{"addressType":"VISIT_US"},{"openingHourTypeId":4}]']).select("id", "body")
     assert [r["key"] for r in bodies.items_of(one, ["id"], "body", "address").orderBy("position").collect()] == ["VISIT_US", "untyped-1"]
     assert [r["key"] for r in bodies.items_of(one, ["id"], "body", "court_opening_hours").orderBy("position").collect()] == ["untyped-0", "4"]
+
+
+def test_bodies_meet_by_ids_and_leaves_meet_nothing(spark):
+    """Only bodies are shuffled: plans hold one join by ids for each table that is met, and no join of leaves."""
+    df = frame(spark, BODIES).select("id", "body")
+    edits, clears = df.select("id", F.lit("a").alias("path"), F.lit("1").alias("value")), df.select("id", F.lit("a").alias("path"))
+    for got, joins in ((bodies.with_path(df, ["id"], "body", edits), 1), (bodies.merged(df, df, ["id"], "body", clears=clears), 2)):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == joins and "variant_explode" not in plan and "path#" not in "".join(x for x in plan.splitlines() if "Join " in x)
+
+
+def test_odd_bodies_merge_and_edit(spark):
+    """Keys with dots that repeat a path, keys and numbers in one container, bodies without edits and edits without a body, null ids."""
+    cur, sub = frame(spark, ['{"a.b":1,"a":{"b":2},"k":3}', '{"a":1}']).select("id", "body"), frame(spark, ['{"a.b":5}']).select("id", "body")
+    got = sorted(tuple(r) for r in bodies.merged(cur, sub, ["id"], "body").collect())
+    assert got == [(0, "a.b", "5", "submitted"), (0, "k", "3", "current"), (1, "a", "1", "current")]
+    kept = sorted(tuple(r) for r in bodies.merged(cur, sub, ["id"], "body", ("a.b",)).collect())
+    assert kept == [(0, "a.b", "1", "current"), (0, "a.b", "2", "current"), (0, "k", "3", "current"), (1, "a", "1", "current")]
+    df = spark.createDataFrame([(0, '{"d":[{"y":[1]},2]}'), (1, '{"x":{}}'), (None, '{"n":1}')], "id long, body string")
+    edits = spark.createDataFrame([(0, "d[0].z", '"new"'), (0, "d.name", "1"), (1, "x.y", "7"), (2, "p[0]", "1"), (2, "q", "2"), (None, "n", "9")], "id long, path string, value string")
+    got = sorted((-1 if r["id"] is None else r["id"], r["body"]) for r in bodies.with_path(df, ["id"], "body", edits).collect())
+    assert got == [(-1, '{"n":1}'), (-1, '{"n":9}'), (0, '{"d":{"name":1,"[0]":{"y":[1],"z":"new"},"[1]":2}}'), (1, '{"x":{"y":7}}'), (2, '{"q":2}')]
