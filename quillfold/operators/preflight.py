@@ -1,9 +1,13 @@
 """Preflight of planned actions as a cascade over live tables.
 
-Every stage joins its table for the actions that no earlier stage has decided,
+Every stage joins its tables for the actions that no earlier stage has decided,
 decides some of them, and stores the rest: the first outcome that holds is the
 action's, and tables of later stages never meet an action that is decided. A
-lost executor costs the stage at work.
+lost executor costs the stage at work. What is asked by the same key, or needs
+no table of its own, is decided in one stage; its cases stand in the order of
+the outcomes.
+
+Items meet their resolutions once, and each action's are digested once (`prepared`).
 
 Tables and their columns:
 
@@ -31,6 +35,7 @@ from .execution import PREFLIGHT, first_match
 LISTS = ["address", "contact_detail", "court_opening_hours"]
 SURE = ["auto_normalised", "verified"]
 ANSWERED = [200, 204, 404]
+SECTION = ["court_slug", "resource"]
 STATUS = dict(PREFLIGHT) | {"section_unexpected": "unknown", "ready": "ready"}
 
 
@@ -38,15 +43,20 @@ class Cascade:
     """Actions still open, and the verdicts so far."""
 
     def __init__(self, actions: DataFrame) -> None:
-        self.open, self.columns, self.verdicts = actions, actions.columns, []
-
-    def stage(self, joined: DataFrame, cases: list[tuple[str, Column]], http: Column | None = None, last: str | None = None) -> None:
-        """Decide the open actions, joined with a table: the first case that holds, or last for all that are left."""
-        outcome = first_match([(test, F.lit(name)) for name, test in cases], F.lit(last).cast("string"))
-        http = F.lit(None).cast("int") if http is None else http
-        done = stored(joined.withColumn("outcome", outcome).withColumn("http_status", http.cast("int")), "preflight")
+        self.open, self.verdicts = actions, []
+
+    def stage(self, joined: DataFrame, cases: list[tuple], keep: list[str] | None = None, last: str | None = None) -> None:
+        """Decide the open actions, joined with tables: the first case that holds, or last for all that are left.
+
+        A case is a name, a test and, where there was an answer, its status. keep: columns that
+        later stages need of the actions left, all that they had if none are named.
+        """
+        keep = self.open.columns if keep is None else keep
+        outcome = first_match([(c[1], F.lit(c[0])) for c in cases], F.lit(last).cast("string"))
+        http = first_match([(F.col("outcome") == c[0], c[2]) for c in cases if len(c) > 2], F.lit(None).cast("int"))
+        done = stored(joined.withColumn("outcome", outcome).select(*keep, "outcome", http.cast("int").alias("http_status")), "preflight")
         self.verdicts.append(done.filter("outcome is not null").select("action_id", "outcome", "http_status"))
-        self.open = done.filter("outcome is null").select(*self.columns)
+        self.open = done.filter("outcome is null").select(*keep)
 
     def result(self) -> DataFrame:
         out = self.verdicts[0]
@@ -75,71 +85,81 @@ def address_verdicts(items: DataFrame, lookups: DataFrame, candidates: DataFrame
 
 def listing(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Number of items and a hash of all (key, value) of each group, in order of key and value."""
-    pair = F.concat(F.coalesce("key", F.lit("")), F.lit("\u0001"), F.coalesce("value", F.lit("")))
-    return df.groupBy(*keys).agg(F.count("*").alias(f"n_{name}"), F.sha2(F.array_join(F.array_sort(F.collect_list(pair)), "\u0002"), 256).alias(f"{name}_hash"))
+    return df.groupBy(*keys).agg(F.count("*").alias(f"n_{name}"), hashed(F.collect_list(F.struct("key", "value"))).alias(f"{name}_hash"))
+
 
+def hashed(pairs: Column) -> Column:
+    """Hash of an array of (key, value) in any order."""
+    text = F.transform(pairs, lambda p: F.concat(F.coalesce(p["key"], F.lit("")), F.lit("\u0001"), F.coalesce(p["value"], F.lit(""))))
+    return F.sha2(F.array_join(F.array_sort(text), "\u0002"), 256)
 
-def merge_facts(actions: DataFrame, items: DataFrame, live: DataFrame, invalid: Column) -> DataFrame:
-    """action_id with what merging its items into the live section comes to: conflicts, invalid, changed and existing items, and both hashes.
 
-    Items meet by business key; a key that several items of one side have is a conflict,
-    and an item that equals the live one is no change. invalid: a test of a sent value.
+def prepared(t: dict[str, DataFrame], invalid: Column) -> dict[str, DataFrame]:
+    """What several stages, and whoever binds approvals to hashes, need of the items and the live sections; stored.
+
+    * sent: items with _sent (false: omitted)
+    * proposed: action_id, n_sent, repeated (a key comes twice), bad (an invalid value), proposed_hash; one row for every action with items
+    * current: court_slug, resource, n_current, current_hash
     """
-    section = ["court_slug", "resource"]
-    sent = items.join(actions.select("action_id", *section), "action_id")
-    counted = live.groupBy(*section, "key").agg(F.count("*").alias("n_live"), F.min("value").alias("live_value"))
-    own = sent.groupBy("action_id", *section, "key").agg(F.count("*").alias("n"), F.min("value").alias("value"), F.count_if(invalid).alias("bad"))
-    met = own.join(counted, [*section, "key"], "left")
-    facts = met.groupBy("action_id").agg(
-        F.count_if((F.col("n") > 1) | (F.coalesce("n_live", F.lit(0)) > 1)).alias("conflicts"), F.sum("bad").alias("invalid"),
-        F.count_if(~F.col("value").eqNullSafe(F.col("live_value")) | F.col("n_live").isNull()).alias("changed"),
-    )
-    proposed = listing(items, ["action_id"], "proposed").select("action_id", "proposed_hash")
-    current = actions.select("action_id", *section).join(listing(live, section, "current"), section, "left").select("action_id", "n_current", "current_hash")
-    return facts.join(proposed, "action_id").join(current, "action_id", "left")
+    omitted = t["resolutions"].filter("decision = 'omit'").select("item_id").distinct().withColumn("_omit", F.lit(True))
+    columns = ["action_id", "position", "key", "value", "postcode", "evidence", "approved_uprn"]
+    sent = stored(t["items"].join(omitted, "item_id", "left").select(*columns, F.col("_omit").isNull().alias("_sent")), "sent")
+    per = sent.groupBy("action_id").agg(F.collect_list(F.when(F.col("_sent"), F.struct("key", "value"))).alias("_p"), F.count_if(F.col("_sent") & invalid).alias("_bad"))
+    keys = F.transform("_p", lambda p: p["key"])
+    proposed = per.select("action_id", F.size("_p").alias("n_sent"), (F.size("_p") > F.size(F.array_distinct(keys))).alias("repeated"), (F.col("_bad") > 0).alias("bad"), hashed(F.col("_p")).alias("proposed_hash"))
+    return {"sent": sent, "proposed": stored(proposed, "proposed"), "current": stored(listing(t["live"], SECTION, "current"), "current")}
+
+
+def merge_facts(actions: DataFrame, items: DataFrame, live: DataFrame) -> DataFrame:
+    """action_id with what its items meet in the live section: conflicts (keys that the section has several times) and changed ones.
+
+    Items meet by business key; an item that equals the live one is no change.
+    """
+    counted = live.groupBy(*SECTION, "key").agg(F.count("*").alias("n_live"), F.min("value").alias("live_value"))
+    met = items.select("action_id", "key", "value").join(actions.select("action_id", *SECTION), "action_id").join(counted, [*SECTION, "key"], "left")
+    return met.groupBy("action_id").agg(F.count_if(F.col("n_live") > 1).alias("conflicts"), F.count_if(~F.col("value").eqNullSafe(F.col("live_value")) | F.col("n_live").isNull()).alias("changed"))
 
 
 def preflight(t: dict[str, DataFrame], invalid: Column) -> DataFrame:
     """action_id, outcome, status and http_status of every action; a null status leaves the action as it is.
 
-    t: the tables above by name; invalid: a test of a sent value (column ``value``).
+    t: the tables above by name, with those of `prepared` if the caller has them; invalid: a test of a sent value (column ``value``).
     """
     flag = lambda name: F.lit(True).alias(name)
+    t = t if "proposed" in t else t | prepared(t, invalid)
+    sent, proposed = t["sent"].filter("_sent"), t["proposed"]
     c = Cascade(t["actions"])
     # What is done, and lists all of whose items are omitted.
-    items = t["items"].join(t["resolutions"].select("item_id", "decision").dropDuplicates(["item_id"]), "item_id", "left")
-    gone = items.groupBy("action_id").agg(F.count_if(~F.col("decision").eqNullSafe(F.lit("omit"))).alias("_left"))
-    sent = stored(items.filter("decision is null or decision <> 'omit'").drop("decision"), "sent")
-    first = c.open.join(t["states"].select("action_id", "status"), "action_id", "left").join(gone, "action_id", "left")
-    c.stage(first, [("already_succeeded", F.col("status") == "succeeded"), ("all_items_omitted", F.col("resource").isin(LISTS) & (F.col("_left") == 0))])
-    # The court: an outage never overwrites a block.
-    court = t["courts"].select("court_slug", F.col("http_status").alias("_http"), F.col("court_id").alias("_id"), flag("_asked"))
-    blocked = t["states"].filter("status = 'blocked'").select("action_id", flag("_blocked"))
-    failed = F.col("_asked").isNull() | F.col("_http").isNull() | ~F.col("_http").isin(200, 404)
-    cases = [("left_blocked", failed & F.col("_blocked").isNotNull()), ("court_lookup_failed", failed), ("court_missing", F.col("_http") == 404), ("court_id_changed", F.col("court_id") != F.col("_id"))]
-    c.stage(c.open.join(court, "court_slug", "left").join(blocked, "action_id", "left"), cases, F.col("_http"))
-    # Which row speaks for the court.
-    row = F.col("selected_row")
-    c.stage(c.open.join(t["selections"].select("court_slug", "selected_row"), "court_slug", "left"), [("source_not_selected", F.col("needs_source") & row.isNull()), ("other_row_selected", F.col("needs_source") & (row != F.col("row")))])
-    # Values that somebody has to approve.
+    first = c.open.join(t["states"].select("action_id", "status"), "action_id", "left").join(proposed.select("action_id", "n_sent", "repeated", "bad"), "action_id", "left")
+    facts = ["status", "n_sent", "repeated", "bad"]
+    c.stage(first, [("already_succeeded", F.col("status") == "succeeded"), ("all_items_omitted", F.col("resource").isin(LISTS) & (F.col("n_sent") == 0))], [*c.open.columns, *facts])
+    # The court: an outage never overwrites a block. And which row speaks for it.
+    court = t["courts"].select("court_slug", F.col("http_status").alias("_http"), F.col("court_id").alias("_id"), flag("_asked")).join(t["selections"].select("court_slug", "selected_row"), "court_slug", "left")
+    http, row = F.col("_http"), F.col("selected_row")
+    failed = F.col("_asked").isNull() | http.isNull() | ~http.isin(200, 404)
+    cases = [("left_blocked", failed & (F.col("status") == "blocked"), http), ("court_lookup_failed", failed, http), ("court_missing", http == 404, http), ("court_id_changed", F.col("court_id") != F.col("_id"), http)]
+    cases += [("source_not_selected", F.col("needs_source") & row.isNull()), ("other_row_selected", F.col("needs_source") & (row != F.col("row")))]
+    c.stage(c.open.join(court, "court_slug", "left"), cases, ["action_id", *SECTION, "readiness", "settled", *facts[1:]])
+    # Values that somebody has to approve, and what would be sent.
     mine = t["links"].join(c.open.select("action_id"), "action_id", "left_semi")
     open_values = mine.join(t["approved"].select("review_id").distinct(), "review_id", "left_anti").select("action_id", flag("_open")).distinct()
-    c.stage(c.open.join(open_values, "action_id", "left"), [("values_not_approved", F.col("_open").isNotNull())])
-    # What would be sent.
-    bodies = sent.select("action_id", flag("_sent")).distinct()
-    c.stage(c.open.join(bodies, "action_id", "left"), [("plan_not_ready", ~(F.col("readiness") == "ready") & ~F.coalesce("settled", F.lit(False))), ("empty_body", F.col("_sent").isNull())])
-    # Addresses that nothing bears out yet.
+    cases = [("values_not_approved", F.col("_open").isNotNull()), ("plan_not_ready", ~(F.col("readiness") == "ready") & ~F.coalesce("settled", F.lit(False))), ("empty_body", F.coalesce("n_sent", F.lit(0)) == 0)]
+    c.stage(c.open.join(open_values, "action_id", "left"), cases, ["action_id", *SECTION, "repeated", "bad"])
+    # Addresses that nothing bears out yet, and the live section.
     mine = sent.join(c.open.filter("resource = 'address'").select("action_id"), "action_id", "left_semi")
-    c.stage(c.open.join(address_verdicts(mine, t["lookups"], t["candidates"]), "action_id", "left"), [(v, F.col("verdict") == v) for v in ("address_blocked", "address_unknown")], F.col("address_http"))
-    # The live section.
-    section = t["sections"].select("court_slug", "resource", F.col("http_status").alias("_http"))
-    c.stage(c.open.join(section, ["court_slug", "resource"], "left"), [("section_lookup_failed", F.col("_http").isNull()), ("section_unexpected", ~F.col("_http").isin(ANSWERED))], F.col("_http"))
-    # What the merge comes to, and who approved it: by both hashes.
-    mine = sent.join(c.open.select("action_id"), "action_id", "left_semi")
-    facts = merge_facts(c.open, mine, t["live"], invalid)
-    bound = t["approvals"].select("action_id", "current_hash", "proposed_hash", flag("_approved")).distinct()
+    section = t["sections"].select(*SECTION, F.col("http_status").alias("_http"))
+    joined = c.open.join(address_verdicts(mine, t["lookups"], t["candidates"]), "action_id", "left").join(section, SECTION, "left").join(t["current"], SECTION, "left")
+    cases = [(v, F.col("verdict") == v, F.col("address_http")) for v in ("address_blocked", "address_unknown")]
+    cases += [("section_lookup_failed", http.isNull(), http), ("section_unexpected", ~http.isin(ANSWERED), http)]
+    c.stage(joined, cases, [*c.open.columns, "n_current", "current_hash"])
+    # What the merge comes to, and who approved it: by both hashes. Only what is sent to a section with items meets it.
     existing = F.coalesce("n_current", F.lit(0)) > 0
-    last = c.open.join(facts.join(bound, ["action_id", "current_hash", "proposed_hash"], "left"), "action_id", "left")
-    c.stage(last, [("merge_conflict", F.col("conflicts") > 0), ("merged_body_invalid", F.col("invalid") > 0), ("no_change", existing & (F.col("changed") == 0)), ("replacement_not_approved", existing & F.col("_approved").isNull())], last="ready")
+    met = c.open.filter(existing)
+    facts = merge_facts(met, sent, t["live"])
+    hashes = met.select("action_id", F.col("current_hash").alias("_current")).join(proposed.select("action_id", F.col("proposed_hash").alias("_proposed")), "action_id")
+    approved = t["approvals"].join(hashes, "action_id").filter("current_hash = _current and proposed_hash = _proposed").select("action_id", flag("_approved")).distinct()
+    last = c.open.join(facts, "action_id", "left").join(approved, "action_id", "left")
+    cases = [("merge_conflict", F.col("repeated") | (F.col("conflicts") > 0)), ("merged_body_invalid", F.col("bad")), ("no_change", existing & (F.col("changed") == 0)), ("replacement_not_approved", existing & F.col("_approved").isNull())]
+    c.stage(last, cases, ["action_id"], "ready")
     status = first_match([(F.col("outcome") == name, F.lit(s)) for name, s in STATUS.items()], F.lit(None).cast("string"))
     return c.result().select("action_id", "outcome", status.alias("status"), "http_status")

@@ -9,7 +9,7 @@ from .operators import bodies, derive, digests, preflight
 from .registry import query, read
 from .registry_review import REASONS, RESOURCES, _sql_list
 from .sources import commits
-from .sources.stored import scratch
+from .sources.stored import scratch, stored
 from .streaming import actions as live
 
 # --- comparison scans ------------------------------------------------------------------
@@ -153,16 +153,16 @@ def flight_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.when(s % 6 > 0, text("P", s % 40)).alias("postcode"), F.when(p % 7 < 2, "verified").otherwise("review_required").alias("evidence"), F.when(F.col("l_returnflag") == "A", text("u", p % 5)).alias("approved_uprn"), "l_returnflag", "l_linestatus",
     )
     h = F.col("c_custkey")
-    posts = lines.filter("postcode is not null").select("postcode").distinct()
+    posts = stored(lines.filter("postcode is not null").select("postcode").distinct(), "postcodes")
     place = F.substring("postcode", 2, 9).cast("int") % 10
-    live = lines.filter("position <= 2 and action_id % 3 = 0").join(actions.select("action_id", "court_slug", "resource"), "action_id").select("court_slug", "resource", "key", F.when(F.col("l_linestatus") == "O", F.col("value")).otherwise(F.concat("value", F.lit("!"))).alias("value"))
+    live = stored(lines.filter("position <= 2 and action_id % 3 = 0").join(actions.select("action_id", "court_slug", "resource"), "action_id").select("court_slug", "resource", "key", F.when(F.col("l_linestatus") == "O", F.col("value")).otherwise(F.concat("value", F.lit("!"))).alias("value")), "live")
     items = lines.drop("l_returnflag", "l_linestatus")
     omitted = lines.filter("l_returnflag = 'R'").select("item_id", F.lit("omit").alias("decision"))
+    ready = preflight.prepared({"items": items, "resolutions": omitted, "live": live}, F.col("value") == "")
     # What somebody approved: the section as it is now for some actions, as it was for others.
-    kept = items.join(omitted, "item_id", "left_anti")
-    seen = preflight.listing(kept, ["action_id"], "proposed").join(actions, "action_id").join(preflight.listing(live, ["court_slug", "resource"], "current"), ["court_slug", "resource"])
-    approvals = seen.select("action_id", F.when(F.col("action_id") % 4 == 1, "before").otherwise(F.col("current_hash")).alias("current_hash"), "proposed_hash").filter("action_id % 4 > 0")
-    return {
+    seen = actions.filter("action_id % 4 > 0").select("action_id", *preflight.SECTION).join(ready["current"], preflight.SECTION).join(ready["proposed"].filter("n_sent > 0"), "action_id")
+    approvals = seen.select("action_id", F.when(F.col("action_id") % 4 == 1, "before").otherwise(F.col("current_hash")).alias("current_hash"), "proposed_hash")
+    return ready | {
         "actions": actions, "items": items, "resolutions": omitted, "live": live, "approvals": approvals,
         "states": o.filter(k % 3 > 0).select(k.alias("action_id"), pick(["succeeded", "blocked", "planned", "failed", "ready"], F.floor(k / 16) % 5).alias("status")),
         "courts": customers.filter(h % 37 > 0).select(slug("c_custkey"), F.when(h % 20 == 1, 503).when(h % 20 == 2, 404).when(h % 20 > 0, 200).alias("http_status"), text("id-", h).alias("court_id")),

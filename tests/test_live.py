@@ -102,6 +102,42 @@ def test_later_stages_meet_open_actions_only(spark):
     assert Counter(r["outcome"] for r in c.result().collect()) == {"even": 5, "low": 2, "five": 1, "ready": 2}
 
 
+def test_items_are_read_once_and_meet_their_section(spark):
+    """Every item is made once for a whole preflight; repeated, null and omitted keys, several live values, and approvals of both hashes."""
+    made = spark.sparkContext.accumulator(0)
+    item = lambda a, key, value="v", omit=False: (a, f"{a}-{key}-{value}{'-omit' if omit else ''}", 1, key, value, None, "verified", None)
+    items = [
+        item(1, "k"), item(2, "k"), item(2, "k", "w"), item(3, None), item(3, None, "w"), item(4, "k", omit=True), item(6, "twice"), item(7, "k", ""), item(8, "k"), item(8, "only"),
+        item(9, "k"), item(9, "k", "w", True), item(10, "k", "x"), item(11, "k", "x"), item(12, "k", "x"), item(13, None), item(14, "k", "x", True), item(15, "k", ""), item(15, "k"),
+    ]
+    counted = spark.sparkContext.parallelize(items, 2).map(lambda r: (made.add(1), r)[1])
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    actions = [(a, "new" if a == 13 else "c", 1, "address" if a == 14 else "languages", "ready", False, None, False) for a in range(1, 16)]
+    t = {
+        "actions": frame(actions, "action_id long, court_slug string, row int, resource string, readiness string, needs_source boolean, court_id string, settled boolean"),
+        "items": spark.createDataFrame(counted, "action_id long, item_id string, position int, key string, value string, postcode string, evidence string, approved_uprn string"),
+        "resolutions": frame([(i[1], d) for i in items if i[1].endswith("omit") for d in ("omit", "omit")], "item_id string, decision string"),
+        "states": frame([(1, "succeeded")], "action_id long, status string"), "selections": frame([], "court_slug string, selected_row int"),
+        "courts": frame([("c", 200, "i"), ("new", 200, "j")], "court_slug string, http_status int, court_id string"),
+        "links": frame([], "action_id long, review_id long"), "approved": frame([], "review_id long"), "lookups": frame([], "postcode string, http_status int"), "candidates": frame([], "postcode string, uprn string"),
+        "sections": frame([(s, "languages", 200) for s in ("c", "new")], "court_slug string, resource string, http_status int"),
+        "live": frame([("c", "languages", "k", "v"), ("c", "languages", "twice", "v"), ("c", "languages", "twice", "v")], "court_slug string, resource string, key string, value string"),
+    }
+    ready = preflight.prepared(t, F.col("value") == "")
+    current = ready["current"].first()["current_hash"]
+    hashes = {r["action_id"]: r["proposed_hash"] for r in ready["proposed"].collect()}
+    t["approvals"] = frame([(10, current, hashes[10]), (10, "older", hashes[10]), (11, "older", hashes[11]), (12, current, hashes[8])], "action_id long, current_hash string, proposed_hash string")
+    assert hashes[10] == hashes[11] and made.value == len(items)
+    made.value = 0
+    got = {r["action_id"]: r["outcome"] for r in preflight.preflight(t, F.col("value") == "").collect()}
+    assert made.value == len(items)
+    waits = "replacement_not_approved"
+    assert got == {
+        1: "already_succeeded", 2: "merge_conflict", 3: "merge_conflict", 4: "empty_body", 5: "empty_body", 6: "merge_conflict", 7: "merged_body_invalid", 8: waits,
+        9: "no_change", 10: "ready", 11: waits, 12: waits, 13: "ready", 14: "all_items_omitted", 15: "merge_conflict",
+    }
+
+
 def test_a_machines_own_disk_is_refused():
     assert stored.own_disk("file:/tmp/w", "spark://host:7077") and stored.own_disk("/tmp/w", "yarn") and stored.own_disk("file:/w", "local-cluster[2,1,1024]")
     assert not stored.own_disk("file:/tmp/w", "local[8]") and not stored.own_disk("/w", "local") and not stored.own_disk("hdfs://n/w", "yarn")
