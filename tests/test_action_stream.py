@@ -91,3 +91,22 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path):
 def test_fold_of_ties_and_nulls():
     rows = pd.DataFrame([(0, "comparison", None, None, None), (0, "approval", None, None, None), (1, "transition", None, None, True), (2, "other", None, None, None)], columns=["ms", "kind", "hash", "status", "attempt"]).astype(object)
     assert A.folded(NEW, rows, 10) == (None, None, False, 1, 4, 2)
+
+
+def test_states_share_buckets(spark, tmp_path, monkeypatch):
+    """Python is called and state kept by bucket, not by action; long hashes stay exact beside null ones, timers hold for each action."""
+    monkeypatch.setattr(A, "BUCKETS", 8, raising=False)
+    big, events = 2**62, []
+    for b in range(2):
+        part = [e for a in range(300) for e in (event(a, b * 300 + a % 5, "comparison", big + a, n=1), event(a, b * 300 + a % 5, "approval", big + a + a % 2, n=2), event(a, b * 300 + 6, "transition", None, "running" if (a + b) % 3 else None, True, n=3))]
+        part = [e for e in part if b == 0 or e[0] % 4]
+        events += part
+        write(spark, f"{tmp_path}/events", part)
+        stream = spark.readStream.schema(A.EVENTS).parquet(f"{tmp_path}/events")
+        query = A.keep_states(stream, f"file://{tmp_path}/states", f"{tmp_path}/checkpoint", 3600)
+        query.awaitTermination()
+    assert {p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]} == {8}
+    end = max(round((e[1] - datetime(1970, 1, 1)).total_seconds() * 1000) for e in events)
+    got = {r["action_id"]: tuple(r)[1:] for r in A.current(spark, f"file://{tmp_path}/states").collect()}
+    assert got == plainly(events, 3_600_000, end)
+    assert {s[0] for s in got.values()} == {None, "running", "unknown"} and {s[2] for s in got.values()} == {True, False}
