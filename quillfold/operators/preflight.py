@@ -83,15 +83,18 @@ def address_verdicts(items: DataFrame, lookups: DataFrame, candidates: DataFrame
     return got.withColumn("verdict", verdict).filter("verdict is not null").groupBy("action_id").agg(F.min(F.struct("position", "verdict", "http_status")).alias("_v")).select("action_id", "_v.verdict", F.col("_v.http_status").alias("address_http"))
 
 
-def listing(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Number of items and a hash of all (key, value) of each group, in order of key and value."""
-    return df.groupBy(*keys).agg(F.count("*").alias(f"n_{name}"), hashed(F.collect_list(F.struct("key", "value"))).alias(f"{name}_hash"))
+def sums(sent: Column | None = None) -> list[Column]:
+    """What a digest is made of: the number of items and order-free sums of two hashes of (key, value); of sent items if a test is given. Nothing is gathered."""
+    pair = [F.coalesce("key", F.lit("")), F.lit("\u0001"), F.coalesce("value", F.lit(""))]
+    of = lambda c: c if sent is None else F.when(sent, c)
+    one, other = F.xxhash64(*pair), F.xxhash64(F.lit(1), *pair)
+    return [F.count(of(F.lit(1))).alias("_n"), F.sum(of(one.bitwiseAND(0xFFFFFFFF))).alias("_low"), F.sum(of(F.shiftrightunsigned(one, 32))).alias("_high"), F.bit_xor(of(other)).alias("_mixed")]
 
 
-def hashed(pairs: Column) -> Column:
-    """Hash of an array of (key, value) in any order."""
-    text = F.transform(pairs, lambda p: F.concat(F.coalesce(p["key"], F.lit("")), F.lit("\u0001"), F.coalesce(p["value"], F.lit(""))))
-    return F.sha2(F.array_join(F.array_sort(text), "\u0002"), 256)
+def listing(rows: DataFrame, keys: list[str], name: str, *more: Column) -> DataFrame:
+    """Number of items and a hash of all (key, value) of each group, in any order, from rows with `sums`."""
+    parts = F.concat_ws(":", *[F.coalesce(c, F.lit(0)) for c in ("_n", "_low", "_high", "_mixed")])
+    return rows.select(*keys, F.col("_n").alias(f"n_{name}"), F.sha2(parts, 256).alias(f"{name}_hash"), *more)
 
 
 def prepared(t: dict[str, DataFrame], invalid: Column) -> dict[str, DataFrame]:
@@ -101,13 +104,15 @@ def prepared(t: dict[str, DataFrame], invalid: Column) -> dict[str, DataFrame]:
     * proposed: action_id, n_sent, repeated (a key comes twice), bad (an invalid value), proposed_hash; one row for every action with items
     * current: court_slug, resource, n_current, current_hash
     """
+    # The ids of each partition's omitted items are held in memory; the items themselves aren't sorted.
     omitted = t["resolutions"].filter("decision = 'omit'").select("item_id").distinct().withColumn("_omit", F.lit(True))
     columns = ["action_id", "position", "key", "value", "postcode", "evidence", "approved_uprn"]
-    sent = stored(t["items"].join(omitted, "item_id", "left").select(*columns, F.col("_omit").isNull().alias("_sent")), "sent")
-    per = sent.groupBy("action_id").agg(F.collect_list(F.when(F.col("_sent"), F.struct("key", "value"))).alias("_p"), F.count_if(F.col("_sent") & invalid).alias("_bad"))
-    keys = F.transform("_p", lambda p: p["key"])
-    proposed = per.select("action_id", F.size("_p").alias("n_sent"), (F.size("_p") > F.size(F.array_distinct(keys))).alias("repeated"), (F.col("_bad") > 0).alias("bad"), hashed(F.col("_p")).alias("proposed_hash"))
-    return {"sent": sent, "proposed": stored(proposed, "proposed"), "current": stored(listing(t["live"], SECTION, "current"), "current")}
+    sent = stored(t["items"].join(omitted.hint("shuffle_hash"), "item_id", "left").select(*columns, F.col("_omit").isNull().alias("_sent")), "sent")
+    low = sent.repartition("action_id").groupBy("action_id", "key").agg(*sums(F.col("_sent")), F.count_if(F.col("_sent") & invalid).alias("_bad"))
+    per = low.groupBy("action_id").agg((F.max("_n") > 1).alias("repeated"), (F.sum("_bad") > 0).alias("bad"), *[F.sum(c).alias(c) for c in ("_n", "_low", "_high")], F.bit_xor("_mixed").alias("_mixed"))
+    proposed = listing(per, ["action_id"], "sent", "repeated", "bad").withColumnRenamed("sent_hash", "proposed_hash")
+    current = listing(t["live"].groupBy(*SECTION).agg(*sums()), SECTION, "current")
+    return {"sent": sent, "proposed": stored(proposed, "proposed"), "current": stored(current, "current")}
 
 
 def merge_facts(actions: DataFrame, items: DataFrame, live: DataFrame) -> DataFrame:
