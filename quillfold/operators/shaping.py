@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fold_groups(groups: list[dict[str, Column]], has_data: list[str]) -> Column:
-    """Array of the groups in which some of the named fields are set; each keeps its original index from 1."""
+def fold_groups(groups: list[dict[str, Column]], has_data: list[str], each: Callable[[Column], Column] | None = None) -> Column:
+    """Array of the groups in which some of the named fields are set; each keeps its original index from 1. With each, a group is what that makes of it."""
     made = [F.struct(F.lit(k).alias("index"), *[c.alias(n) for n, c in g.items()]) for k, g in enumerate(groups, 1)]
 
     def some(g: Column) -> Column:
@@ -16,7 +18,7 @@ def fold_groups(groups: list[dict[str, Column]], has_data: list[str]) -> Column:
             out = out | g[f].isNotNull()
         return out
 
-    return F.filter(F.array(*made), some)
+    return F.filter(F.transform(F.array(*made), each) if each else F.array(*made), some)
 
 
 def day_rows(df: DataFrame, keys: list[str], days: dict[str, str], name: str = "day", value: str = "value") -> DataFrame:

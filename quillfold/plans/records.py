@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,25 +58,51 @@ def _pairs(section: str, index: int) -> list[tuple[str, str, str, str]]:
 SETS = [("counter_service", 0), *[("opening_hours", k) for k in range(1, L.HOURS_GROUPS + 1)]]
 
 
+def spread(sheet: DataFrame) -> DataFrame:
+    """sheet over a few tasks per core: cleaning a row takes long beside reading it, and a small file or a single row group is read by one task."""
+    return sheet.repartition(4 * sheet.sparkSession.sparkContext.defaultParallelism, "row")
+
+
+def _some(c: Column) -> Column:
+    return F.coalesce(c, F.lit("")) != ""
+
+
+def _result_of_nothing(value: str) -> Column:
+    none = F.lit(None)
+    return T.result(none.cast(value), F.lit("empty"), none.cast("string"))
+
+
+# Cleaner of each kind of cell, and what it makes of a cell in which nothing is typed, which most are.
+KINDS = {**CLEAN, "multiselect": T.multiselect, "text": T.null_if_empty_like}
+NOTHING = {**dict.fromkeys(CLEAN, lambda: _result_of_nothing("string")), "yes_no": lambda: _result_of_nothing("boolean"), "multiselect": lambda: F.array().cast("array<string>"), "text": lambda: F.lit(None).cast("string")}
+
+
+def _cleaned(kind: str) -> Callable[[Column], Column]:
+    return lambda c: F.when(_some(c), KINDS[kind](c)).otherwise(NOTHING[kind]())
+
+
 def clean_cells(sheet: DataFrame) -> DataFrame:
-    """One cleaned column per field of every data row that answers anything; the header and rows with metadata only are left out."""
-    asked = F.coalesce(*[T.null_if_empty_like(cell(f.column)) for f in L.BUSINESS])
-    rows = sheet.filter("row > 1").filter(asked.isNotNull())
+    """One cleaned column per field of every data row that answers anything; the header and rows with metadata only are left out.
+
+    Cells of one kind are cleaned as one array, so that a cleaner is written once and not once a field.
+    """
+    asked = F.exists(F.array(*[cell(f.column) for f in L.BUSINESS]), lambda c: _some(c) & T.null_if_empty_like(c).isNotNull())
+    rows = spread(sheet.filter("row > 1")).filter(asked)
+    fields = [(f, "text" if f.section == "metadata" else _cleaner(f)) for f in L.LAYOUT if not f.name.startswith("add_another") and not _is_time(f)]
+    of = {kind: [f for f, k in fields if k == kind] for kind in KINDS}
+    cleaned = [F.transform(F.array(*[cell(f.column) for f in of[kind]]), _cleaned(kind)).alias(f"_{kind}") for kind in KINDS]
+    pairs = [(f"{section}_{k}_{day}_{edge}", L.column_of(section, h, k), L.column_of(section, m, k)) for section, k in SETS for day, edge, h, m in _pairs(section, k)]
+    times = F.transform(F.array(*[F.struct(cell(h).alias("h"), cell(m).alias("m")) for _, h, m in pairs]), lambda t: F.when(_some(t["h"]) | _some(t["m"]), T.time_parts(t["h"], t["m"])).otherwise(_result_of_nothing("string")))
+    slug = T.slug(cell(L.column_of("scalar", "court_slug_raw")))
+    once = T.computed(rows, "row", "cells", *cleaned, times.alias("_times"), slug.alias("court_slug"))
     out = [F.col("row").alias("source_row_number")]
-    for f in L.LAYOUT:
-        if f.name.startswith("add_another") or _is_time(f):
-            continue
-        kind = _cleaner(f) if f.section != "metadata" else "text"
-        c = cell(f.column)
-        out.append((CLEAN[kind](c) if kind in CLEAN else T.multiselect(c) if kind == "multiselect" else T.null_if_empty_like(c)).alias(_id(f)))
+    for f, kind in fields:
+        out.append(F.get(f"_{kind}", F.lit(of[kind].index(f))).alias(_id(f)))
         if kind in CLEAN:
-            out.append(c.alias(f"raw_{_id(f)}"))
-    for section, k in SETS:
-        for day, edge, h, m in _pairs(section, k):
-            hour, minute = cell(L.column_of(section, h, k)), cell(L.column_of(section, m, k))
-            out += [T.time_parts(hour, minute).alias(f"time_{section}_{k}_{day}_{edge}"), F.concat_ws(":", hour, minute).alias(f"raw_time_{section}_{k}_{day}_{edge}")]
-    out.append(T.slug(cell(L.column_of("scalar", "court_slug_raw"))).alias("court_slug"))
-    return T.computed(rows, *out)
+            out.append(cell(f.column).alias(f"raw_{_id(f)}"))
+    for i, (name, h, m) in enumerate(pairs):
+        out += [F.get("_times", F.lit(i)).alias(f"time_{name}"), F.concat_ws(":", cell(h), cell(m)).alias(f"raw_time_{name}")]
+    return once.select(*out, "court_slug")
 
 
 def _field(section: str, name: str, k: int = 0) -> Column:
@@ -99,22 +127,18 @@ def _times(section: str, k: int) -> list[Column]:
 
 def ingest_issues() -> Column:
     """Issues that cleaning raised, in column order, then those of times, then of the key."""
-    found = []
-    for f in L.LAYOUT:
-        if f.section == "metadata" or f.name.startswith("add_another") or _is_time(f) or _cleaner(f) not in CLEAN:
-            continue
-        c = F.col(_id(f))
-        found.append((c["code"].isNotNull(), I.issue(path_of(f), c["code"], F.lit("warning"), F.concat(F.lit("cell could not be read as typed: "), c["code"]), F.col(f"raw_{_id(f)}"), c["value"].cast("string"))))
-    for section, k in SETS:
-        for day, edge, _, _ in _pairs(section, k):
-            c = F.col(f"time_{section}_{k}_{day}_{edge}")
-            where = f"opening_hours[{k}].{day}.{edge}" if k else f"{section}.{day}.{edge}"
-            found.append((c["code"].isNotNull(), I.issue(where, c["code"], F.lit("warning"), F.concat(F.lit("time could not be read as typed: "), c["code"]), F.col(f"raw_time_{section}_{k}_{day}_{edge}"), c["value"])))
+    found = lambda path, c, raw: F.when(c["code"].isNotNull(), F.struct(F.lit(path).alias("path"), c["code"].alias("code"), raw.alias("raw"), c["value"].cast("string").alias("value")))
+    told = lambda what, each: F.transform(F.array_compact(F.array(*each)), lambda x: I.issue(x["path"], x["code"], "warning", F.concat(F.lit(f"{what} could not be read as typed: "), x["code"]), x["raw"], x["value"]))
+    typed = [f for f in L.LAYOUT if f.section != "metadata" and not f.name.startswith("add_another") and not _is_time(f) and _cleaner(f) in CLEAN]
+    cells = [found(path_of(f), F.col(_id(f)), F.col(f"raw_{_id(f)}")) for f in typed]
+    times = [found(f"opening_hours[{k}].{day}.{edge}" if k else f"{section}.{day}.{edge}", F.col(f"time_{section}_{k}_{day}_{edge}"), F.col(f"raw_time_{section}_{k}_{day}_{edge}")) for section, k in SETS for day, edge, _, _ in _pairs(section, k)]
     raw = F.col("scalar_0_court_slug_raw")
-    found.append((raw.isNotNull() & F.col("court_slug").isNull(), I.issue("court_slug_raw", "INVALID_COURT_IDENTIFIER", "error", "nothing of the key is left", raw)))
-    found.append((raw.isNull(), I.issue("court_slug_raw", "MISSING_COURT_IDENTIFIER", "error", "there is no key")))
-    found.append((raw.isNotNull() & (F.col("court_slug") != raw), I.issue("court_slug_raw", "COURT_SLUG_NORMALISED", "info", "the key was normalised", raw, F.col("court_slug"))))
-    return I.rules(*found)
+    key = I.rules(
+        (raw.isNotNull() & F.col("court_slug").isNull(), I.issue("court_slug_raw", "INVALID_COURT_IDENTIFIER", "error", "nothing of the key is left", raw)),
+        (raw.isNull(), I.issue("court_slug_raw", "MISSING_COURT_IDENTIFIER", "error", "there is no key")),
+        (raw.isNotNull() & (F.col("court_slug") != raw), I.issue("court_slug_raw", "COURT_SLUG_NORMALISED", "info", "the key was normalised", raw, F.col("court_slug"))),
+    )
+    return F.concat(told("cell", cells), told("time", times), key)
 
 
 def build_records(sheet: DataFrame) -> DataFrame:
@@ -123,22 +147,20 @@ def build_records(sheet: DataFrame) -> DataFrame:
     facilities = [_field("scalar", f).alias(f) for f in L.SCALARS if f not in ("court_slug_raw", "translation_phone", "translation_email")]
     addresses = [{f: _field("address", f, k) if f not in ("areas_of_law", "court_types") else _field("address", f, k) for f in L.ADDRESS[:-1]} for k in range(1, L.ADDRESS_GROUPS + 1)]
 
-    def moved(k: int) -> dict[str, Column]:
+    def moved(g: Column) -> Column:
         """An e-mail typed as a phone goes where it belongs if that cell is empty, and the other way round."""
+        as_email = F.when((g["email"]["status"] == "empty") & (g["phone"]["code"] == "INVALID_PHONE"), T.email(g["raw_phone"]))
+        as_phone = F.when((g["phone"]["status"] == "empty") & (g["email"]["code"] == "INVALID_EMAIL"), T.uk_phone(g["raw_email"]))
+
         def chosen(p: Column) -> Column:
-            to_email = (p["email"]["status"] == "empty") & (p["phone"]["code"] == "INVALID_PHONE") & (p["as_email"]["status"] == "valid")
-            to_phone = (p["phone"]["status"] == "empty") & (p["email"]["code"] == "INVALID_EMAIL") & (p["as_phone"]["status"] == "valid")
-            to_email, to_phone = F.coalesce(to_email, F.lit(False)), F.coalesce(to_phone, F.lit(False))
-            return F.struct(
-                F.when(to_phone, p["as_phone"]["value"]).when(~to_email, p["phone"]["value"]).alias("phone"),
-                F.when(to_email, p["as_email"]["value"]).when(~to_phone, p["email"]["value"]).alias("email"),
-            )
-
-        both = F.struct(F.col(f"contact_{k}_phone").alias("phone"), F.col(f"contact_{k}_email").alias("email"), T.email(F.col(f"raw_contact_{k}_phone")).alias("as_email"), T.uk_phone(F.col(f"raw_contact_{k}_email")).alias("as_phone"))
-        pair = T.let(both, chosen)
-        return {"description": _field("contact", "description", k), "explanation": _field("contact", "explanation", k), "phone": pair["phone"], "email": pair["email"]}
-
-    contacts = [moved(k) for k in range(1, L.CONTACT_GROUPS + 1)]
+            to_email, to_phone = (F.coalesce(p[x]["status"] == "valid", F.lit(False)) for x in ("as_email", "as_phone"))
+            phone = F.when(to_phone, p["as_phone"]["value"]).when(~to_email, g["phone"]["value"])
+            email = F.when(to_email, p["as_email"]["value"]).when(~to_phone, g["email"]["value"])
+            return F.struct(g["index"].alias("index"), g["description"].alias("description"), g["explanation"].alias("explanation"), phone.alias("phone"), email.alias("email"))
+
+        return T.let(F.struct(as_email.alias("as_email"), as_phone.alias("as_phone")), chosen)
+
+    contacts = [{"description": _field("contact", "description", k), "explanation": _field("contact", "explanation", k), **{f"{raw}{f}": F.col(f"{raw}contact_{k}_{f}") for f in ("phone", "email") for raw in ("", "raw_")}} for k in range(1, L.CONTACT_GROUPS + 1)]
     hours = [{"type": _field("opening_hours", "type", k), "same_monday_to_friday": _field("opening_hours", "same_monday_to_friday", k), **{d: x for d, x in zip(["monday_to_friday", *L.DAYS], _times("opening_hours", k), strict=True)}} for k in range(1, L.HOURS_GROUPS + 1)]
     out = c.select(
         "source_row_number",
@@ -149,7 +171,7 @@ def build_records(sheet: DataFrame) -> DataFrame:
         fold_groups(addresses, [f for f in L.ADDRESS[:-1] if f not in ("areas_of_law", "court_types")]).alias("addresses"),
         F.struct(*[_field("counter_service", f).alias(f) for f in L.COUNTER], *_times("counter_service", 0)).alias("counter_service"),
         F.struct(*[_field("interview_rooms", f).alias(f) for f in L.ROOMS]).alias("interview_rooms"),
-        fold_groups(contacts, ["description", "explanation", "phone", "email"]).alias("contacts"),
+        fold_groups(contacts, ["description", "explanation", "phone", "email"], moved).alias("contacts"),
         fold_groups(hours, ["type", "same_monday_to_friday", "monday_to_friday", *L.DAYS]).alias("opening_hours"),
         ingest_issues().alias("issues"),
     )
@@ -171,8 +193,8 @@ def select_authoritative(records: DataFrame) -> DataFrame:
 
 
 def check_existence(records: DataFrame, courts: DataFrame) -> DataFrame:
-    """Issue COURT_SLUG_NOT_FOUND for keys that the dimension doesn't have; each key is looked up once."""
-    known = courts.select(F.col("slug").alias("_slug"), F.col("id").alias("court_id")).distinct()
+    """Issue COURT_SLUG_NOT_FOUND for keys that the dimension doesn't have; each key is looked up once, and one that has several ids there gets the least, so that no record is multiplied."""
+    known = courts.groupBy(F.col("slug").alias("_slug")).agg(F.min("id").alias("court_id"))
     out = records.join(known, F.col("court_slug") == F.col("_slug"), "left")
     missing = F.col("court_slug").isNotNull() & F.col("_slug").isNull() & (F.col("status") != "skipped")
     new = I.rules((missing, I.issue("court_slug", "COURT_SLUG_NOT_FOUND", "warning", "no such court", F.col("court_slug"))))

@@ -100,6 +100,21 @@ def test_selection_and_plan(spark, built):
     assert I.report(df, "source_row_number").count() == sum(len(r["issues"]) for r in df.collect())
 
 
+def test_cleaning_is_spread_and_written_once_a_kind(sheet):
+    """However few tasks read the sheet, many clean it; a cleaner stands in the plan once and not once a field."""
+    cells = records.clean_cells(sheet.coalesce(1))
+    assert cells.rdd.getNumPartitions() >= sheet.sparkSession.sparkContext.defaultParallelism
+    plan = records.clean_cells(sheet)._jdf.queryExecution().analyzed().treeString()
+    assert [plan.count(code) for code in ("INVALID_PHONE", "INVALID_EMAIL", "UNKNOWN_BOOLEAN", "TIME_FORMAT_RECOVERED")] == [1, 1, 1, 1]
+
+
+def test_a_key_with_several_ids_multiplies_no_record(spark, built):
+    df, rows = built
+    courts = spark.createDataFrame([("id-2", "bristol"), ("id-1", "bristol"), ("id-3", "leeds")], "id string, slug string")
+    got = {r["source_row_number"]: r["court_id"] for r in records.check_existence(df, courts).collect()}
+    assert got == {2: "id-1", 4: "id-1", 5: None, 6: None, 7: "id-3"} and records.check_existence(df, courts).count() == len(rows)
+
+
 def workbook(path):
     ns, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     cells = '<row r="9"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>in</t><t>line</t></is></c></row><row r="2"><c r="B2" t="b"><v>1</v></c><c r="D2"><v>45000.5</v></c></row>'
