@@ -198,3 +198,21 @@ def test_links_are_each_made_once_and_pairs_are_not_shuffled(spark):
     assert len(got) == len(set(got)) and set(got) == want
     last = review.links(*frames(items, actions))._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert last[0].startswith("Union")
+
+
+def test_links_shuffle_each_side_once_and_meet_as_lists(spark):
+    """Actions that share their paths and items that share their place meet as lists, not row by row; each table is gathered by its ids once; rows without an id make their pairs once too."""
+    import re
+
+    actions = [(k if k else None, k % 2, ["a.b"] if k % 3 else ["c", "a[1]"], [k % 7 if k else 8, None]) for k in range(600)]
+    items = [(k if k else None, k % 2, ["a", "a.b.c", "a[1].x", "d"][k % 4]) for k in range(400)] + [(5, 0, "c.e")]
+    over = lambda x, y: x == y or any(p.startswith(q + e) for p, q in ((x, y), (y, x)) for e in ".[")
+    want = {(a, i) for a, ra, ps, named in actions for i, ri, f in items if (i is not None and i in named) or (ra == ri and any(over(p, f) for p in ps))}
+    i, a = spark.createDataFrame(items, "review_id long, row int, field string"), spark.createDataFrame(actions, "action_id long, row int, source_fields array<string>, review_ids array<long>")
+    df = review.links(i, a)
+    got = [tuple(x) for x in df.select("action_id", "review_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    made = [x for x in final.split("\n") if re.search(r"(?<!Reused)Exchange hashpartitioning", x)]
+    assert sum("Reused" not in x for x in made) <= 7 and sum("Reused" in x for x in made) == 2
